@@ -28,7 +28,7 @@ from .common import pieces, table, text_array
 from .vectext import U, Words, mix, sums
 
 #: Step of the quantised counts, filter bits for each entry and level, bits set for each, smoothing mass.
-LOG_BASE, BITS, PROBES, MU = 1.5, 9, 4, 2.0
+LOG_BASE, BITS, PROBES, MU = 1.5, 11, 5, 2.0
 #: Bytes broadcast at once.
 PASS_BYTES = 192 << 20
 END = mix(np.array([0xE0D], U))[0]
@@ -242,7 +242,9 @@ def score(docs: DataFrame, model: tuple[DataFrame, str, int], train_docs: int, p
                 mine = np.flatnonzero(m.mine(word))
                 w = word[mine]
                 c = m.exact(w)
-                one, two = m.probe(w), m.probe(bigram_keys(prev[mine], w))
+                # an n-gram is no more frequent than its word, and a word that was never seen has none: this undoes false positives
+                one = np.where(c > 0, m.probe(w), 0.0)
+                two = np.minimum(m.probe(bigram_keys(prev[mine], w)), one)
                 cost = np.log10(two + MU * (one + 1) / (n + v + 1))
                 # as history of the next token; the end token is none
                 cost -= np.where(w == END, 0.0, np.log10(one + MU))
