@@ -148,7 +148,7 @@ def test_membership(spark):
 def test_addresses(spark):
     texts = ["1.2.3.4", "0.0.0.0", "255.255.255.255", "256.1.1.1", "01.02.03.04", "1..2.3.4", "...", "1.2.3.", "1.2.3", "a.b.c.d", "", "999999999.1.1", "1.2.3.4.5", "1.2.3.45678901", None]
     got = [x["v"] for x in spark.createDataFrame([(t,) for t in texts], "t string").select(ipf.ip_to_long(F.col("t")).alias("v")).collect()]
-    assert got == [16909060, 0, (1 << 32) - 1, 0, 16909060, 0, 0, 16909056, 0, 0, 0, 0, 0, 0, 0]
+    assert got == [16909060, 0, (1 << 32) - 1, 0, 16909060, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0]
     ipf.register(spark)
     row = spark.sql("select ip_to_long('1.2.3.4') a, long_to_ip(16909060) b, cidr_start('10.1.2.3/16') c, cidr_end('10.1.0.0/16') d, ip_to_long('x') e").first()
     assert tuple(row) == (16909060, "1.2.3.4", int(ipaddress.IPv4Address("10.1.0.0")), int(ipaddress.IPv4Address("10.1.255.255")), 0)
