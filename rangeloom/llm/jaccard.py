@@ -1,12 +1,13 @@
 """Operator 5. N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
 Shingles (n-grams of words, as 64-bit hashes) have one global order: by estimated document frequency, rare first, then by hash.
-The estimate comes from a sketch of 2**20 counters, a size that never grows; any order is right for a prefix filter, and a
+The estimate comes from a sketch of 2**23 counters, a size that never grows; any order is right for a prefix filter, and a
 better estimate only makes the prefixes rarer. Two sets of Jaccard similarity t share a shingle among the first
 n - ceil(t n) + 1 of each. The plan:
 
 1. One pass gives each document its set's size and a hash of the set (equal sets are one node) and fills the sketch.
-2. One pass deals the prefix shingles to buckets, packed by task. A bucket keeps the shingles of two nodes or more.
+2. One pass deals the prefix shingles to buckets, packed by task. A bucket keeps the shingles of two documents or more; of equal
+   documents only the first stays.
 3. Star round: each node meets the least node of its lists, and the pair with most lists in common is verified. Verified links give
    first components, so that a group of near copies needs no more pairs than members.
 4. Cross round: lists with nodes of several components are joined; pairs across components that pass the length, positional
@@ -34,11 +35,15 @@ from .vectext import U, Words, mix
 #: Words of a shingle; a link is 100 * |A and B| >= PERCENT * |A or B|.
 SHINGLE, PERCENT = 5, 75
 #: Counters of the frequency sketch, and counters of a slice that a task passes on.
-SKETCH_BITS, SLICE_BITS = 20, 14
+SKETCH_BITS, SLICE_BITS = 23, 16
 #: Prefix entries that a task holds before it passes packets on.
 HELD = 2_000_000
+#: Estimated document frequency from which a shingle's list is dealt over salted buckets.
+HOT = 4096
 #: Bits of the filter that spares texts no pair needs; it is exact only with the join behind it.
 NEED_BITS = 22
+#: Pairs of one node that are verified in one part.
+PART = 500
 
 
 def shingle_sets(col: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
@@ -77,14 +82,24 @@ def survey(docs: DataFrame, k: int) -> DataFrame:
     """Rows of two kinds: (doc_id, n, node) of each document, and (slice, packed) of each task's counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+        waiting: list[np.ndarray] = []
+
+        def add() -> None:
+            nonlocal sketch
+            if waiting:
+                sketch += np.bincount(np.concatenate(waiting), minlength=1 << SKETCH_BITS).astype(np.uint32)
+                waiting.clear()
+
         for piece in pieces(batches):
             sets = shingle_sets(text_array(piece.column(1)), k)
-            all_ = np.concatenate(sets) if sets else np.zeros(0, U)
-            sketch += np.bincount((all_ >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+            waiting.append((np.concatenate(sets) >> U(64 - SKETCH_BITS)).astype(np.int32) if sets else np.zeros(0, np.int32))
+            if sum(map(len, waiting)) > HELD:
+                add()
             m = len(sets)
             cols = [piece.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "node", "slice", "packed"])
+        add()
         size, zip_ = 1 << SLICE_BITS, zstandard.ZstdCompressor(level=1)
         used = [j for j in range(len(sketch) // size) if sketch[j * size : (j + 1) * size].any()]
         packed = [zip_.compress(sketch[j * size : (j + 1) * size].astype("<u4").tobytes()) for j in used]
@@ -112,44 +127,47 @@ def sketch_of(rows: DataFrame) -> np.ndarray:
 
 
 def shared_lists(docs: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataFrame:
-    """(sh, node, n, pos): the prefix entries whose shingle two nodes or more have. pos counts from 0 in the global order.
+    """(sh, doc_id, pos): the prefix entries whose shingle two documents or more have. pos counts from 0 in the global order.
 
-    Shingles so frequent that one list would fill a bucket are dealt over salted buckets, which keep them unseen: they are shared for sure.
+    A packet holds a bucket's entries of a task: 48 bits of each shingle, as buckets need no more to keep lists apart (should two shingles
+    fall together, their lists only grow), and its documents and places as compressed differences. Shingles so frequent that one list
+    would fill a bucket are dealt over salted buckets, which keep them unseen: they are shared for sure.
     """
     spark = docs.sparkSession
     parts = docs.rdd.getNumPartitions()
     n_buckets = 4 * max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rank = spark.sparkContext.broadcast(sketch)
-    hot = 4096 + 4 * int(sketch.mean())
+    hot = HOT + 4 * int(sketch.mean())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        order, seen, held, size = rank.value, set(), [], 0
+        order, held, size = rank.value, [], 0
         salt = n_buckets + int(mix(np.array([TaskContext.get().partitionId()], U))[0] % U(n_buckets))
+        zip_ = zstandard.ZstdCompressor(level=3)
 
         def flush() -> pa.RecordBatch:
-            sh, node, n, pos, bucket = (np.concatenate(x) for x in zip(*held, strict=True))
+            sh, doc, pos, bucket = (np.concatenate(x) for x in zip(*held, strict=True))
             by = np.argsort(bucket, kind="stable")
             cut = np.flatnonzero(np.concatenate([[True], np.diff(bucket[by]) != 0, [True]]))
             rows = []
             for a, b in zip(cut, cut[1:], strict=False):
                 at = by[a:b]
-                rows.append((int(bucket[at[0]]), sh[at].tobytes(), node[at].tobytes(), n[at].tobytes(), pos[at].tobytes()))
-            kinds = (pa.int32(), *[pa.binary()] * 4)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "sh", "node", "n", "pos"])
+                six = np.ascontiguousarray(sh[at]).view(np.uint8).reshape(-1, 8)[:, :6]
+                rows.append((int(bucket[at[0]]), six.tobytes(), zip_.compress(np.diff(doc[at], prepend=0).tobytes()), zip_.compress(pos[at].tobytes())))
+            kinds = (pa.int32(), *[pa.binary()] * 3)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "sh", "doc", "pos"])
 
         for piece in pieces(batches):
-            for s in shingle_sets(text_array(piece.column(1)), k):
-                if not len(s) or (node := node_of(s)) in seen:
+            for doc, s in zip(piece.column(0).to_pylist(), shingle_sets(text_array(piece.column(1)), k), strict=True):
+                if not len(s):
                     continue
-                seen.add(node)
                 p = prefix_length(len(s), percent)
                 est = order[(s >> U(64 - SKETCH_BITS)).astype(np.int64)]
                 first = np.lexsort((s, est))[:p]
                 sh, est = s[first], est[first]
                 bucket = np.where(est > hot, salt, (sh % U(n_buckets)).astype(np.int64)).astype(np.int32)
-                held.append((sh, np.full(p, node, np.int64), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32), bucket))
+                held.append((sh, np.full(p, doc, np.int64), np.arange(p, dtype=np.int32), bucket))
                 size += p
             if size > HELD:
                 yield flush()
@@ -158,19 +176,24 @@ def shared_lists(docs: DataFrame, sketch: np.ndarray, k: int, percent: int) -> D
             yield flush()
 
     def keep(key: tuple, packets: pd.DataFrame) -> pd.DataFrame:
-        sh, node, n, pos = (np.concatenate([np.frombuffer(x, t) for x in packets[c]]) for c, t in (("sh", U), ("node", np.int64), ("n", np.int32), ("pos", np.int32)))
-        by = np.lexsort((node, sh))
-        sh, node, n, pos = sh[by], node[by], n[by], pos[by]
-        new = np.concatenate([[True], (sh[1:] != sh[:-1]) | (node[1:] != node[:-1])])
-        sh, node, n, pos = sh[new], node[new], n[new], pos[new]
+        unzip = zstandard.ZstdDecompressor()
+        six = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, 6) for x in packets["sh"]])
+        sh = np.zeros((len(six), 8), np.uint8)
+        sh[:, :6] = six
+        sh = sh.view(np.int64).ravel()
+        doc = np.concatenate([np.cumsum(np.frombuffer(unzip.decompress(x), np.int64)) for x in packets["doc"]])
+        pos = np.concatenate([np.frombuffer(unzip.decompress(x), np.int32) for x in packets["pos"]])
+        by = np.lexsort((doc, sh))
+        sh, doc, pos = sh[by], doc[by], pos[by]
         if key[0] < n_buckets:
             first = np.flatnonzero(np.concatenate([[True], sh[1:] != sh[:-1]]))
-            many = np.repeat(np.diff(np.append(first, len(sh))) > 1, np.diff(np.append(first, len(sh))))
-            sh, node, n, pos = sh[many], node[many], n[many], pos[many]
-        return pd.DataFrame({"sh": sh.view(np.int64), "node": node, "n": n, "pos": pos})
+            size = np.diff(np.append(first, len(sh)))
+            many = np.repeat(size > 1, size)
+            sh, doc, pos = sh[many], doc[many], pos[many]
+        return pd.DataFrame({"sh": sh, "doc_id": doc, "pos": pos})
 
-    packets = docs.mapInArrow(deal, "bucket int, sh binary, node binary, n binary, pos binary")
-    return packets.groupBy("bucket").applyInPandas(keep, "sh long, node long, n int, pos int")
+    packets = docs.mapInArrow(deal, "bucket int, sh binary, doc binary, pos binary")
+    return packets.groupBy("bucket").applyInPandas(keep, "sh long, doc_id long, pos int")
 
 
 def sizes_fit(a: Column, b: Column, percent: int) -> Column:
@@ -182,10 +205,17 @@ def overlap_needed(a: Column, b: Column, percent: int) -> Column:
     return F.ceil(percent * (a + b) / (100.0 + percent) - 1e-9)
 
 
+def first_fits(need: Column, a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    """Positional filter for the first shingle that two sets (n, pos) share: what follows it must still be enough."""
+    return (a[1] <= a[0] - need) & (b[1] <= b[0] - need)
+
+
 def star_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each node with that least node of its lists with which it shares the most lists."""
-    least = lists.groupBy("sh").agg(F.min(F.struct("node", "n")).alias("m")).select(F.col("sh").alias("k"), F.col("m.node").alias("a"), F.col("m.n").alias("na"))
-    met = lists.join(least, lists["sh"] == least["k"]).where((F.col("node") != F.col("a")) & sizes_fit(F.col("n"), F.col("na"), percent))
+    """(a, b): each node with the hub that most of its lists have. A list's hub is the node that has its shingle first in its order:
+    the one with the fewest rarer shingles, so the least edited of a group of near copies."""
+    hub = lists.groupBy("sh").agg(F.min(F.struct("pos", "node", "n")).alias("m")).select(F.col("sh").alias("k"), F.col("m.node").alias("a"), F.col("m.n").alias("na"), F.col("m.pos").alias("pa"))
+    need = overlap_needed(F.col("n"), F.col("na"), percent)
+    met = lists.join(hub, lists["sh"] == hub["k"]).where((F.col("node") != F.col("a")) & sizes_fit(F.col("n"), F.col("na"), percent) & first_fits(need, (F.col("n"), F.col("pos")), (F.col("na"), F.col("pa"))))
     shared = met.groupBy(F.col("node").alias("b"), "a").agg(F.count(F.lit(1)).alias("c"))
     return shared.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
 
@@ -193,8 +223,8 @@ def star_pairs(lists: DataFrame, percent: int) -> DataFrame:
 def cross_pairs(lists: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """(a, b), a < b: pairs of nodes of different components that the length, positional and overlap filters leave.
 
-    Two sets that share the shingle at positions i and j have at most min(i, j) + 1 + min(na - i - 1, nb - j - 1) in common;
-    and, with c shared prefix shingles up to the last at i and j, at most c + min(na - i - 1, nb - j - 1).
+    The first shared shingle of two sets that link stands at n - need at the latest in both, so later entries make no rows. With c shared
+    shingles up to there, the last of them at i and j, at most c + min(na - i - 1, nb - j - 1) are shared in all.
     """
     named = lists.join(comps, lists["node"] == comps["cnode"], "left").withColumn("comp", F.coalesce("comp", "node")).select("sh", "node", "n", "pos", "comp")
     several = named.groupBy("sh").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select(F.col("sh").alias("k"))
@@ -202,7 +232,8 @@ def cross_pairs(lists: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     x, y = some.withColumnsRenamed({c: c + "_a" for c in some.columns}), some.withColumnsRenamed({c: c + "_b" for c in some.columns})
     need = overlap_needed(F.col("n_a"), F.col("n_b"), percent)
     rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) - 1
-    met = x.join(y, F.col("sh_a") == F.col("sh_b")).where((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & sizes_fit(F.col("n_a"), F.col("n_b"), percent) & (F.least("pos_a", "pos_b") + 1 + rest >= need))
+    near = first_fits(need, (F.col("n_a"), F.col("pos_a")), (F.col("n_b"), F.col("pos_b")))
+    met = x.join(y, F.col("sh_a") == F.col("sh_b")).where((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & sizes_fit(F.col("n_a"), F.col("n_b"), percent) & near)
     pairs = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(rest).alias("rest"), F.max(need).alias("need"))
     return pairs.where(F.col("c") + F.col("rest") >= F.col("need")).select("a", "b")
 
@@ -228,39 +259,51 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets. Sets are made anew from the texts of the nodes that pairs name;
-    a bit filter of fixed size spares most other texts, and a join drops what it lets through."""
+    """The pairs (a, b) that link, by their whole sets, each tested once. nodes: (node, rep, n).
+
+    Texts travel, as they compress better than sets: a node's text goes to the node ``a`` of its pairs, in parts of bounded size
+    if that node has many; there a's text comes first and the others stream past it. A bit filter of fixed size spares the texts that no
+    pair needs; the join behind it drops what it lets through.
+    """
     spark = docs.sparkSession
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
-    ids, ids_at = table(wanted.join(nodes, wanted["w"] == nodes["node"]).select("node", F.col("rep").alias("doc_id")), "join-ids")
+    parts = pairs.groupBy(F.col("a").alias("g")).agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
+    grouped = pairs.join(parts, pairs["a"] == parts["g"])
+    others = grouped.select("g", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.lit(1).alias("role"), F.col("b").alias("w"))
+    firsts = parts.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("g").alias("w"))
+    seats = others.unionByName(firsts)
+    seats, seats_at = table(seats.join(nodes, seats["w"] == nodes["node"]).select("g", "part", "role", "node", F.col("rep").alias("d")), "join-seats")
     # bounded: 2**NEED_BITS / 32 rows at most
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << NEED_BITS))
-    words = ids.select(spot.alias("s")).groupBy((F.col("s") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("bits")).toPandas()
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << NEED_BITS))
+    words = seats.select(spot("d").alias("s")).groupBy((F.col("s") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("bits")).toPandas()
     bitmap = np.zeros(1 << NEED_BITS - 5, np.uint32)
     bitmap[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
     need = spark.sparkContext.broadcast(bitmap)
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = batch.column(2).to_numpy()
             hit = (need.value[s >> 5] >> (s & 31).astype(np.uint32)) & 1
-            some = batch.filter(pa.array(hit.astype(bool)))
-            for piece in pieces(iter([some])):
-                sets = shingle_sets(text_array(piece.column(1)), k)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], ["d", "x"])
-
-    made = docs.select("doc_id", "text", spot.alias("s")).mapInArrow(make, "d long, x binary")
-    sets, sets_at = table(made.join(ids, made["d"] == ids["doc_id"]).select("node", "x").dropDuplicates(["node"]), "join-sets", codec="none")
+            yield batch.select([0, 1]).filter(pa.array(hit.astype(bool)))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [similar(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    one, two = sets.select(F.col("node").alias("n1"), F.col("x").alias("x")), sets.select(F.col("node").alias("n2"), F.col("x").alias("y"))
-    full = pairs.join(two, pairs["b"] == two["n2"]).join(one, F.col("a") == one["n1"]).select("a", "b", "x", "y")
-    links, _ = table(full.mapInArrow(test, "a long, b long"), "join-links")
-    drop(spark, sets_at, ids_at)
+        at, held = None, None
+        for piece in pieces(batches):
+            a, b = [], []
+            place = list(zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True))
+            for here, role, node, s in zip(place, piece.column(2).to_pylist(), piece.column(3).to_pylist(), shingle_sets(text_array(piece.column(4)), k), strict=True):
+                if node_of(s) != node:  # another text under the same doc_id
+                    continue
+                if role == 0:
+                    at, held = here, s
+                elif here == at and similar(held, s, percent):
+                    a.append(here[0])
+                    b.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    sifted = docs.select("doc_id", "text", spot("doc_id").alias("s")).mapInArrow(sift, "doc_id long, text string")
+    seated = sifted.join(seats, sifted["doc_id"] == seats["d"]).select("g", "part", "role", "node", "text")
+    links, _ = table(seated.repartition("g", "part").sortWithinPartitions("g", "part", "role").mapInArrow(test, "a long, b long").distinct(), "join-links")
+    drop(spark, seats_at)
     release_shuffles(spark)
     return links
 
@@ -278,9 +321,12 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     sketch = sketch_of(rows)
     found = rows.where(F.col("slice").isNull()).select("doc_id", "n", "node")
     some = docs.where(F.col("doc_id").isNotNull())
-    nodes = found.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"))
-    lists, lists_at = table(shared_lists(some, sketch, k, percent), "join-lists")
+    nodes = found.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").cast("int").alias("n"))
+    nodes, nodes_at = table(nodes, "join-nodes")
+    entries, entries_at = table(shared_lists(some, sketch, k, percent), "join-entries")
     release_shuffles(spark)
+    lists, lists_at = table(entries.join(nodes, entries["doc_id"] == nodes["rep"]).select("sh", "node", "n", "pos"), "join-lists")
+    drop(spark, entries_at)
     stars, _ = table(star_pairs(lists, percent), "join-pairs")
     links = verify(some, nodes, stars, k, percent)
     comps = components(links)
