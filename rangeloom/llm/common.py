@@ -34,8 +34,21 @@ def shared_dir(spark: SparkSession) -> str:
     return here
 
 
+_swept: set[str] = set()
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/rangeloom/{name}-{uuid.uuid4().hex}"
+    """A fresh place in the application's part of the shared folder, which goes when the application ends."""
+    top = f"{shared_dir(spark).rstrip('/')}/rangeloom-{spark.sparkContext.applicationId}"
+    if top not in _swept:
+        _swept.add(top)
+        atexit.register(_sweep, spark, top)
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
+def _sweep(spark: SparkSession, top: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        drop(spark, top)
 
 
 def table(df: DataFrame, name: str, codec: str = "zstd", partition_by: str | None = None) -> tuple[DataFrame, str]:
