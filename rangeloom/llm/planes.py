@@ -19,6 +19,7 @@ The container is written by Spark's committer, so a lost executor leaves no part
 from __future__ import annotations
 
 import functools
+import json
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -36,7 +37,7 @@ BLOCK_IDS = 1 << 14
 CHUNK_IDS = 1 << 17
 END_ID = 2
 #: Distinct chunks of text whose ids one worker remembers.
-CACHE = 400_000
+CACHE = 500_000
 
 CONTAINER = T.StructType([
     T.StructField("shard", T.IntegerType()), T.StructField("chunk", T.IntegerType()), T.StructField("n_ids", T.LongType()),
@@ -65,19 +66,57 @@ def cut_blocks(ids: np.ndarray, block_ids: int) -> list[list[bytes]]:
     return [to_planes(ids[k : k + block_ids]) for k in range(0, len(ids), block_ids)]
 
 
+#: What a vocabulary's own file must say for words to be taken apart here: lower case, and pieces of letters, single digits
+#: or other characters. Fixed value: the pattern as the file has it.
+PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+TAIL = ".,;:!?#*$%&|<>\"()-"
+
+
+def _plain(tok) -> bool:
+    """Whether the tokenizer normalises to lower case and splits by PIECES, then maps bytes."""
+    rules = json.loads(tok.to_str())
+    normal = [n["type"] for n in (rules["normalizer"] or {}).get("normalizers", [])]
+    split = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+    return normal == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in split] == ["Split", "ByteLevel"] and split[0]["pattern"] == {"Regex": PIECES} and not split[1]["use_regex"]
+
+
 @functools.cache
 def word_encoder(path: str, cache: int = CACHE) -> Callable[[str], bytes]:
     """Text -> ids as little-endian 32-bit integers, by the tokenizers library.
 
-    For vocabularies whose pre-tokenizer drops white space: no token spans a space, so
-    each stretch between spaces is encoded once per worker and remembered, up to ``cache``.
-    Special-token strings in a text are ordinary text.
+    For vocabularies whose pre-tokenizer drops white space: no token spans a space, so each stretch between spaces is
+    encoded once per worker and remembered, up to ``cache`` of them. If the tokenizer is of the plain kind, a stretch of Latin-1 characters is taken apart
+    first, and the library's model sees each distinct piece once; letters below U+0100 are stable under composition,
+    and lower-casing them is the same everywhere. Other stretches go through the whole tokenizer. Special-token strings in a text are ordinary text.
     """
+    import regex
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
 
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
+    model, mapped = tok.model, ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+    plain, find = _plain(tok), regex.compile(PIECES).findall
     known: dict[str, bytes] = {"": b""}
+    pieces: dict[str, bytes] = {}
+
+    def piece(p: str) -> bytes:
+        got = pieces.get(p)
+        if got is None:
+            if len(pieces) > 2 * cache:
+                pieces.clear()
+            shown = p if p.isascii() and p.isprintable() else mapped(p)[0][0]
+            got = pieces[p] = np.array([t.id for t in model.tokenize(shown)], "<u4").tobytes()
+        return got
+
+    def stretch(w: str) -> bytes | None:
+        """Ids of a stretch by its pieces, or None if the whole tokenizer must see it."""
+        if max(w) >= "\u0100":
+            return None
+        core = w.rstrip(TAIL)
+        if core.isalpha():
+            return piece(core.lower()) + (piece(w[len(core) :]) if len(core) < len(w) else b"")
+        return b"".join(map(piece, find(w.lower())))
 
     def encode(text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
@@ -88,9 +127,17 @@ def word_encoder(path: str, cache: int = CACHE) -> Callable[[str], bytes]:
         if len(known) > cache:
             known.clear()
             known[""] = b""
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        for w, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+        rest = []
+        for w in set(words):
+            if w not in known:
+                got = stretch(w) if plain else None
+                if got is None:
+                    rest.append(w)
+                else:
+                    known[w] = got
+        if rest:
+            for w, e in zip(rest, tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, "<u4").tobytes()
         return b"".join(map(known.__getitem__, words))
 
     return encode
