@@ -70,6 +70,18 @@ def test_token_planes(spark, awkward, tmp_path):
     assert planes.token_files(empty(spark), path).count() == 0
 
 
+def test_word_encoder_equals_the_whole_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, encode = Tokenizer.from_file(path), planes.word_encoder(path, 50)
+    tok.encode_special_tokens = True
+    r = random.Random(1)
+    for _ in range(3000):
+        t = "".join(r.choice("aZ'sStTrREeVvMmLlDd09.,$%é ÉßÇİıǅ\xa0\xad\x1c\x85́ ΣσЖ日ｱ🙂²½ªº_\n\t<|>") for _ in range(r.randint(0, 14)))
+        assert np.frombuffer(encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_planes_round_trip():
     r = np.random.default_rng(1)
     for n in (1, 7, 4096):
@@ -159,7 +171,7 @@ def test_quantised_counts_are_read_back():
     keys, counts = np.unique(r.integers(0, 1 << 63, 20_000, dtype=np.uint64)), None
     counts = r.integers(1, 5000, len(keys))
     f = bloomlm.make_filter(keys, counts)
-    m = bloomlm.Model(1, 0, [(0, b"", b"", f.tobytes()), (1, b"", b"", f.tobytes())])
+    m = bloomlm.Model(1, 0, np.zeros(0, np.uint64), np.zeros(0, "<u4"), np.array([len(f), len(f)]), np.concatenate([f, f]))
     got = m.probe(keys)
     want = bloomlm.level_counts(bloomlm.levels(counts))
     assert (got >= want - 1e-9).all() and np.mean(got == want) > 0.9
