@@ -15,6 +15,7 @@ parts. Filters grow with the corpus and need more passes, never a larger broadca
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ END = mix(np.array([0xE0D], U))[0]
 BOS = mix(np.array([0xB05], U))[0]
 TOP = U(0xFFFF << 48)
 #: Bigram occurrences that a task holds before it passes counts on.
-HELD = 4_000_000
+HELD = 2_000_000
 
 
 def bigram_keys(prev: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -67,7 +68,7 @@ def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
         return keys[first], np.diff(np.append(first, len(keys)))
     order = np.argsort(keys, kind="stable")
-    keys, total = keys[order], np.concatenate([[0], np.cumsum(counts[order])])
+    keys, total = keys[order], np.concatenate([[0], np.cumsum(counts[order], dtype=np.int64)])
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
     return keys[first], np.diff(total[np.append(first, len(keys))])
 
@@ -109,17 +110,15 @@ def make_filter(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """The regions [low, high) of one pass, as workers use them."""
-
-    def __init__(self, bits: int, low: int, parts: list[tuple[int, bytes, bytes, bytes]]):
-        self.bits, self.low, self.high = bits, low, low + len(parts)
-        self.keys = np.concatenate([np.frombuffer(p[1], U) for p in parts])
-        self.counts = np.concatenate([np.frombuffer(p[2], "<u4") for p in parts])
-        filters = [np.frombuffer(p[3], U) for p in parts]
-        self.blocks = np.array([len(f) for f in filters], U)
-        self.first = np.concatenate([[0], np.cumsum([len(f) for f in filters])]).astype(np.int64)
-        self.filter = np.concatenate(filters)
-        self.shift = U(max(0, 64 - max(1, int(len(self.keys)).bit_length())))
+    """The regions [low, high) of one pass, as workers use them: words in ascending order with their counts, and the regions' filters
+    one behind the other. The arrays are those of the broadcast, not copies."""
+
+    def __init__(self, bits: int, low: int, keys: np.ndarray, counts: np.ndarray, blocks: np.ndarray, filters: np.ndarray):
+        self.bits, self.low, self.high = bits, low, low + len(blocks)
+        self.keys, self.counts, self.filter = keys, counts, filters
+        self.blocks = blocks.astype(U)
+        self.first = np.concatenate([[0], np.cumsum(blocks)]).astype(np.int64)
+        self.shift = U(64 - max(1, len(keys).bit_length() - 2))
         self.start: np.ndarray | None = None
 
     def mine(self, word: np.ndarray) -> np.ndarray:
@@ -132,9 +131,9 @@ class Model:
             return np.zeros(len(word), np.int64)
         if self.start is None:
             steps = np.arange((1 << 64 - int(self.shift)) + 1, dtype=np.int64)
-            self.start = np.searchsorted((self.keys >> self.shift).astype(np.int64), steps)
+            self.start = np.searchsorted(self.keys >> self.shift, steps.astype(U)).astype(np.int32)
         slot = (word >> self.shift).astype(np.int64)
-        at, end = self.start[slot], self.start[slot + 1]
+        at, end = self.start[slot].astype(np.int64), self.start[slot + 1]
         out = np.zeros(len(word), np.int64)
         active = np.flatnonzero(at < end)
         while len(active):
@@ -188,7 +187,8 @@ def train(docs: DataFrame) -> tuple[DataFrame, str, int]:
         for piece in pieces(batches):
             seq, prev, _ = tokens(text_array(piece.column(0)))
             for kind, keys in ((0, seq), (1, bigram_keys(prev, seq))):
-                held[kind].append(counted(keys))
+                distinct, counts = counted(keys)
+                held[kind].append((distinct, counts.astype(np.uint32)))
             size += len(held[1][-1][0])
             if size > HELD:
                 yield flush()
@@ -217,8 +217,9 @@ def score(docs: DataFrame, model: tuple[DataFrame, str, int], train_docs: int, p
     """doc_id, n_tokens, n_known, train_tokens long, base_score, score double of every text, in base 10 logs."""
     regions, _, bits = model
     sc = docs.sparkSession.sparkContext
-    rows = regions.select("region", (F.length("words") * 1.5 + F.length("filter")).cast("long"), "n_words", "n_tokens").collect()
+    rows = regions.select("region", (F.length("words") * 1.5 + F.length("filter")).cast("long"), "n_words", "n_tokens", (F.length("filter") / 8).cast("long")).collect()
     sizes = {r[0]: r[1] for r in rows}
+    words, blocks = {r[0]: r[2] for r in rows}, {r[0]: r[4] for r in rows}
     n, v = sum(r[3] for r in rows), sum(r[2] for r in rows)
     groups, low, total = [], 0, 0
     for r in range(1 << bits):
@@ -229,13 +230,10 @@ def score(docs: DataFrame, model: tuple[DataFrame, str, int], train_docs: int, p
     groups.append((low, 1 << bits))
     parts = []
     for low, high in groups:
-        got = {r["region"]: r for r in regions.where(F.col("region").between(low, high - 1)).select("region", "words", "counts", "filter").toLocalIterator()}
-        empty = np.zeros(1, U).tobytes()
-        shipped = sc.broadcast([(r, bytes(got[r]["words"]), bytes(got[r]["counts"]), bytes(got[r]["filter"])) if r in got else (r, b"", b"", empty) for r in range(low, high)])
-        del got
+        shipped = sc.broadcast(_arrays(regions, low, high, words, blocks))
 
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped, low=low, first=low == 0) -> Iterator[pa.RecordBatch]:
-            m = _model(shipped, bits, low)
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped, low=low, token=uuid.uuid4().hex, first=low == 0) -> Iterator[pa.RecordBatch]:
+            m = _model(token, shipped, bits, low)
             base_total = np.log10(n + v + 1)
             for piece in pieces(batches):
                 word, prev, off = tokens(text_array(piece.column(1)))
@@ -268,15 +266,28 @@ def score(docs: DataFrame, model: tuple[DataFrame, str, int], train_docs: int, p
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-_models: dict[tuple[int, int], Model] = {}
+def _arrays(regions: DataFrame, low: int, high: int, words: dict[int, int], blocks: dict[int, int]) -> tuple[np.ndarray, ...]:
+    """Keys, counts, blocks of each region (one empty block where there is none) and filters of the regions [low, high), filled region by region."""
+    size = np.array([blocks.get(r, 1) for r in range(low, high)], np.int64)
+    at, slot = np.cumsum([0] + [words.get(r, 0) for r in range(low, high)]), np.concatenate([[0], np.cumsum(size)])
+    keys, counts, filters = np.empty(at[-1], U), np.empty(at[-1], "<u4"), np.zeros(slot[-1], U)
+    for r in regions.where(F.col("region").between(low, high - 1)).select("region", "words", "counts", "filter").toLocalIterator():
+        k = r["region"] - low
+        keys[at[k] : at[k + 1]] = np.frombuffer(r["words"], U)
+        counts[at[k] : at[k + 1]] = np.frombuffer(r["counts"], "<u4")
+        filters[slot[k] : slot[k + 1]] = np.frombuffer(r["filter"], U)
+    return keys, counts, size, filters
 
 
-def _model(shipped, bits: int, low: int) -> Model:
-    key = (id(shipped), low)
-    if key not in _models:
+_models: dict[str, Model] = {}
+
+
+def _model(token: str, shipped, bits: int, low: int) -> Model:
+    """The pass's model in this worker, made once; another pass's goes."""
+    if token not in _models:
         _models.clear()
-        _models[key] = Model(bits, low, shipped.value)
-    return _models[key]
+        _models[token] = Model(bits, low, *shipped.value)
+    return _models[token]
 
 
 def held_out(docs: DataFrame, folds: int, fold: int) -> DataFrame:
