@@ -1,7 +1,7 @@
 """Operator 5. N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
 Shingles (n-grams of words, as 64-bit hashes) have one global order: by estimated document frequency, rare first, then by hash.
-The estimate comes from a sketch of 2**23 counters, a size that never grows; any order is right for a prefix filter, and a
+The estimate comes from a sketch of 2**21 counters, a size that never grows; any order is right for a prefix filter, and a
 better estimate only makes the prefixes rarer. Two sets of Jaccard similarity t share a shingle among the first
 n - ceil(t n) + 1 of each. The plan:
 
@@ -35,9 +35,9 @@ from .vectext import U, Words, mix
 #: Words of a shingle; a link is 100 * |A and B| >= PERCENT * |A or B|.
 SHINGLE, PERCENT = 5, 75
 #: Counters of the frequency sketch, and counters of a slice that a task passes on.
-SKETCH_BITS, SLICE_BITS = 23, 16
+SKETCH_BITS, SLICE_BITS = 21, 15
 #: Prefix entries that a task holds before it passes packets on.
-HELD = 2_000_000
+HELD = 1_000_000
 #: Estimated document frequency from which a shingle's list is dealt over salted buckets.
 HOT = 4096
 #: Bits of the filter that spares texts no pair needs; it is exact only with the join behind it.
@@ -127,7 +127,7 @@ def sketch_of(rows: DataFrame) -> np.ndarray:
 
 
 def shared_lists(docs: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataFrame:
-    """(sh, doc_id, pos): the prefix entries whose shingle two documents or more have. pos counts from 0 in the global order.
+    """(sh, doc_id, pos): the prefix entries whose shingle two documents or more have, and could link by. pos counts from 0 in the global order.
 
     A packet holds a bucket's entries of a task: 48 bits of each shingle, as buckets need no more to keep lists apart (should two shingles
     fall together, their lists only grow), and its documents and places as compressed differences. Shingles so frequent that one list
@@ -147,16 +147,16 @@ def shared_lists(docs: DataFrame, sketch: np.ndarray, k: int, percent: int) -> D
         zip_ = zstandard.ZstdCompressor(level=3)
 
         def flush() -> pa.RecordBatch:
-            sh, doc, pos, bucket = (np.concatenate(x) for x in zip(*held, strict=True))
+            sh, doc, pos, n, bucket = (np.concatenate(x) for x in zip(*held, strict=True))
             by = np.argsort(bucket, kind="stable")
             cut = np.flatnonzero(np.concatenate([[True], np.diff(bucket[by]) != 0, [True]]))
             rows = []
             for a, b in zip(cut, cut[1:], strict=False):
                 at = by[a:b]
                 six = np.ascontiguousarray(sh[at]).view(np.uint8).reshape(-1, 8)[:, :6]
-                rows.append((int(bucket[at[0]]), six.tobytes(), zip_.compress(np.diff(doc[at], prepend=0).tobytes()), zip_.compress(pos[at].tobytes())))
-            kinds = (pa.int32(), *[pa.binary()] * 3)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "sh", "doc", "pos"])
+                rows.append((int(bucket[at[0]]), six.tobytes(), zip_.compress(np.diff(doc[at], prepend=0).tobytes()), zip_.compress(pos[at].tobytes()), zip_.compress(n[at].tobytes())))
+            kinds = (pa.int32(), *[pa.binary()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "sh", "doc", "pos", "n"])
 
         for piece in pieces(batches):
             for doc, s in zip(piece.column(0).to_pylist(), shingle_sets(text_array(piece.column(1)), k), strict=True):
@@ -167,7 +167,7 @@ def shared_lists(docs: DataFrame, sketch: np.ndarray, k: int, percent: int) -> D
                 first = np.lexsort((s, est))[:p]
                 sh, est = s[first], est[first]
                 bucket = np.where(est > hot, salt, (sh % U(n_buckets)).astype(np.int64)).astype(np.int32)
-                held.append((sh, np.full(p, doc, np.int64), np.arange(p, dtype=np.int32), bucket))
+                held.append((sh, np.full(p, doc, np.int64), np.arange(p, dtype=np.int32), np.full(p, len(s), np.int32), bucket))
                 size += p
             if size > HELD:
                 yield flush()
@@ -182,17 +182,23 @@ def shared_lists(docs: DataFrame, sketch: np.ndarray, k: int, percent: int) -> D
         sh[:, :6] = six
         sh = sh.view(np.int64).ravel()
         doc = np.concatenate([np.cumsum(np.frombuffer(unzip.decompress(x), np.int64)) for x in packets["doc"]])
-        pos = np.concatenate([np.frombuffer(unzip.decompress(x), np.int32) for x in packets["pos"]])
+        pos, n = (np.concatenate([np.frombuffer(unzip.decompress(x), np.int32) for x in packets[c]]) for c in ("pos", "n"))
         by = np.lexsort((doc, sh))
-        sh, doc, pos = sh[by], doc[by], pos[by]
+        sh, doc, pos, n = sh[by], doc[by], pos[by], n[by].astype(np.int64)
         if key[0] < n_buckets:
             first = np.flatnonzero(np.concatenate([[True], sh[1:] != sh[:-1]]))
             size = np.diff(np.append(first, len(sh)))
-            many = np.repeat(size > 1, size)
+            # a list of two serves only if its two documents pass the length and positional filters with this shingle
+            two = first[size == 2]
+            need = -(-percent * (n[two] + n[two + 1]) // (100 + percent))
+            fits = (100 * np.minimum(n[two], n[two + 1]) >= percent * np.maximum(n[two], n[two + 1])) & (pos[two] <= n[two] - need) & (pos[two + 1] <= n[two + 1] - need)
+            serves = size > 2
+            serves[size == 2] = fits
+            many = np.repeat(serves, size)
             sh, doc, pos = sh[many], doc[many], pos[many]
         return pd.DataFrame({"sh": sh, "doc_id": doc, "pos": pos})
 
-    packets = docs.mapInArrow(deal, "bucket int, sh binary, doc binary, pos binary")
+    packets = docs.mapInArrow(deal, "bucket int, sh binary, doc binary, pos binary, n binary")
     return packets.groupBy("bucket").applyInPandas(keep, "sh long, doc_id long, pos int")
 
 
