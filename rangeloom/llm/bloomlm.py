@@ -228,6 +228,10 @@ def score(docs: DataFrame, model: tuple[DataFrame, str, int], train_docs: int, p
             low, total = r, 0
         total += sizes.get(r, 0)
     groups.append((low, 1 << bits))
+    key = []
+    if len(groups) > 1:  # the passes meet by row: ids may be null or repeat
+        docs, _ = table(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("lm_row")), "lm-rows")
+        key = ["lm_row"]
     parts = []
     for low, high in groups:
         shipped = sc.broadcast(_arrays(regions, low, high, words, blocks))
@@ -252,17 +256,16 @@ def score(docs: DataFrame, model: tuple[DataFrame, str, int], train_docs: int, p
                 if first:  # the start of every text as history, counted exactly
                     lm = lm - np.log10(train_docs + MU)
                 known = sums((c > 0).astype(np.int64), at)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(off)), pa.array(known), pa.array(base), pa.array(lm)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), *piece.columns[2:], pa.array(np.diff(off)), pa.array(known), pa.array(base), pa.array(lm)], ["doc_id", *key, "n_tokens", "n_known", "base_score", "score"])
 
-        parts.append(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double"))
+        parts.append(docs.select("doc_id", "text", *key).mapInArrow(run, "doc_id long, " + "".join(f"{k} long, " for k in key) + "n_tokens long, n_known long, base_score double, score double"))
     if len(parts) == 1:
         out = parts[0]
     else:
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        # rows that repeat a doc_id are told apart only by n_tokens here; callers give unique ids
-        out = out.groupBy("doc_id", "n_tokens").agg(F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
+        out = out.groupBy("lm_row", "doc_id", "n_tokens").agg(F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
@@ -300,9 +303,9 @@ def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, pass_bytes:
     """Train on the documents outside the fold, score all: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null texts are empty: only an end token. Letters A-Z are lower-cased. Other columns are ignored. Repeated rows count
-    as often as they occur in training and are scored row by row (where the model needs several passes, equal ids with equal
-    token counts are one row, so ids must be unique there). An empty table gives no rows. Words are told apart by 64-bit hashes.
-    Shuffles: packets of counts. Broadcast: at most ``pass_bytes`` or one region.
+    as often as they occur in training and are scored row by row, however many passes the model needs. An empty table gives no
+    rows. Words are told apart by 64-bit hashes. Shuffles: packets of counts; with several passes, also a row of sums a text and pass,
+    joined by a row number that is written once with the texts to the shared folder. Broadcast: at most ``pass_bytes`` or one region.
     """
     rows = held_out(docs.select(F.col("doc_id").cast("long"), "text"), folds, fold)
     learn = rows.where(~F.col("held_out")).select("text")

@@ -166,6 +166,13 @@ def test_bloom_lm(spark, awkward):
     assert bloomlm.score_documents(frame(spark, awkward)).count() == len(awkward)
 
 
+def test_bloom_lm_passes_keep_every_row(spark, awkward):
+    rows = [*awkward, (None, "an id"), (1, "other"), (None, None), (1, None)]
+    scores = lambda **o: sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["n_known"], round(r["score"], 6), round(r["base_score"], 6)) for r in bloomlm.score_documents(frame(spark, rows), **o).collect())
+    one, many = scores(), scores(pass_bytes=600)
+    assert len(one) == len(rows) and many == one
+
+
 def test_quantised_counts_are_read_back():
     r = np.random.default_rng(4)
     keys, counts = np.unique(r.integers(0, 1 << 63, 20_000, dtype=np.uint64)), None
