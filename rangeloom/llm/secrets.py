@@ -4,16 +4,19 @@ The guess cost of a value is the least sum, over all segmentations, of the log10
 of its segments plus a charge for each segment. A segment is a dictionary word, a date,
 a repeat, a keyboard or alphabet walk, or brute force; the minimum is found by dynamic
 programming over end positions. A value after a credential key whose cost reaches
-``GUESS_MIN`` is a secret; words of prose, however long, stay cheap.
+``GUESS_MIN`` is a secret, if it has ``GUESS_CHARS`` characters; no other condition holds. Single words of prose
+stay cheap, as the dictionary holds a tokenizer's whole words; several words in one value can reach the limit.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterator
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,15 +35,24 @@ CONTEXT = re.compile(r"""(?:password|passwd|passphrase|pwd|secret|token|api[_-]?
 #: A text with none of these holds no assignment and no credential context.
 HINTS = ("passw", "passphrase", "pwd", "secret", "token", "api", "key", "auth", "credential")
 
-# Everyday words, most frequent first; a word's guesses are its place.
+# Everyday words, most frequent first, then the whole words of a tokenizer in its order; a word's guesses are its place.
 WORDS = """password admin the and for that with this you not are from have was user login secret token test key
 hello welcome master dragon monkey letmein qwerty abc sunshine princess football shadow change changeme default
 example sample guest root temp demo none null true false value your here pass my name home work love life time
 year day man world good new first last long great little own other old right big high different small large next
 early young important few public bad same able api auth access private server client data file system service
 account email phone number address code string text word line page site web net com org www http https""".split()
-WORD_RANK = {w: k + 1 for k, w in enumerate(WORDS)}
-LONGEST_WORD = max(map(len, WORDS))
+
+
+def _vocabulary() -> list[str]:
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        ids = json.load(f)["model"]["vocab"]
+    found = (p.removesuffix("</w>") for p in sorted(ids, key=ids.__getitem__) if p.endswith("</w>"))
+    return [w for w in found if len(w) >= 4 and w.isascii() and w.isalpha()]
+
+
+WORD_RANK = {w: k + 1 for k, w in enumerate(dict.fromkeys(WORDS + _vocabulary()))}
+LONGEST_WORD = max(map(len, WORD_RANK))
 LEET = str.maketrans("430157$@!", "aeoistsai")
 # Rows of a keyboard, and the orders that walks follow.
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
@@ -132,10 +144,9 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def looks_secret(value: str) -> bool:
-    """Whether a value in credential context is hard to guess and is no plain word or sentence part."""
+    """Whether a value in credential context is hard to guess."""
     value = value.rstrip(".,;:!?)")
-    kinds = sum(any(f(c) for c in value) for f in (str.isdigit, str.islower, str.isupper, lambda c: not c.isalnum()))
-    return len(value) >= GUESS_CHARS and kinds >= 2 and any(map(str.isdigit, value)) and guess_cost(value) >= GUESS_MIN
+    return len(value) >= GUESS_CHARS and guess_cost(value) >= GUESS_MIN
 
 
 def guess_spans(text: str) -> list[tuple[int, int, str]]:

@@ -474,3 +474,10 @@ def test_guess_cost():
     assert secrets.guess_cost("") == 0
     assert secrets.guess_cost("qwertyuiop") < 4 and secrets.guess_cost("1999-12-31") < 6 and secrets.guess_cost("aaaaaaaaaaaaaaaaaaaa") < 5 and secrets.guess_cost("abcabcabcabc") < 6
     assert secrets.guess_cost("x7$Kq9!vR2") > 12
+
+
+def test_guess_cost_alone_decides():
+    for t, value in (("pwd: HjkQzxVbnWrt!x", "HjkQzxVbnWrt!x"), ("the password is Qz!kvRwxPtLm", "Qz!kvRwxPtLm"), ("auth: 938475019283746", "938475019283746")):
+        assert [t[a:b] for a, b, _ in secrets.guess_spans(t)] == [value]
+    for t in ("the password is incorrect", "the token is something", "the secret is delicious.", "auth: 12345678", "pwd: password", "the password is necessary"):
+        assert secrets.guess_spans(t) == []
