@@ -31,7 +31,9 @@ GUESS_MIN, GUESS_CHARS = 10.0, 8
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CONTEXT = re.compile(r"""(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?)["']?\x20*(?::|=>|:=|=|\x20is\x20)\x20*(?:"([^"\s]+)"|'([^'\s]+)'|([^\s"',;]+))""", re.I | re.A)
+CONTEXT = re.compile(r"""(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?)["']?\x20*(?:=>|:=|:|=|\x20is\x20)\x20*""", re.I | re.A)
+#: What follows a context: a quoted value, spaces included, or one that ends at a space or mark.
+VALUE = re.compile(r""""([^"\r\n]+)"|'([^'\r\n]+)'|["']?([^\s"',;]+)""")
 #: A text with none of these holds no assignment and no credential context.
 HINTS = ("passw", "passphrase", "pwd", "secret", "token", "api", "key", "auth", "credential")
 
@@ -150,13 +152,19 @@ def looks_secret(value: str) -> bool:
 
 
 def guess_spans(text: str) -> list[tuple[int, int, str]]:
-    """Values in credential context whose guess cost makes them secrets."""
+    """Values in credential context whose guess cost makes them secrets. A value may hold a further context, whose own value
+    is looked at too, unless a secret found before covers where it begins and it ends there."""
     found = []
-    for m in CONTEXT.finditer(text):
+    covered = 0
+    for c in CONTEXT.finditer(text):
+        if not (m := VALUE.match(text, c.end())):
+            continue
         g = m.lastindex
         value = m[g].rstrip(".,;:!?)") if g == 3 else m[g]
-        if looks_secret(value):
-            found.append((m.start(g), m.start(g) + len(value), "guess"))
+        end = m.start(g) + len(value)
+        if end > covered and looks_secret(value):
+            found.append((m.start(g), end, "guess"))
+            covered = end
     return found
 
 

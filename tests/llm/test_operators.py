@@ -481,3 +481,15 @@ def test_guess_cost_alone_decides():
         assert [t[a:b] for a, b, _ in secrets.guess_spans(t)] == [value]
     for t in ("the password is incorrect", "the token is something", "the secret is delicious.", "auth: 12345678", "pwd: password", "the password is necessary"):
         assert secrets.guess_spans(t) == []
+
+
+def test_every_key_has_its_value_scored():
+    wanted = {
+        "credentials: password: Xk9$mQ2vLp": ["Xk9$mQ2vLp"], "auth: token: Xk9$mQ2vLp, pwd=hello": ["Xk9$mQ2vLp"], "pwd := Xk9$mQ2vLp": ["Xk9$mQ2vLp"],
+        "passphrase: \"zebra quilt marmot 47 lantern\" end": ["zebra quilt marmot 47 lantern"], "pwd = 'Qz vk Rw xP tL'": ["Qz vk Rw xP tL"], 'password="Xk9$mQ2vLp': ["Xk9$mQ2vLp"],
+        "auth: Xk9$mQ2vLp-token:Zr7!wB4nHd": ["Xk9$mQ2vLp-token:Zr7!wB4nHd"], "token: token: token:": [],
+    }
+    for t, values in wanted.items():
+        assert [t[a:b] for a, b, _ in secrets.guess_spans(t)] == values
+    t = "credentials: x9Kq_vZt7_password: Xk9$mQ2vLp"
+    assert {t[a:b] for a, b, _ in secrets.guess_spans(t)} == {"x9Kq_vZt7_password", "Xk9$mQ2vLp"}
