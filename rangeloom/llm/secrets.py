@@ -3,7 +3,7 @@
 The guess cost of a value is the least sum, over all segmentations, of the log10 guesses
 of its segments plus a charge for each segment. A segment is a dictionary word, a date,
 a repeat, a keyboard or alphabet walk, or brute force; the minimum is found by dynamic
-programming over end positions. A value after a credential key whose cost reaches
+programming over start positions, last to first. A value after a credential key whose cost reaches
 ``GUESS_MIN`` is a secret, if it has ``GUESS_CHARS`` characters; no other condition holds. Single words of prose
 stay cheap, as the dictionary holds a tokenizer's whole words; several words in one value can reach the limit.
 """
@@ -61,6 +61,8 @@ ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefg
 _NEXT = {(a, b) for row in ROWS for a, b in zip(row, row[1:], strict=False)} | {(a, b) for up, down in zip(ROWS[:3], ROWS[1:4], strict=False) for a, b in zip(up[1:] if up[0] == "`" else up, down, strict=False)}
 WALKS = _NEXT | {(b, a) for a, b in _NEXT}
 DATE = re.compile(r"(?:(?:19|20)\d\d)(?:([-/._]?)(?:0[1-9]|1[0-2])(?:\1(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d")
+#: Repeated units and least characters of a run; unit 0 is a walk.
+RUNS = ((0, 3), (1, 3), (2, 4), (3, 6), (4, 8))
 #: log10 of what a guesser pays for each further segment.
 PER_SEGMENT = math.log10(4)
 
@@ -70,70 +72,62 @@ def _brute(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isascii() and c.isalpha() else math.log10(33)
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses for ``value`` by the cheapest segmentation; 0 for an empty value.
+def guess_costs(value: str) -> list[float]:
+    """For each position of ``value``, its end included, log10 of the guesses for the rest by the cheapest segmentation.
 
-    Word, date and walk segments are bounded in length or found as maximal runs, so a value of n
-    characters takes O(n) steps, however long it is.
+    Every part of a run (a walk, or a unit repeated) is a segment. Of two ends of parts in one run, a whole number of units apart, the nearer one loses
+    its lead the longer the parts grow, so an end that is no better when it first can be used is dropped: few are left, and a value of
+    n characters takes about O(n) steps.
     """
     n = len(value)
     low = value.lower()
     plain = low.translate(LEET)
-    best = [0.0] + [math.inf] * n
+    best = [0.0] * (n + 1)
     spent = [0.0]
     for c in value:
         spent.append(spent[-1] + _brute(c))
-    dates: dict[int, list[int]] = {}
-    for k in range(n):
-        if value[k].isdigit() and (m := DATE.match(value, k)):
-            dates.setdefault(m.end(), []).append(k)
-    ends: dict[int, list[tuple[int, float]]] = {}
-    k = 0
-    while k < n:  # maximal repeats of one character
-        j = k + 1
-        while j < n and value[j] == value[k]:
-            j += 1
-        if j - k >= 3:
-            ends.setdefault(j, []).append((k, _brute(value[k]) + math.log10(j - k)))
-        k = j
-    for unit in (2, 3, 4):  # maximal repeats of a short unit
-        k = 0
-        while k + 2 * unit <= n:
-            j = k + unit
-            while j < n and value[j] == value[j - unit]:
-                j += 1
-            if j - k >= 2 * unit:
-                ends.setdefault(j, []).append((k, spent[k + unit] - spent[k] + math.log10((j - k) // unit)))
-                k = j - unit + 1
-            else:
-                k += 1
-    k = 0
-    while k < n:  # maximal walks
-        j = k + 1
-        while j < n and (low[j - 1], low[j]) in WALKS:
-            j += 1
-        if j - k >= 3:
-            ends.setdefault(j, []).append((k, math.log10(94 * (j - k))))
-        k = j if j - k < 3 else j - 1
-    free = 0.0  # least of best[i] - spent[i]: where a brute-force span that reaches here began
-    for i in range(1, n + 1):
-        cost = spent[i] + free
-        for size in range(2, min(LONGEST_WORD, i) + 1):
-            word = low[i - size : i]
+    limit = dict.fromkeys((unit for unit, _ in RUNS), n)
+    ends: dict[int, list[list[int]]] = {unit: [[] for _ in range(unit or 1)] for unit, _ in RUNS}
+    free = spent[n]  # least of best[j] + spent[j]: where a brute-force span that begins here ends
+    for i in range(n - 1, -1, -1):
+        cost = free - spent[i]
+        for size in range(2, min(LONGEST_WORD, n - i) + 1):
+            word = low[i : i + size]
             rank = WORD_RANK.get(word)
             extra = 0.0
-            if rank is None and (rank := WORD_RANK.get(plain[i - size : i])) is not None:
+            if rank is None and (rank := WORD_RANK.get(plain[i : i + size])) is not None:
                 extra = 0.5
             if rank is not None:
-                case = 0.0 if value[i - size : i] == word else 0.5
-                cost = min(cost, best[i - size] + math.log10(rank) + extra + case)
-        for k in dates.get(i, ()):
-            cost = min(cost, best[k] + math.log10(36500))
-        for k, guesses in ends.get(i, ()):
-            cost = min(cost, best[k] + guesses)
+                case = 0.0 if value[i : i + size] == word else 0.5
+                cost = min(cost, best[i + size] + math.log10(rank) + extra + case)
+        if value[i].isdigit():
+            for j in range(i + 4, min(n, i + 10) + 1):
+                if DATE.fullmatch(value, i, j):
+                    cost = min(cost, best[j] + math.log10(36500))
+        for unit, least in RUNS:
+            step = unit or 1
+            if i + step < n and not (value[i] == value[i + unit] if unit else (low[i], low[i + 1]) in WALKS):
+                limit[unit] = i + step
+                ends[unit] = [[] for _ in range(step)]
+            if i + least > limit[unit]:
+                continue
+            first = math.log10(94) if not unit else spent[i + unit] - spent[i]
+            least_run = math.inf
+            for group, some in enumerate(ends[unit]):
+                runs = min((best[j] + math.log10((j - i) // step) for j in some), default=math.inf)
+                if group == (i + least) % step and (new := best[i + least] + math.log10(least // step)) < runs:
+                    some.append(i + least)
+                    runs = new
+                least_run = min(least_run, runs)
+            cost = min(cost, first + least_run)
         best[i] = cost + PER_SEGMENT
-        free = min(free, best[i] - spent[i])
-    return best[n]
+        free = min(free, best[i] + spent[i])
+    return best
+
+
+def guess_cost(value: str) -> float:
+    """log10 of the guesses for ``value`` by the cheapest segmentation; 0 for an empty value."""
+    return guess_costs(value)[0]
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -145,26 +139,31 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def looks_secret(value: str) -> bool:
-    """Whether a value in credential context is hard to guess."""
-    value = value.rstrip(".,;:!?)")
-    return len(value) >= GUESS_CHARS and guess_cost(value) >= GUESS_MIN
-
-
 def guess_spans(text: str) -> list[tuple[int, int, str]]:
     """Values in credential context whose guess cost makes them secrets. A value may hold a further context, whose own value
-    is looked at too, unless a secret found before covers where it begins and it ends there."""
+    is looked at too, unless a secret found before covers where it begins and it ends there. Values with one end share their costs."""
     found = []
-    covered = 0
+    covered = at = end = 0
+    costs: list[float] = []
     for c in CONTEXT.finditer(text):
-        if not (m := VALUE.match(text, c.end())):
+        start = c.end()
+        if start < covered and text[start] not in "\"'":
             continue
-        g = m.lastindex
-        value = m[g].rstrip(".,;:!?)") if g == 3 else m[g]
-        end = m.start(g) + len(value)
-        if end > covered and looks_secret(value):
-            found.append((m.start(g), end, "guess"))
-            covered = end
+        if not at <= start < end:
+            if not (m := VALUE.match(text, start)):
+                continue
+            g = m.lastindex
+            value = m[g].rstrip(".,;:!?)") if g == 3 else m[g]
+            start = m.start(g)
+            costs = guess_costs(value)
+            first, stop = start, start + len(value)
+            if g == 3:
+                at, end = first, stop
+        else:
+            first, stop = at, end
+        if stop > covered and stop - start >= GUESS_CHARS and costs[start - first] >= GUESS_MIN:
+            found.append((start, stop, "guess"))
+            covered = stop
     return found
 
 

@@ -493,3 +493,37 @@ def test_every_key_has_its_value_scored():
         assert [t[a:b] for a, b, _ in secrets.guess_spans(t)] == values
     t = "credentials: x9Kq_vZt7_password: Xk9$mQ2vLp"
     assert {t[a:b] for a, b, _ in secrets.guess_spans(t)} == {"x9Kq_vZt7_password", "Xk9$mQ2vLp"}
+
+
+def slowest_cost(value):
+    """The minimum over every segmentation with all kinds of segments, each found anew."""
+    n, low = len(value), value.lower()
+    plain, best = low.translate(secrets.LEET), [0.0] + [math.inf] * len(value)
+    for j in range(1, n + 1):
+        for i in range(j):
+            s, options = value[i:j], [sum(map(secrets._brute, value[i:j]))]
+            for w, extra in ((low[i:j], 0.0), (plain[i:j], 0.5)):
+                if len(w) > 1 and w in secrets.WORD_RANK:
+                    options.append(math.log10(secrets.WORD_RANK[w]) + extra + (0.5 if s != low[i:j] else 0.0))
+                    break
+            if secrets.DATE.fullmatch(s):
+                options.append(math.log10(36500))
+            if len(s) >= 3 and all(p in secrets.WALKS for p in zip(low[i:j], low[i + 1 : j])):
+                options.append(math.log10(94 * len(s)))
+            for unit in (1, 2, 3, 4):
+                if len(s) >= max(3, 2 * unit) and all(s[k] == s[k + unit] for k in range(len(s) - unit)):
+                    options.append(sum(map(secrets._brute, s[:unit])) + math.log10(len(s) // unit))
+            best[j] = min(best[j], best[i] + min(options) + secrets.PER_SEGMENT)
+    return best[n]
+
+
+def test_guess_cost_is_the_minimum():
+    r = random.Random(5)
+    bits = ["qwertyuiop", "password", "aaaaaaa", "aab", "ababab", "xyzxyzxyz", "12341234", "1231", "2024", "0115", "-", "19", "assassin", "defg", "Q", "$", "k9", "ooo", "lkjh"]
+    values = ["qwertyuiopassword", "20240115", "2024011", "aaaassword", "12121999", "abcdefaultdefault", "aaaaadmin", "xyxyxyxyzzz", "1" * 40 + "2024"]
+    values += ["".join(r.choice(bits) for _ in range(r.randint(1, 5))) for _ in range(400)]
+    values += ["".join(r.choice(a) for _ in range(r.randint(1, 30))) for a in ("ab", "abc", "a1", "qwer", "012", "9") for _ in range(60)]
+    for v in values:
+        assert secrets.guess_cost(v) == pytest.approx(slowest_cost(v)), v
+    costs = secrets.guess_costs("pwd=qwertyuiopassword")
+    assert costs[4] == pytest.approx(secrets.guess_cost("qwertyuiopassword")) and costs[-1] == 0
