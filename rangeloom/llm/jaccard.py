@@ -357,10 +357,11 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, but for one document of each component: its least doc_id. Rows without doc_id stay; of
-    rows that repeat a doc_id, the first by text stays."""
+    rows that repeat a doc_id, the first by text stays, of those whose texts have words if there are any."""
     from pyspark.sql import Window
 
     got = near_duplicates(docs.select("doc_id", "text"), **options)
     stay = got.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("stay")).distinct()
-    kept = docs.join(stay, docs["doc_id"].cast("long") == stay["stay"], "left_semi").withColumn("join_row", F.row_number().over(Window.partitionBy(F.col("doc_id").cast("long")).orderBy("text")))
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = docs.join(stay, docs["doc_id"].cast("long") == stay["stay"], "left_semi").withColumn("join_row", F.row_number().over(Window.partitionBy(F.col("doc_id").cast("long")).orderBy(worded.desc(), "text")))
     return kept.where("join_row = 1").drop("join_row").unionByName(docs.where(F.col("doc_id").isNull()))

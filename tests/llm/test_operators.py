@@ -243,6 +243,12 @@ def test_jaccard_join_edges(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4] and kept.columns == frame(spark, rows).columns
 
 
+def test_one_of_each_prefers_texts_with_words(spark):
+    rows = [(1, None), (1, "real words here"), (2, ""), (2, " \t\n"), (2, "other words"), (3, None), (3, ""), (4, "b"), (4, "a")]
+    kept = jaccard.one_of_each(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept) == [(1, "real words here"), (2, "other words"), (3, ""), (4, "a")]
+
+
 def test_suffix_filter_never_rejects_links():
     r = random.Random(1)
     for _ in range(2000):
