@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,18 +22,21 @@ PIECE_ROWS = 1024
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, one machine) a folder of our own is made.
+    Where that is unset, a local master gets a temporary folder of its own; on a cluster it is an error, as executors
+    would not see the driver's disk.
     """
     here = spark.conf.get("spark.checkpoint.dir", None)
-    if not here:
-        got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if got.isDefined():
-            return got.get()
-        here = tempfile.mkdtemp(prefix="rangeloom-")
-        spark.sparkContext.setCheckpointDir(here)
-        spark.conf.set("spark.checkpoint.dir", here)
-        atexit.register(shutil.rmtree, here, True)
-    return here
+    if here:
+        return here
+    got = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if got.isDefined():
+        return got.get()
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    here = tempfile.mkdtemp(prefix="rangeloom-")
+    spark.sparkContext.setCheckpointDir(here)
+    atexit.register(shutil.rmtree, here, True)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 _swept: set[str] = set()
@@ -51,6 +56,24 @@ def _sweep(spark: SparkSession, top: str) -> None:
         drop(spark, top)
 
 
+#: With this, the files of a plan's shuffles go when the plan has ended, not when the driver collects its garbage.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Plans that run inside leave no shuffle files."""
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(TIDY)
+        else:
+            spark.conf.set(TIDY, before)
+
+
 def table(df: DataFrame, name: str, codec: str = "zstd", partition_by: str | None = None) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet to the shared folder; return the reread table and its path.
 
@@ -59,10 +82,22 @@ def table(df: DataFrame, name: str, codec: str = "zstd", partition_by: str | Non
     spark = df.sparkSession
     at = new_folder(spark, name)
     out = df.write.option("compression", codec)
-    (out.partitionBy(partition_by) if partition_by else out).parquet(at)
+    with tidy(spark):
+        (out.partitionBy(partition_by) if partition_by else out).parquet(at)
     return spark.read.schema(df.schema).parquet(at), at
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until no column of ``df`` has it, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete folders written by :func:`table` that no plan needs any more."""
     jvm = spark.sparkContext._jvm
@@ -72,14 +107,6 @@ def drop(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of plans that are done."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def text_array(col: pa.Array) -> pa.Array:
     """Nulls as empty texts; large offsets never needed, as one batch stays under 2 GB."""
     return pc.fill_null(col, "") if col.null_count else col

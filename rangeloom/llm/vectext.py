@@ -1,11 +1,20 @@
-"""Vectorised byte-level views of a column of texts: words, lines, 64-bit hashes.
+"""Vectorised byte-level views of a column of texts: words, lines, code points, 64-bit hashes.
 
 All texts of a piece lie in one buffer. Words are maximal runs of bytes other than
 0x20 and 0x09-0x0D; as those are ASCII, byte runs are the same as code-point runs in UTF-8.
+Whatever takes more than a few bytes for each byte of text is done in blocks of ``BLOCK`` bytes, so a text of any length
+needs its own bytes, four masks of the same length, and a fixed number of bytes a word.
+
+Span hashes are polynomials modulo 2**64 of random byte codes, then mixed. Equal bytes give equal hashes. Chance collisions of
+n spans have odds of n**2 / 2**65; a writer who knows the base can construct spans of thousands of bytes that collide,
+which would make them count as equal.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -29,17 +38,19 @@ BYTE = mix(np.arange(256, dtype=U) + U(0x51ED27))
 BYTE_LOWER = BYTE[LOWER]
 BASE = 0xD1342543DE82EF95
 BASE_INV = pow(BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+#: Bytes of one step of work that needs many bytes for each.
+BLOCK = 1 << 20
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) <= n:
-        size = max(n + 1, 1 << 21)
-        for k, b in enumerate((BASE, BASE_INV)):
-            x = np.full(size, b, U)
-            x[0] = 1
-            _powers[k] = np.cumprod(x, dtype=U)
-    return _powers[0], _powers[1]
+@functools.cache
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0..size of the base and of its inverse."""
+    out = []
+    for b in (BASE, BASE_INV):
+        x = np.full(size + 1, b, U)
+        x[0] = 1
+        out.append(np.cumprod(x, dtype=U))
+    return out[0], out[1]
 
 
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -71,13 +82,67 @@ def runs(keep: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, off)
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, equal for equal bytes wherever the span lies."""
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, block: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span's bytes, equal for equal bytes wherever the span lies. Spans ascend and don't overlap."""
+    block = block or BLOCK
+    power, inverse = _powers(block)
+    codes = BYTE_LOWER if lower else BYTE
+    out = np.zeros(len(starts), U)
+    total = np.zeros(min(block, len(raw)) + 1, U)
+    first, open_span = 0, -1  # the span that began in an earlier block and goes on
+    for a in range(0, len(raw), block):
+        b = min(a + block, len(raw))
+        np.cumsum(codes[raw[a:b]] * power[: b - a], out=total[1 : b - a + 1])
+        if open_span >= 0:
+            stop = min(int(ends[open_span]), b)
+            shift = pow(BASE, a - int(starts[open_span]), 1 << 64)
+            out[open_span] = U(int(out[open_span]) + int(total[stop - a]) * shift & _M)
+            if ends[open_span] <= b:
+                open_span = -1
+        last = int(np.searchsorted(starts, b))
+        if last > first:
+            s, e = starts[first:last] - a, np.minimum(ends[first:last], b) - a
+            out[first:last] = (total[e] - total[s]) * inverse[s]
+            if ends[last - 1] > b:
+                open_span = last - 1
+            first = last
+    return mix(out + mix((ends - starts).astype(U)))
+
+
+def span_counts(mask: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 17) -> np.ndarray:
+    """How many bytes of each span the mask marks. Spans ascend and don't overlap."""
+    out = np.zeros(len(starts), np.int64)
+    for k in range(0, len(starts), step):
+        s, e = starts[k : k + step], ends[k : k + step]
+        a = int(s[0])
+        total = np.zeros(int(e[-1]) - a + 1, np.int32)
+        np.cumsum(mask[a : int(e[-1])], out=total[1:], dtype=np.int32)
+        out[k : k + step] = total[e - a] - total[s - a]
+    return out
+
+
+def code_points(raw: np.ndarray, off: np.ndarray, more: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(code points, the text of each, how many of them are this block's own) of one block after another; a block also shows
+    the ``more`` code points behind it."""
     n = len(raw)
-    power, inverse = _powers_to(n)
-    total = np.zeros(n + 1, U)
-    np.cumsum((BYTE_LOWER if lower else BYTE)[raw] * power[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + mix((ends - starts).astype(U)))
+    a = 0
+    while a < n:
+        b = _edge(raw, min(a + BLOCK, n))
+        e = b
+        for _ in range(more):
+            e = _edge(raw, min(e + 1, n))
+        points = np.frombuffer(raw[a:e].tobytes().decode().encode("utf-32-le"), "<u4")
+        at = np.flatnonzero((raw[a:e] & 0xC0) != 0x80) + a
+        own = np.repeat(np.arange(len(off) - 1), np.diff(np.searchsorted(at, off)))
+        yield points, own, int(np.searchsorted(at, b))
+        a = b
+
+
+def _edge(raw: np.ndarray, at: int) -> int:
+    """The first place from ``at`` on where a code point begins, or the end."""
+    while at < len(raw) and raw[at] & 0xC0 == 0x80:
+        at += 1
+    return at
 
 
 def owners(off: np.ndarray) -> np.ndarray:
