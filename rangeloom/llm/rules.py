@@ -1,7 +1,7 @@
 """Operator 6. Quality rules: a calibrated hashed n-gram logistic regression beside fixed rules.
 
-Words and character n-grams (byte trigrams) are hashed to buckets; a text's features are the square roots of its
-shares of each bucket. A logistic regression is fitted to a bounded sample of labelled rows, Platt-calibrated on
+Word n-grams (1 to 3 words) and character n-grams (2 and 3 code points) are hashed to buckets; a text's features are the square
+roots of its shares of each bucket. A logistic regression is fitted to a bounded sample of labelled rows, Platt-calibrated on
 folds it did not see, broadcast (a few hundred kB) and applied in Arrow batches against a fixed threshold.
 """
 
@@ -15,10 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces, text_array
-from .vectext import U, Words, mix, owners, runs, span_hashes, sums
+from .vectext import U, Words, code_points, mix, owners, runs, span_hashes, sums
 
-#: Buckets for words and for character n-grams; labelled rows of each class that are learned from; least probability kept.
+#: Buckets for word and for character n-grams; labelled rows of each class that are learned from; least probability kept.
 WORD_BUCKETS, CHAR_BUCKETS, SAMPLE, KEEP = 1024, 1024, 1500, 0.5
+#: Lengths of the n-grams, in words and in code points.
+WORD_ORDERS, CHAR_ORDERS = (1, 2, 3), (2, 3)
+#: Words whose buckets are counted at once.
+STEP = 1 << 18
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -62,33 +66,47 @@ def base_counts(col: pa.Array, words: Words | None = None) -> dict[str, np.ndarr
     }
 
 
-def buckets(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(word bucket of each word, character bucket of the trigram at each byte but the last two of a text; -1 there)."""
-    words = (w.hashes(lower=False) >> U(40)).astype(np.int64) % WORD_BUCKETS
-    raw = w.raw.astype(np.uint32)
-    grams = np.full(len(raw), -1, np.int32)
-    if len(raw) > 2:
-        x = raw[:-2] | raw[1:-1] << np.uint32(8) | raw[2:] << np.uint32(16)
-        grams[:-2] = ((x * np.uint32(0x9E3779B1)) >> np.uint32(7)) % np.uint32(CHAR_BUCKETS)
-        ends = w.text_off[1:]
-        for k in (1, 2):
-            at = ends - k
-            at = at[at >= 0]
-            grams[at[at < len(grams)]] = -1
-    return words, grams
+def word_buckets(hashes: np.ndarray) -> np.ndarray:
+    """Bucket of the n-gram of words with these hashes (n-grams x n)."""
+    h = hashes[:, 0]
+    for k in range(1, hashes.shape[1]):
+        h = mix(h * U(0x9FB21C651E98DF25) + hashes[:, k])
+    return ((h >> U(40)) % U(WORD_BUCKETS)).astype(np.int64)
+
+
+def char_buckets(points: np.ndarray) -> np.ndarray:
+    """Bucket of the n-gram of these code points (n-grams x n, unsigned 32-bit)."""
+    h = np.full(len(points), points.shape[1], np.uint32)
+    for k in range(points.shape[1]):
+        h = (h ^ points[:, k]) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+    return ((h >> np.uint32(7)) % np.uint32(CHAR_BUCKETS)).astype(np.int64)
+
+
+def _windows(x: np.ndarray, n: int) -> np.ndarray:
+    return np.lib.stride_tricks.sliding_window_view(x, n) if len(x) >= n else np.zeros((0, n), x.dtype)
 
 
 def features(w: Words) -> np.ndarray:
-    """Square roots of bucket shares, texts x buckets; an empty text is all zeros."""
+    """Square roots of bucket shares, texts x buckets: word n-grams of all orders share one half, character n-grams the
+    other. No n-gram crosses texts; a text without n-grams of a kind is all zeros there."""
     m = len(w.text_off) - 1
-    words, grams = buckets(w)
-    a = np.bincount(w.owners() * WORD_BUCKETS + words, minlength=m * WORD_BUCKETS).reshape(m, -1).astype(np.float32)
-    text = np.repeat(np.arange(m), np.diff(w.text_off))
-    ok = grams >= 0
-    b = np.bincount(text[ok] * CHAR_BUCKETS + grams[ok], minlength=m * CHAR_BUCKETS).reshape(m, -1).astype(np.float32)
-    for x in (a, b):
-        x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
-    return np.sqrt(np.concatenate([a, b], axis=1))
+    words, chars = (np.zeros(m * size, np.float32) for size in (WORD_BUCKETS, CHAR_BUCKETS))
+    h, owner = w.hashes(lower=False), w.owners()
+    more = max(WORD_ORDERS) - 1
+    for a in range(0, len(h), STEP):
+        own, some = owner[a : a + STEP + more], h[a : a + STEP + more]
+        for n in WORD_ORDERS:
+            last = min(STEP, len(some) - n + 1)
+            ok = np.flatnonzero(own[:last] == own[n - 1 : n - 1 + last]) if last > 0 else np.zeros(0, np.int64)
+            words += np.bincount(own[ok] * WORD_BUCKETS + word_buckets(_windows(some, n)[ok]), minlength=len(words))
+    for points, own, mine in code_points(w.raw, w.text_off, max(CHAR_ORDERS) - 1):
+        for n in CHAR_ORDERS:
+            last = min(mine, len(points) - n + 1)
+            ok = np.flatnonzero(own[:last] == own[n - 1 : n - 1 + last]) if last > 0 else np.zeros(0, np.int64)
+            chars += np.bincount(own[ok] * CHAR_BUCKETS + char_buckets(_windows(points, n)[ok]), minlength=len(chars))
+    halves = [x.reshape(m, -1) for x in (words, chars)]
+    return np.sqrt(np.concatenate([x / np.maximum(x.sum(axis=1, keepdims=True), 1) for x in halves], axis=1))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -126,19 +144,27 @@ def platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
     """(doc_id, text, label) of at most ``per_class`` labelled documents a class, those with the smallest hash of
-    doc_id, and each class's full count. Labels that are null, unknown or contradict each other are left out."""
-    by_id = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("label"), F.max("quality").alias("other")).where(F.col("doc_id").isNotNull() & (F.col("label") == F.col("other")) & F.col("label").isin(0, 1)).select("doc_id", "label")
+    doc_id, and each class's full count.
+
+    Labels that are null, neither 0 nor 1, of unknown documents or that contradict each other are left out; repeated equal
+    labels count once; without labels the sample is empty. A chosen doc_id that repeats gives all its rows. Null texts stay
+    null. Only doc_id, text and quality are read, whatever other columns are called.
+    """
+    quality = F.col("quality")
+    by_id = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(quality).alias("label"), F.max(quality).alias("other"))
+    sure = F.col("doc_id").isNotNull() & (F.col("label") == F.col("other")) & F.col("label").isin(0, 1)
+    by_id = by_id.where(sure).select("doc_id", F.col("label").cast("int").alias("label"))
     here = by_id.join(docs.select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_semi")
     known = dict(map(tuple, here.groupBy("label").count().collect()))
     order = F.xxhash64("doc_id")
     picked = [r for c in (0, 1) for r in here.where(F.col("label") == c).orderBy(order, "doc_id").limit(per_class).collect()]
     # bounded by 2 * per_class ids
-    chosen = docs.sparkSession.createDataFrame(picked, "doc_id long, label int") if picked else docs.sparkSession.createDataFrame([], "doc_id long, label int")
+    chosen = docs.sparkSession.createDataFrame(picked, "doc_id long, label int")
     return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id"), known
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """Calibrated weights and bias: sigmoid(x @ weights + bias) is the probability of label 1.
+    """What the driver gets is a vector of fixed length for each row of the sample (12 MB in all). Calibrated weights and bias: sigmoid(x @ weights + bias) is the probability of label 1.
 
     With one class or none, there is nothing to tell apart: weights 0, and the class's smoothed share as bias.
     """
@@ -181,8 +207,9 @@ def judge(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, keep: flo
 
     base_failed: under 50 words, or over half of the words in repeated 3-word windows. kept: not base_failed, and the
     probability of good quality is at least ``keep``. Null texts are empty; null doc_ids and repeated rows pass through row by row;
-    other columns are ignored; an empty table gives no rows. Lines of equal bytes are equal; words are told apart by 64-bit hashes.
-    Map-only but for the sample of at most 2 * ``per_class`` labelled rows.
+    other columns are ignored; an empty table gives no rows. Lines and words are told apart by the 64-bit hashes of
+    :mod:`vectext`. Map-only but for the sample of at most 2 * ``per_class`` labelled rows. Memory of a worker: some
+    60 bytes a word and 10 a byte of the longest text.
     """
     sc = docs.sparkSession.sparkContext
     model = sc.broadcast(learn(docs, labels, per_class))
