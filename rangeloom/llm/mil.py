@@ -5,7 +5,8 @@ A document is a bag of passages of ``PASSAGE`` words. Every passage is encoded;
     a_i = softmax_i( w . (tanh(V h_i) * sigmoid(U h_i)) ),
 
 weighs the encodings, and a logistic unit scores the weighted sum. Encoder, attention and output
-are learned together from document labels alone, by Adam on the driver, over a bounded sample.
+are learned together from document labels alone, by Adam on the driver, over a bounded sample: ``SAMPLE`` documents of a
+class, and of each at most ``BAG`` passages, evenly spread. All passages of every document are scored.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ from pyspark.sql import functions as F
 from .bloomlm import held_out
 from .common import pieces, text_array
 from .rules import SYMBOLS, duplicate_mask, labelled_sample, sigmoid
-from .vectext import U, Words, mix, sums
+from .vectext import BLOCK, U, Words, mix, span_counts
 
 #: Words of a passage, hashed n-gram buckets of its features, size of an encoding and of the attention.
 PASSAGE, BUCKETS, HIDDEN, ATTENTION = 64, 96, 24, 12
-#: Labelled documents of each class that are learned from, and passes over them.
-SAMPLE, STEPS, THRESHOLD = 1500, 250, 0.3
+#: Labelled documents of each class that are learned from, passages of each of them (so the driver gets 2 * SAMPLE * BAG vectors
+#: at most, 11 MB), passes over them, and the least score of a good document.
+SAMPLE, BAG, STEPS, THRESHOLD = 1500, 16, 250, 0.3
 
 _BYTE = np.arange(256)
 CLASSES = [
@@ -54,8 +56,14 @@ def passages(w: Words) -> tuple[np.ndarray, np.ndarray]:
     later = np.flatnonzero((inside % PASSAGE == 0) & (inside > 0))
     start[place[later]] = w.starts[later]
     start[-1] = len(w.raw)
-    byte_place = np.repeat(np.arange(total), np.diff(start))
-    shape = np.bincount(byte_place * N_SHAPE + SHAPE[w.raw], minlength=total * N_SHAPE).reshape(total, N_SHAPE)
+    shape, grams = np.zeros((total, N_SHAPE)), np.zeros((total, BUCKETS))
+    for a in range(0, len(w.raw), BLOCK):
+        b = min(a + BLOCK, len(w.raw))
+        p, q = int(np.searchsorted(start, a, "right")) - 1, int(np.searchsorted(start, b))
+        here = np.repeat(np.arange(q - p), np.diff(np.clip(start[p : q + 1], a, b)))
+        shape[p:q] += np.bincount(here * N_SHAPE + SHAPE[w.raw[a:b]], minlength=(q - p) * N_SHAPE).reshape(-1, N_SHAPE)
+        code = byte_pairs(w.raw[a : b + 1])
+        grams[p:q] += np.bincount(here[: len(code)] * BUCKETS + code, minlength=(q - p) * BUCKETS).reshape(-1, BUCKETS)
     size = np.maximum(np.diff(start), 1)[:, None]
     words = np.bincount(place, minlength=total)
     per = np.maximum(words, 1)
@@ -74,23 +82,20 @@ def passages(w: Words) -> tuple[np.ndarray, np.ndarray]:
     length = (w.ends - w.starts).astype(float)
     mark = SYMBOLS[w.raw[w.ends - 1]] if n else np.zeros(0, bool)
     bang = (w.raw[w.ends - 1] == 33) if n else np.zeros(0, bool)
-    caps = np.zeros(0, bool)
-    if n:
-        upper, letters = CLASSES[0][w.raw], CLASSES[1][w.raw]
-        running = lambda x: np.concatenate([[0], np.cumsum(x)])
-        a, b = running(upper), running(letters)
-        caps = (a[w.ends] - a[w.starts] > 1) & (b[w.ends] == b[w.starts])
-    stats = [per_word(x.astype(float)) for x in (same, again, covered, mark, bang, caps)] + [per_word(length) / 10, words / PASSAGE]
-    raw = w.raw.astype(np.uint32)
-    grams = np.zeros((total, BUCKETS))
-    if len(raw) > 1:
-        x = raw[:-1] | raw[1:] << np.uint32(8)
-        code = ((x * np.uint32(0x9E3779B1)) >> np.uint32(9)) % np.uint32(BUCKETS)
-        grams = np.bincount(byte_place[:-1] * BUCKETS + code, minlength=total * BUCKETS).reshape(total, BUCKETS)
+    caps = (span_counts(CLASSES[0][w.raw], w.starts, w.ends) > 1) & (span_counts(CLASSES[1][w.raw], w.starts, w.ends) == 0)
+    each = (same, again, covered, mark, bang, caps)
+    stats = [per_word(x.astype(float)) for x in each] + [per_word(length) / 10, words / PASSAGE]
     x = np.concatenate([np.sqrt(shape / size), np.stack(stats, axis=1), np.sqrt(grams / size)], axis=1)
     return x.astype(np.float32), off
 
 
+def byte_pairs(raw: np.ndarray) -> np.ndarray:
+    """Bucket of each byte but the last with the one behind it."""
+    x = raw.astype(np.uint32)
+    x = x[:-1] | x[1:] << np.uint32(8)
+    return ((x * np.uint32(0x9E3779B1)) >> np.uint32(9)) % np.uint32(BUCKETS)
+
+
 def softmax_weights(score: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Attention of each passage within its text."""
     top = np.repeat(np.maximum.reduceat(score, off[:-1]), np.diff(off))
@@ -146,19 +151,25 @@ class Net:
         return self
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, folds: int = 5, fold: int = 0, steps: int = STEPS) -> Net | float:
-    """The model, learned from at most ``per_class`` labelled documents of each class outside the fold; with one class or
-    none, its smoothed share as constant score. Only texts and labels.quality are read; the sample's passages meet on the driver."""
-    inside = held_out(labels, folds, fold).where(~F.col("held_out"))
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, folds: int = 5, fold: int = 0, steps: int = STEPS, bag: int = BAG) -> Net | float:
+    """The model, learned from at most ``per_class`` labelled documents of each class outside the fold, and at most ``bag``
+    passages of each; with one class or none, its smoothed share as constant score.
+
+    Only texts and labels.quality are read. The bound of what meets on the driver is ``2 * per_class * bag`` vectors,
+    however long the texts are (a doc_id that repeats gives all its rows).
+    """
+    inside = held_out(labels.select("doc_id", "quality"), folds, fold).where(~F.col("held_out"))
     sample, known = labelled_sample(docs, inside, per_class)
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             x, off = passages(Words(text_array(piece.column(1))))
             x = x.astype(np.float16)
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array([x[a:b].tobytes() for a, b in zip(off, off[1:], strict=False)], pa.binary())], ["doc_id", "label", "x"])
+            kept = [x[spread(a, b, bag)].tobytes() for a, b in zip(off, off[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(kept, pa.binary())], ["doc_id", "label", "x"])
 
-    rows = sample.select("doc_id", "text", "label").mapInArrow(bags, "doc_id long, label int, x binary").toArrow().sort_by("doc_id")
+    vectors = sample.select("doc_id", "text", "label").mapInArrow(bags, "doc_id long, label int, x binary")
+    rows = vectors.toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
     y = rows.column("label").to_numpy().astype(np.float64)
     n1, n0 = known.get(1, 0), known.get(0, 0)
     if len(set(y)) < 2:
@@ -169,6 +180,11 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, folds: in
     return Net().fit(np.concatenate(each).astype(np.float32), off, y, weight, steps)
 
 
+def spread(a: int, b: int, most: int) -> np.ndarray:
+    """At most ``most`` of the places a..b-1, evenly spread."""
+    return np.arange(a, b) if b - a <= most else a + np.arange(most) * (b - a) // most
+
+
 def scorer(model: Net | float):
     """Arrow column of texts without nulls -> scores."""
     if isinstance(model, float):
@@ -181,7 +197,7 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0,
 
     Null and empty texts are one empty passage; null doc_ids and repeated rows pass through row by row; labels that are null,
     contradictory or of unknown documents teach nothing; other columns are ignored; an empty table gives no rows. Map-only but
-    for the bounded sample; the model of some 20 kB is broadcast.
+    for the bounded sample; the model of some 20 kB is broadcast. Memory of a worker: some 150 bytes a word of the longest text.
     """
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, folds=folds, fold=fold, **options))
 
