@@ -9,8 +9,10 @@ until one is absent. The model is a bigram with Dirichlet smoothing,
 whose log is a sum of terms that each depend on entries keyed by one word: c(u w) and c(w)
 by w, c(u) by u. So the vocabulary is dealt to regions by a word's hash; a region holds its words,
 the bigrams that end in them, their filter and their exact counts (for the unigram base
-score). Groups of regions of bounded size are broadcast; a text's score is the sum of its
-parts. Filters grow with the corpus and need more passes, never a larger broadcast.
+score). Within a region, entries are dealt over cells, bigrams by a hash of both words, so that the many predecessors of one frequent
+word make no cell larger than others. Groups of regions of bounded size are broadcast, one a pass. Filters grow with the corpus and
+need more passes, never a larger broadcast: then the texts are read and hashed once, their probes are dealt to the passes, each pass reads
+its own, and a row's score is the sum of its parts.
 """
 
 from __future__ import annotations
@@ -25,16 +27,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, table, text_array
-from .vectext import U, Words, mix, sums
+from .common import drop, new_folder, pieces, table, text_array
+from .vectext import U, Words, buffers, mix, sums
 
 #: Step of the quantised counts, filter bits for each entry and level, bits set for each, smoothing mass.
 LOG_BASE, BITS, PROBES, MU = 1.5, 11, 5, 2.0
-#: Bytes broadcast at once.
-PASS_BYTES = 192 << 20
+#: Bytes broadcast at once; binary digits of the number of regions at most, and of cells in a region.
+PASS_BYTES, REGION_BITS, CELL_BITS = 192 << 20, 13, 4
 END = mix(np.array([0xE0D], U))[0]
 BOS = mix(np.array([0xB05], U))[0]
 TOP = U(0xFFFF << 48)
+KINDS = (0, 1)  # words, bigrams
 #: Bigram occurrences that a task holds before it passes counts on.
 HELD = 2_000_000
 
@@ -44,6 +47,14 @@ def bigram_keys(prev: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (word & TOP) | (mix(prev * U(0x9FB21C651E98DF25) ^ word) & ~TOP)
 
 
+def cells(keys: np.ndarray, kind: int, bits: int) -> np.ndarray:
+    """The cell of each word or bigram key: its region, then for words the next bits (so cells ascend with words), for bigrams the
+    lowest, which depend on both words."""
+    if kind == 0:
+        return (keys >> U(64 - bits - CELL_BITS)).astype(np.int64)
+    return (keys >> U(64 - bits)).astype(np.int64) << CELL_BITS | (keys & U((1 << CELL_BITS) - 1)).astype(np.int64)
+
+
 def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word hash, previous hash, offsets) of each text's words and its end token."""
     words = Words(col)
@@ -110,11 +121,11 @@ def make_filter(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """The regions [low, high) of one pass, as workers use them: words in ascending order with their counts, and the regions' filters
+    """The regions [low, high) of one pass, as workers use them: words in ascending order with their counts, and the cells' filters
     one behind the other. The arrays are those of the broadcast, not copies."""
 
     def __init__(self, bits: int, low: int, keys: np.ndarray, counts: np.ndarray, blocks: np.ndarray, filters: np.ndarray):
-        self.bits, self.low, self.high = bits, low, low + len(blocks)
+        self.bits, self.low, self.high = bits, low, low + (len(blocks) >> CELL_BITS)
         self.keys, self.counts, self.filter = keys, counts, filters
         self.blocks = blocks.astype(U)
         self.first = np.concatenate([[0], np.cumsum(blocks)]).astype(np.int64)
@@ -144,10 +155,10 @@ class Model:
             active = active[~hit & (at[active] < end[active])]
         return out
 
-    def probe(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts of keys of these regions."""
-        region = (keys >> U(64 - self.bits)).astype(np.int64) - self.low
-        blocks, first = self.blocks[region], self.first[region]
+    def probe(self, keys: np.ndarray, kind: int) -> np.ndarray:
+        """Quantised counts of words or bigrams of these regions."""
+        cell = cells(keys, kind, self.bits) - (self.low << CELL_BITS)
+        blocks, first = self.blocks[cell], self.first[cell]
         level = np.zeros(len(keys), np.int64)
         active = np.arange(len(keys))
         while len(active):
@@ -161,13 +172,14 @@ class Model:
 
 
 def train(docs: DataFrame) -> tuple[DataFrame, str, int]:
-    """The regions of a table with a column ``text``: (table, its path, bits of a region's number).
+    """The cells of a table with a column ``text``: (table, its path, bits of a region's number).
 
+    Null texts are empty; repeated rows count as often as they occur; other columns are ignored; an empty table gives no cells.
     Words and bigrams are counted in each task first, so a frequent one costs a row a task; what is
-    shuffled are packets of sorted keys, one a region and task.
+    shuffled are packets of sorted keys, one a cell and task.
     """
     parts = docs.rdd.getNumPartitions()
-    bits = min(16, max(4, (parts * 4 - 1).bit_length()))
+    bits = min(REGION_BITS, max(3, (parts * 4 - 1).bit_length() - CELL_BITS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
@@ -176,13 +188,17 @@ def train(docs: DataFrame) -> tuple[DataFrame, str, int]:
 
         def flush() -> pa.RecordBatch:
             rows = []
-            for kind in (0, 1):
+            for kind in KINDS:
                 keys, counts = counted(*(np.concatenate(x) for x in zip(*held[kind], strict=True)))
-                cut = np.searchsorted(keys >> U(64 - bits), np.arange((1 << bits) + 1, dtype=U))
+                cell = cells(keys, kind, bits)
+                by = np.argsort(cell, kind="stable")
+                keys, counts = keys[by], counts[by]
+                cut = np.searchsorted(cell[by], np.arange((1 << bits + CELL_BITS) + 1))
                 for r in np.flatnonzero(np.diff(cut)):
                     a, b = cut[r], cut[r + 1]
                     rows.append((int(r), kind, keys[a:b].tobytes(), zip_.compress(counts[a:b].astype("<u4").tobytes())))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["region", "kind", "keys", "counts"])
+            types = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["cell", "kind", "keys", "counts"])
 
         for piece in pieces(batches):
             seq, prev, _ = tokens(text_array(piece.column(0)))
@@ -199,83 +215,150 @@ def train(docs: DataFrame) -> tuple[DataFrame, str, int]:
     def build(key: tuple, packets: pd.DataFrame) -> pd.DataFrame:
         unzip = zstandard.ZstdDecompressor()
         got = []
-        for kind in (0, 1):
+        for kind in KINDS:
             some = packets[packets["kind"] == kind]
-            got.append(counted(np.concatenate([np.frombuffer(x, U) for x in some["keys"]]), np.concatenate([np.frombuffer(unzip.decompress(x), "<u4") for x in some["counts"]]).astype(np.int64)))
+            keys = [np.frombuffer(x, U) for x in some["keys"]]
+            counts = [np.frombuffer(unzip.decompress(x), "<u4") for x in some["counts"]]
+            got.append(counted(np.concatenate([np.zeros(0, U), *keys]), np.concatenate([np.zeros(0, np.int64), *counts]).astype(np.int64)))
         (words, counts), (pairs, pair_counts) = got
         made = make_filter(np.concatenate([words, pairs]), np.concatenate([counts, pair_counts]))
-        row = (int(key[0]), len(words), int(counts.sum()), words.tobytes(), np.minimum(counts, 0xFFFFFFFF).astype("<u4").tobytes(), made.tobytes())
-        return pd.DataFrame([row], columns=["region", "n_words", "n_tokens", "words", "counts", "filter"])
+        shown = np.minimum(counts, 0xFFFFFFFF).astype("<u4")
+        row = (int(key[0]), len(words), int(counts.sum()), words.tobytes(), shown.tobytes(), made.tobytes())
+        return pd.DataFrame([row], columns=["cell", "n_words", "n_tokens", "words", "counts", "filter"])
 
-    packets = docs.select("text").mapInArrow(count, "region int, kind int, keys binary, counts binary")
-    regions = packets.groupBy("region").applyInPandas(build, "region int, n_words long, n_tokens long, words binary, counts binary, filter binary")
-    done, path = table(regions, "lm-regions", codec="none")
+    packets = docs.select("text").mapInArrow(count, "cell int, kind int, keys binary, counts binary")
+    made = packets.groupBy("cell").applyInPandas(build, "cell int, n_words long, n_tokens long, words binary, counts binary, filter binary")
+    done, path = table(made, "lm-cells", codec="none")
     return done, path, bits
 
 
+class Sizes:
+    """What the driver knows of a model: words, blocks and bytes of each cell (2**(REGION_BITS + CELL_BITS) at most), and totals."""
+
+    def __init__(self, cells: DataFrame, bits: int):
+        size = (F.length("words") * 1.5 + F.length("filter")).cast("long")
+        rows = cells.select("cell", "n_words", "n_tokens", (F.length("filter") / 8).cast("long"), size).collect()
+        self.words, self.blocks = {r[0]: r[1] for r in rows}, {r[0]: r[3] for r in rows}
+        self.bytes = np.zeros(1 << bits, np.int64)
+        for r in rows:
+            self.bytes[r[0] >> CELL_BITS] += r[4]
+        self.n, self.v = sum(r[2] for r in rows), sum(r[1] for r in rows)
+
+    def passes(self, most: int) -> list[tuple[int, int]]:
+        """Regions [low, high) of each pass: as many as ``most`` bytes hold, one at least."""
+        out, low, total = [], 0, 0
+        for r, size in enumerate(self.bytes.tolist()):
+            if total and total + size > most:
+                out.append((low, r))
+                low, total = r, 0
+            total += size
+        return [*out, (low, len(self.bytes))]
+
+
+def parts(m: Model, word: np.ndarray, pair: np.ndarray, n: int, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(known, base, score) of tokens whose words are of the model's regions: each token's own terms."""
+    c = m.exact(word)
+    # an n-gram is no more frequent than its word, and a word that was never seen has none: this undoes false positives
+    one = np.where(c > 0, m.probe(word, 0), 0.0)
+    two = np.minimum(m.probe(pair, 1), one)
+    cost = np.log10(two + MU * (one + 1) / (n + v + 1))
+    # as history of the next token; the end token is none
+    cost -= np.where(word == END, 0.0, np.log10(one + MU))
+    return (c > 0).astype(np.int64), np.log10(c + 1.0) - np.log10(n + v + 1), cost
+
+
 def score(docs: DataFrame, model: tuple[DataFrame, str, int], train_docs: int, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens long, base_score, score double of every text, in base 10 logs."""
-    regions, _, bits = model
-    sc = docs.sparkSession.sparkContext
-    rows = regions.select("region", (F.length("words") * 1.5 + F.length("filter")).cast("long"), "n_words", "n_tokens", (F.length("filter") / 8).cast("long")).collect()
-    sizes = {r[0]: r[1] for r in rows}
-    words, blocks = {r[0]: r[2] for r in rows}, {r[0]: r[4] for r in rows}
-    n, v = sum(r[3] for r in rows), sum(r[2] for r in rows)
-    groups, low, total = [], 0, 0
-    for r in range(1 << bits):
-        if total and total + sizes.get(r, 0) > pass_bytes:
-            groups.append((low, r))
-            low, total = r, 0
-        total += sizes.get(r, 0)
-    groups.append((low, 1 << bits))
-    key = []
-    if len(groups) > 1:  # the passes meet by row: ids may be null or repeat
-        docs, _ = table(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("lm_row")), "lm-rows")
-        key = ["lm_row"]
-    parts = []
-    for low, high in groups:
-        shipped = sc.broadcast(_arrays(regions, low, high, words, blocks))
-
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped, low=low, token=uuid.uuid4().hex, first=low == 0) -> Iterator[pa.RecordBatch]:
-            m = _model(token, shipped, bits, low)
-            base_total = np.log10(n + v + 1)
+    """doc_id, n_tokens, n_known, train_tokens long, base_score, score double of every text, in base 10 logs.
+
+    Rows are scored one by one: null texts are empty, null and repeated doc_ids stay rows of their own, also where the
+    model needs several passes. Other columns are ignored; an empty table gives no rows.
+    """
+    cells_, _, bits = model
+    sizes = Sizes(cells_, bits)
+    n, v = sizes.n, sizes.v
+    groups = sizes.passes(pass_bytes)
+    start = np.log10(train_docs + MU)  # of every text as history, counted exactly
+    names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
+    schema = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+    if len(groups) == 1:
+        shipped = _ship(cells_, groups[0], sizes)
+
+        def run(batches: Iterator[pa.RecordBatch], token=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            m = _model(token, shipped, bits, 0)
             for piece in pieces(batches):
                 word, prev, off = tokens(text_array(piece.column(1)))
-                mine = np.flatnonzero(m.mine(word))
-                w = word[mine]
-                c = m.exact(w)
-                # an n-gram is no more frequent than its word, and a word that was never seen has none: this undoes false positives
-                one = np.where(c > 0, m.probe(w), 0.0)
-                two = np.minimum(m.probe(bigram_keys(prev[mine], w)), one)
-                cost = np.log10(two + MU * (one + 1) / (n + v + 1))
-                # as history of the next token; the end token is none
-                cost -= np.where(w == END, 0.0, np.log10(one + MU))
-                at = np.searchsorted(mine, off)
-                base = sums(np.log10(c + 1.0) - base_total, at)
-                lm = sums(cost, at)
-                if first:  # the start of every text as history, counted exactly
-                    lm = lm - np.log10(train_docs + MU)
-                known = sums((c > 0).astype(np.int64), at)
-                yield pa.RecordBatch.from_arrays([piece.column(0), *piece.columns[2:], pa.array(np.diff(off)), pa.array(known), pa.array(base), pa.array(lm)], ["doc_id", *key, "n_tokens", "n_known", "base_score", "score"])
-
-        parts.append(docs.select("doc_id", "text", *key).mapInArrow(run, "doc_id long, " + "".join(f"{k} long, " for k in key) + "n_tokens long, n_known long, base_score double, score double"))
-    if len(parts) == 1:
-        out = parts[0]
+                known, base, cost = (sums(x, off) for x in parts(m, word, bigram_keys(prev, word), n, v))
+                yield pa.RecordBatch.from_arrays([piece.column(0), *map(pa.array, (np.diff(off), known, base, cost - start))], names)
+
+        out = docs.select("doc_id", "text").mapInArrow(run, schema)
     else:
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        out = out.groupBy("lm_row", "doc_id", "n_tokens").agg(F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
+        out = _score_in_passes(docs, cells_, bits, sizes, groups, start)
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _arrays(regions: DataFrame, low: int, high: int, words: dict[int, int], blocks: dict[int, int]) -> tuple[np.ndarray, ...]:
-    """Keys, counts, blocks of each region (one empty block where there is none) and filters of the regions [low, high), filled region by region."""
+def _score_in_passes(docs: DataFrame, cells_: DataFrame, bits: int, sizes: Sizes, groups: list[tuple[int, int]], start: float) -> DataFrame:
+    """The texts are hashed once; each row's probes go to the pass that has their regions (a shuffle of 14 bytes a token, dealt by
+    pass and split where a pass has much). One pass after another reads its own probes, and its broadcast goes when it is done.
+    Every row has an end token, so every row comes back."""
+    n, v = sizes.n, sizes.v
+    pass_of = np.repeat(np.arange(len(groups)), [high - low for low, high in groups])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
+            word, prev, off = tokens(text_array(piece.column(1)))
+            pair = bigram_keys(prev, word)
+            owner, to = np.repeat(np.arange(len(off) - 1), np.diff(off)), pass_of[(word >> U(64 - bits)).astype(np.int64)]
+            by = np.lexsort((to, owner))
+            cut = np.flatnonzero(np.concatenate([[True], (np.diff(owner[by]) != 0) | (np.diff(to[by]) != 0), [True]]))
+            first = by[cut[:-1]]
+            word, pair = word[by], np.ascontiguousarray(pair[by]).view(np.uint8).reshape(-1, 8)[:, :6]
+            words = [word[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
+            pairs = [pair[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
+            rows = pa.array(owner[first])
+            cols = [piece.column(0).take(rows), piece.column(2).take(rows), pa.array(np.diff(off)[owner[first]]), pa.array(to[first].astype(np.int32)), pa.array(words, pa.binary()), pa.array(pairs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "lm_row", "n_tokens", "lm_pass", "words", "pairs"])
+
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("lm_row"))
+    probes = rows.mapInArrow(deal, "doc_id long, lm_row long, n_tokens long, lm_pass int, words binary, pairs binary")
+    probes, probes_at = table(probes.hint("rebalance", "lm_pass"), "lm-probes", codec="none", partition_by="lm_pass")
+    names = ["doc_id", "lm_row", "n_tokens", "n_known", "base_score", "score"]
+    schema = "doc_id long, lm_row long, n_tokens long, n_known long, base_score double, score double"
+    done = new_folder(docs.sparkSession, "lm-parts")
+    for k, (low, high) in enumerate(groups):
+        shipped = _ship(cells_, (low, high), sizes)
+
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped, low=low, token=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            m = _model(token, shipped, bits, low)
+            for piece in pieces(batches, "words"):
+                word, off = buffers(piece.column(3))
+                word, off = word.copy().view(U), off // 8
+                pair = np.zeros((len(word), 8), np.uint8)
+                pair[:, :6] = buffers(piece.column(4))[0].reshape(-1, 6)
+                known, base, cost = parts(m, word, pair.view(U).ravel() | (word & TOP), n, v)
+                ends = sums((word == END).astype(np.int64), off)
+                cols = [*piece.columns[:3], *map(pa.array, (sums(known, off), sums(base, off), sums(cost, off) - start * ends))]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+        mine = probes.where(F.col("lm_pass") == k).select("doc_id", "lm_row", "n_tokens", "words", "pairs")
+        mine.mapInArrow(run, schema).write.mode("append").parquet(done)
+        shipped.destroy()
+    drop(docs.sparkSession, probes_at)
+    got = docs.sparkSession.read.schema(schema).parquet(done).groupBy("lm_row", "doc_id", "n_tokens")
+    return got.agg(*(F.sum(c).alias(c) for c in ("n_known", "base_score", "score"))).drop("lm_row")
+
+
+def _ship(cells_: DataFrame, regions: tuple[int, int], sizes: Sizes):
+    low, high = regions[0] << CELL_BITS, regions[1] << CELL_BITS
+    return cells_.sparkSession.sparkContext.broadcast(_arrays(cells_, low, high, sizes.words, sizes.blocks))
+
+
+def _arrays(cells_: DataFrame, low: int, high: int, words: dict[int, int], blocks: dict[int, int]) -> tuple[np.ndarray, ...]:
+    """Keys, counts, blocks of each cell (one empty block where there is none) and filters of the cells [low, high), filled cell by cell."""
     size = np.array([blocks.get(r, 1) for r in range(low, high)], np.int64)
     at, slot = np.cumsum([0] + [words.get(r, 0) for r in range(low, high)]), np.concatenate([[0], np.cumsum(size)])
     keys, counts, filters = np.empty(at[-1], U), np.empty(at[-1], "<u4"), np.zeros(slot[-1], U)
-    for r in regions.where(F.col("region").between(low, high - 1)).select("region", "words", "counts", "filter").toLocalIterator():
-        k = r["region"] - low
+    for r in cells_.where(F.col("cell").between(low, high - 1)).select("cell", "words", "counts", "filter").toLocalIterator():
+        k = r["cell"] - low
         keys[at[k] : at[k + 1]] = np.frombuffer(r["words"], U)
         counts[at[k] : at[k + 1]] = np.frombuffer(r["counts"], "<u4")
         filters[slot[k] : slot[k + 1]] = np.frombuffer(r["filter"], U)
@@ -304,8 +387,9 @@ def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, pass_bytes:
 
     Null texts are empty: only an end token. Letters A-Z are lower-cased. Other columns are ignored. Repeated rows count
     as often as they occur in training and are scored row by row, however many passes the model needs. An empty table gives no
-    rows. Words are told apart by 64-bit hashes. Shuffles: packets of counts; with several passes, also a row of sums a text and pass,
-    joined by a row number that is written once with the texts to the shared folder. Broadcast: at most ``pass_bytes`` or one region.
+    rows. Words are told apart by the 64-bit hashes of :mod:`vectext`. Shuffles: packets of counts; with several passes, also the probes (14 bytes
+    a token) and a row of sums a text and pass. Broadcast: at most ``pass_bytes`` or one region. Memory of a worker: the broadcast, and some
+    80 bytes a word of the longest text.
     """
     rows = held_out(docs.select(F.col("doc_id").cast("long"), "text"), folds, fold)
     learn = rows.where(~F.col("held_out")).select("text")
