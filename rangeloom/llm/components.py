@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, release_shuffles, table
+from .common import drop, table
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp): each linked node but the least of its component, with that least node.
 
     Every step joins on nodes and keeps at most as many rows as links; each is written to the shared folder, so
-    nothing is collected and lost executors cost a step at most. Null ends and loops are no links.
+    nothing is collected and lost executors cost a step at most. Null ends and loops are no links, repeated links are one, other
+    columns are ignored, and an empty table gives no rows.
     """
     spark = edges.sparkSession
     pair = F.struct(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
@@ -29,7 +30,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         drop(spark, at, large_at)
         e, at = new, new_at
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.count_distinct("v")).first())
-        release_shuffles(spark)
         if now == seen or not now[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
         seen = now

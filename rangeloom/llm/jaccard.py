@@ -10,8 +10,8 @@ n - ceil(t n) + 1 of each. The plan:
    documents only the first stays.
 3. Star round: each node meets the least node of its lists, and the pair with most lists in common is verified. Verified links give
    first components, so that a group of near copies needs no more pairs than members.
-4. Cross round: lists with nodes of several components are joined; pairs across components that pass the length, positional
-   and overlap filters and were not verified yet are verified, once each.
+4. Cross round: lists with nodes of several components are joined, long lists in salted parts; pairs across components that pass
+   the length and positional filters and were not verified yet are verified, once each, behind the suffix filter.
 5. Components of all links; every document gets the least doc_id of its own.
 
 Nothing is capped: what the star round leaves out, the cross round covers. Links inside a component are redundant for components.
@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, pieces, release_shuffles, table, text_array
+from .common import drop, pieces, table, text_array, unused
 from .components import components
 from .vectext import U, Words, mix
 
@@ -42,8 +42,8 @@ HELD = 1_000_000
 HOT = 4096
 #: Bits of the filter that spares texts no pair needs; it is exact only with the join behind it.
 NEED_BITS = 22
-#: Pairs of one node that are verified in one part.
-PART = 500
+#: Pairs of one node that are verified in one part, and entries of a list that one part of the cross join holds.
+PART, LIST_PART = 100, 1000
 
 
 def shingle_sets(col: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
@@ -227,21 +227,25 @@ def star_pairs(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def cross_pairs(lists: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: pairs of nodes of different components that the length, positional and overlap filters leave.
+    """(a, b), a < b: pairs of nodes of different components that the length and positional filters leave.
 
-    The first shared shingle of two sets that link stands at n - need at the latest in both, so later entries make no rows. With c shared
-    shingles up to there, the last of them at i and j, at most c + min(na - i - 1, nb - j - 1) are shared in all.
+    The first shared shingle of two sets that link stands at n - need at the latest in both, so later entries make no rows. A list of
+    more than ``LIST_PART`` entries is dealt: each part of one side meets a copy of the other, so no list is bound to one task.
     """
     named = lists.join(comps, lists["node"] == comps["cnode"], "left").withColumn("comp", F.coalesce("comp", "node")).select("sh", "node", "n", "pos", "comp")
-    several = named.groupBy("sh").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select(F.col("sh").alias("k"))
-    some, _ = table(named.join(several, named["sh"] == several["k"], "left_semi"), "join-mixed")
+    several = named.groupBy("sh").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
+    several = several.where(F.col("lo") != F.col("hi")).select(F.col("sh").alias("k"), F.ceil(F.col("m") / LIST_PART).alias("deals"))
+    some, some_at = table(named.join(several, named["sh"] == several["k"]).drop("k"), "join-mixed")
     x, y = some.withColumnsRenamed({c: c + "_a" for c in some.columns}), some.withColumnsRenamed({c: c + "_b" for c in some.columns})
+    x = x.withColumn("salt_a", F.pmod(F.xxhash64("node_a"), F.col("deals_a")))
+    y = y.withColumn("salt_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals_b") - 1)))
     need = overlap_needed(F.col("n_a"), F.col("n_b"), percent)
-    rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) - 1
     near = first_fits(need, (F.col("n_a"), F.col("pos_a")), (F.col("n_b"), F.col("pos_b")))
-    met = x.join(y, F.col("sh_a") == F.col("sh_b")).where((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & sizes_fit(F.col("n_a"), F.col("n_b"), percent) & near)
-    pairs = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(rest).alias("rest"), F.max(need).alias("need"))
-    return pairs.where(F.col("c") + F.col("rest") >= F.col("need")).select("a", "b")
+    across = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & sizes_fit(F.col("n_a"), F.col("n_b"), percent)
+    met = x.join(y, (F.col("sh_a") == F.col("sh_b")) & (F.col("salt_a") == F.col("salt_b"))).where(across & near)
+    pairs, _ = table(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "join-cross")
+    drop(lists.sparkSession, some_at)
+    return pairs
 
 
 def hamming_bound(x: np.ndarray, y: np.ndarray, depth: int = 2) -> int:
@@ -310,7 +314,6 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent:
     seated = sifted.join(seats, sifted["doc_id"] == seats["d"]).select("g", "part", "role", "node", "text")
     links, _ = table(seated.repartition("g", "part").sortWithinPartitions("g", "part", "role").mapInArrow(test, "a long, b long").distinct(), "join-links")
     drop(spark, seats_at)
-    release_shuffles(spark)
     return links
 
 
@@ -330,7 +333,6 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     nodes = found.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").cast("int").alias("n"))
     nodes, nodes_at = table(nodes, "join-nodes")
     entries, entries_at = table(shared_lists(some, sketch, k, percent), "join-entries")
-    release_shuffles(spark)
     lists, lists_at = table(entries.join(nodes, entries["doc_id"] == nodes["rep"]).select("sh", "node", "n", "pos"), "join-lists")
     drop(spark, entries_at)
     stars, _ = table(star_pairs(lists, percent), "join-pairs")
@@ -349,19 +351,30 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     tied = tied.join(tied.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
     every = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more).unionByName(tied))
     placed = nodes.join(every.withColumnRenamed("node", "e"), F.col("node") == F.col("e"), "left").select("node", F.coalesce("comp", "node").alias("comp"), "rep")
-    least = placed.groupBy("comp").agg(F.min("rep").alias("component_id")).withColumnRenamed("comp", "c")
+    placed, placed_at = table(placed, "join-placed")
+    # a table of its own, so that a component of any size is a plain shuffled side of the join, which skew handling can split
+    least, _ = table(placed.groupBy("comp").agg(F.min("rep").alias("component_id")).withColumnRenamed("comp", "c"), "join-least")
     names, _ = table(placed.join(least, placed["comp"] == least["c"]).select(F.col("node").alias("k"), "component_id"), "join-names")
+    drop(spark, placed_at, nodes_at)
     out = found.join(names, found["node"] == names["k"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, but for one document of each component: its least doc_id. Rows without doc_id stay; of
-    rows that repeat a doc_id, the first by text stays, of those whose texts have words if there are any."""
+    """The rows of ``docs``, all columns, but for one document of each component: its least doc_id.
+
+    Of rows that repeat a doc_id, the first by text stays, of those whose texts have words if there are any. Rows without doc_id have no component: of
+    those with the same words and spaces one stays, whichever; without words (null, empty, blank) all stay. Columns may have any names.
+    An empty table gives no rows. One shuffle of the texts, by doc_id.
+    """
     from pyspark.sql import Window
 
+    row, stay = unused(docs, "join_row", "stay")
+    own = F.col("doc_id").cast("long")
     got = near_duplicates(docs.select("doc_id", "text"), **options)
-    stay = got.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("stay")).distinct()
+    left = got.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(stay)).distinct()
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = docs.join(stay, docs["doc_id"].cast("long") == stay["stay"], "left_semi").withColumn("join_row", F.row_number().over(Window.partitionBy(F.col("doc_id").cast("long")).orderBy(worded.desc(), "text")))
-    return kept.where("join_row = 1").drop("join_row").unionByName(docs.where(F.col("doc_id").isNull()))
+    kept = docs.join(left, own == F.col(stay), "left_semi")
+    kept = kept.withColumn(row, F.row_number().over(Window.partitionBy(own).orderBy(worded.desc(), "text"))).where(F.col(row) == 1).drop(row)
+    nameless = docs.where(F.col("doc_id").isNull())
+    return kept.unionByName(nameless.where(~worded)).unionByName(nameless.where(worded).dropDuplicates(["text"]))
