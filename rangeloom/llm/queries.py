@@ -90,17 +90,21 @@ ORACLE: dict[str, str] = {
             SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.y FROM reach r JOIN l ON l.x = r.other)
         SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.other) AS component_id
         FROM d LEFT JOIN n USING (doc_id) JOIN reach r USING (doc_id) GROUP BY d.doc_id""",
-    "op7_chat_format": f"""
+    "op7_chat_format": rf"""
         WITH c AS (
             SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL VALUES (-1, 0, 'user', '{TRAP}'), (-1, 1, 'assistant', '{TRAP}')),
         o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM c),
+        f AS (
+            SELECT *, '<|im_start|>' || regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g') || chr(10) AS head,
+                regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') AS body FROM o),
         e AS (
-            SELECT *, length(text) + length(role)
-                + len(regexp_extract_all(text, '<\\\\*\\|')) AS chars FROM o)
+            SELECT *, coalesce(string_agg(head || body || '<|im_end|>' || chr(10), '') OVER (
+                PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS context FROM f)
         SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
             CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
             sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
-            CAST(sum(chars + {len(chat.START) + 1 + len(chat.END)}) AS BIGINT) AS formatted_chars, count(*) FILTER (role = 'assistant') AS n_examples
+            CAST(sum(length(head) + length(body) + {len(chat.END)}) AS BIGINT) AS formatted_chars, count(*) FILTER (role = 'assistant') AS n_examples,
+            sha256(coalesce(string_agg(length(context || head) || ':' || sha256(context || head || body) || ';', '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS examples_sha256
         FROM e GROUP BY conv_id""",
 }
