@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder
+from .common import new_folder, table
 
-#: Numbers in a tile of queries (128 MB of doubles), and candidates multiplied at once.
-TILE_NUMBERS, BLOCK = 1 << 24, 2048
+#: Numbers in a tile of queries (64 MB of doubles), and candidates multiplied at once.
+TILE_NUMBERS, BLOCK = 1 << 23, 2048
 LONG = (-(1 << 63), (1 << 63) - 1)
 
 
@@ -69,22 +69,28 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, ti
     ``vectors`` has vec_id long and embedding array<float or double>; other columns are ignored. Vectors that are null, empty or
     hold null or non-finite components, and rows without an id, take no part. Only vectors of equal length are compared. Rows that
     repeat a query's id are its own; of repeated candidate ids each row counts; a query id that repeats is asked
-    once, with its smallest vector. A query with no candidate has no row. Queries cost a pass over the table a tile.
+    once, with its smallest vector. A query with no candidate has no row; an empty table gives none. Vectors are quantised
+    and written once; a tile of queries costs a pass over these.
     """
     spark = vectors.sparkSession
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    rows = good.select("vec_id", quantised(F.col("embedding"), scale).alias("v"))
+    rows, _ = table(good.select("vec_id", quantised(F.col("embedding"), scale).alias("v")), "topk-vectors")
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n, width = asked.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    n, width = rows.where(is_query).agg(F.count_distinct("vec_id"), F.max(F.size("v"))).first()
     tiles = max(1, -(-n * (width or 1) * 5 // (4 * tile_numbers)))
+    asked, _ = table(asked.withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).cast("int")), "topk-queries", partition_by="tile")
     at = new_folder(spark, "topk")
     schema = "query_id long, vec_id long, score long, shard int"
     for t in range(tiles):
-        mine = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(tiles)) == t).collect()
+        mine = asked.where(F.col("tile") == t).select("vec_id", "v").toArrow().combine_chunks()
+        ids, lists = mine.column("vec_id").to_numpy(), mine.column("v").combine_chunks() if len(mine) else None
         groups = {}
-        for d in sorted({len(r["v"]) for r in mine}):
-            some = [r for r in mine if len(r["v"]) == d]
-            groups[d] = (np.array([r["vec_id"] for r in some], np.int64), np.array([r["v"] for r in some], np.float64))
+        if len(mine):
+            first = lists.offsets.to_numpy()
+            flat, size = lists.values.to_numpy(zero_copy_only=False), np.diff(first)
+            for d in np.unique(size).tolist():
+                of_d = np.flatnonzero(size == d)
+                groups[d] = (ids[of_d], flat[first[of_d][:, None] + np.arange(d)])
         tile = spark.sparkContext.broadcast(groups)
 
         def search(batches: Iterator[pa.RecordBatch], tile=tile) -> Iterator[pa.RecordBatch]:
