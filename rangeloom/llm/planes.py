@@ -82,12 +82,13 @@ def _plain(tok) -> bool:
 
 @functools.cache
 def word_encoder(path: str, cache: int = CACHE) -> Callable[[str], bytes]:
-    """Text -> ids as little-endian 32-bit integers, by the tokenizers library.
+    """Text -> ids as little-endian 32-bit integers, by the tokenizers library. Special-token strings in a text are ordinary text.
 
-    For vocabularies whose pre-tokenizer drops white space: no token spans a space, so each stretch between spaces is
-    encoded once per worker and remembered, up to ``cache`` of them. If the tokenizer is of the plain kind, a stretch of Latin-1 characters is taken apart
-    first, and the library's model sees each distinct piece once; letters below U+0100 are stable under composition,
-    and lower-casing them is the same everywhere. Other stretches go through the whole tokenizer. Special-token strings in a text are ordinary text.
+    A tokenizer of the plain kind (:func:`_plain`) drops white space, so no token spans a space and each stretch between spaces is
+    encoded once per worker and remembered, up to ``cache`` of them: a stretch of Latin-1 characters is taken apart by the tokenizer's own pattern,
+    and the library's model sees each distinct piece once (letters below U+0100 are stable under composition,
+    and lower-casing them is the same everywhere); other stretches go through the whole tokenizer. Any other
+    tokenizer gets every text whole.
     """
     import regex
     from tokenizers import Tokenizer
@@ -96,7 +97,9 @@ def word_encoder(path: str, cache: int = CACHE) -> Callable[[str], bytes]:
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
     model, mapped = tok.model, ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-    plain, find = _plain(tok), regex.compile(PIECES).findall
+    if not _plain(tok):
+        return lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    find = regex.compile(PIECES).findall
     known: dict[str, bytes] = {"": b""}
     pieces: dict[str, bytes] = {}
 
@@ -130,7 +133,7 @@ def word_encoder(path: str, cache: int = CACHE) -> Callable[[str], bytes]:
         rest = []
         for w in set(words):
             if w not in known:
-                got = stretch(w) if plain else None
+                got = stretch(w)
                 if got is None:
                     rest.append(w)
                 else:
@@ -147,15 +150,16 @@ def write_token_files(
     docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS, chunk_ids: int = CHUNK_IDS,
     shards: int | None = None,
 ) -> None:
-    """Write the token files of ``docs`` (doc_id long, text string; more columns are ignored) to ``path``.
+    """Write the token files of ``docs`` (doc_id long, text string; more columns are ignored, whatever they are called) to ``path``.
 
     Null texts are empty: their document is the end id alone. Repeated doc_ids stay
     separate documents, next to each other, ordered by text; a null doc_id comes first. An empty table gives an
-    empty container. One shuffle: texts are range-partitioned by doc_id; a hot doc_id only
-    fills one shard. Memory: a chunk, or one document if that is longer.
+    empty container. One shuffle: texts are range-partitioned by doc_id into ``shards`` (by default as many as the input has
+    partitions, or ``spark.sql.shuffle.partitions`` if that is more); a hot doc_id only
+    fills one shard. Memory: a chunk, or one document if that is longer (some 30 bytes a byte of it).
     """
     spark = docs.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shards or max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = word_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
