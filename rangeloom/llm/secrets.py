@@ -10,6 +10,7 @@ stay cheap, as the dictionary holds a tokenizer's whole words; several words in
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import math
@@ -46,15 +47,24 @@ early young important few public bad same able api auth access private server cl
 account email phone number address code string text word line page site web net com org www http https""".split()
 
 
-def _vocabulary() -> list[str]:
-    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+@functools.cache
+def word_ranks(vocabulary: str | None = None) -> tuple[dict[str, int], int]:
+    """(rank of each dictionary word, length of the longest). ``vocabulary`` is the path of a word-end BPE tokenizer file, by default that of
+    the public ``word_bpe_49k.json``; its words of four ASCII letters or more follow ``WORDS`` in the file's order, some 30,000."""
+    with open(vocabulary or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         ids = json.load(f)["model"]["vocab"]
     found = (p.removesuffix("</w>") for p in sorted(ids, key=ids.__getitem__) if p.endswith("</w>"))
-    return [w for w in found if len(w) >= 4 and w.isascii() and w.isalpha()]
+    more = [w for w in found if len(w) >= 4 and w.isascii() and w.isalpha()]
+    rank = {w: k + 1 for k, w in enumerate(dict.fromkeys(WORDS + more))}
+    return rank, max(map(len, rank))
+
+
+def lowered(text: str) -> str:
+    """Lower case, but for letters whose lower case has another length, so that places stay."""
+    out = text.lower()
+    return out if len(out) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
-WORD_RANK = {w: k + 1 for k, w in enumerate(dict.fromkeys(WORDS + _vocabulary()))}
-LONGEST_WORD = max(map(len, WORD_RANK))
 LEET = str.maketrans("430157$@!", "aeoistsai")
 # Rows of a keyboard, and the orders that walks follow.
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
@@ -72,15 +82,16 @@ def _brute(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isascii() and c.isalpha() else math.log10(33)
 
 
-def guess_costs(value: str) -> list[float]:
+def guess_costs(value: str, vocabulary: str | None = None) -> list[float]:
     """For each position of ``value``, its end included, log10 of the guesses for the rest by the cheapest segmentation.
 
     Every part of a run (a walk, or a unit repeated) is a segment. Of two ends of parts in one run, a whole number of units apart, the nearer one loses
     its lead the longer the parts grow, so an end that is no better when it first can be used is dropped: few are left, and a value of
     n characters takes about O(n) steps.
     """
+    ranks, longest = word_ranks(vocabulary)
     n = len(value)
-    low = value.lower()
+    low = lowered(value)
     plain = low.translate(LEET)
     best = [0.0] * (n + 1)
     spent = [0.0]
@@ -91,11 +102,11 @@ def guess_costs(value: str) -> list[float]:
     free = spent[n]  # least of best[j] + spent[j]: where a brute-force span that begins here ends
     for i in range(n - 1, -1, -1):
         cost = free - spent[i]
-        for size in range(2, min(LONGEST_WORD, n - i) + 1):
+        for size in range(2, min(longest, n - i) + 1):
             word = low[i : i + size]
-            rank = WORD_RANK.get(word)
+            rank = ranks.get(word)
             extra = 0.0
-            if rank is None and (rank := WORD_RANK.get(plain[i : i + size])) is not None:
+            if rank is None and (rank := ranks.get(plain[i : i + size])) is not None:
                 extra = 0.5
             if rank is not None:
                 case = 0.0 if value[i : i + size] == word else 0.5
@@ -125,9 +136,9 @@ def guess_costs(value: str) -> list[float]:
     return best
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, vocabulary: str | None = None) -> float:
     """log10 of the guesses for ``value`` by the cheapest segmentation; 0 for an empty value."""
-    return guess_costs(value)[0]
+    return guess_costs(value, vocabulary)[0]
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -139,7 +150,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def guess_spans(text: str) -> list[tuple[int, int, str]]:
+def guess_spans(text: str, vocabulary: str | None = None) -> list[tuple[int, int, str]]:
     """Values in credential context whose guess cost makes them secrets. A value may hold a further context, whose own value
     is looked at too, unless a secret found before covers where it begins and it ends there. Values with one end share their costs."""
     found = []
@@ -155,7 +166,7 @@ def guess_spans(text: str) -> list[tuple[int, int, str]]:
             g = m.lastindex
             value = m[g].rstrip(".,;:!?)") if g == 3 else m[g]
             start = m.start(g)
-            costs = guess_costs(value)
+            costs = guess_costs(value, vocabulary)
             first, stop = start, start + len(value)
             if g == 3:
                 at, end = first, stop
@@ -171,11 +182,11 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1])))
 
 
-def all_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+def all_spans(text: str, vocabulary: str | None = None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base, added) spans of a text."""
     low = text.lower()
     if any(h in low for h in HINTS):
-        return base_spans(text), guess_spans(text)
+        return base_spans(text), guess_spans(text, vocabulary)
     found = [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     if "AKIA" in text:
         found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text)]
@@ -194,18 +205,19 @@ def redact(text: str, spans: list[tuple[int, int, str]], mark: str = "[SECRET]")
     return "".join(out) + text[at:]
 
 
-def scan(docs: DataFrame, masked: bool = False) -> DataFrame:
+def scan(docs: DataFrame, masked: bool = False, vocabulary: str | None = None) -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, n_guess long, base_sha256 and spans strings, and
     with ``masked`` the text with its secrets replaced.
 
     Null texts are empty and have no spans; null doc_ids and repeated rows pass through row by row; other
-    columns are ignored; an empty table gives no rows. Map-only. Positions are code points, ends exclusive.
+    columns are ignored; an empty table gives no rows. Map-only. Positions are code points, ends exclusive. ``vocabulary`` is a
+    path that every worker can open (:func:`word_ranks`). A value in credential context costs time in proportion to its length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             texts = text_array(piece.column(1)).to_pylist()
-            found = [all_spans(t) for t in texts]
+            found = [all_spans(t, vocabulary) for t in texts]
             base = [b for b, _ in found]
             counts = [pa.array([sum(s[2] == kind for s in b) for b in base], pa.int64()) for kind in KINDS[:3]]
             cols = [piece.column(0), *counts, pa.array([len(g) for _, g in found], pa.int64()), pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in base], pa.string()), pa.array([joined(b + g) for b, g in found], pa.string())]
@@ -219,13 +231,13 @@ def scan(docs: DataFrame, masked: bool = False) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def mask_documents(docs: DataFrame) -> DataFrame:
+def mask_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """The table with the secrets of its ``text`` replaced; null texts stay null. A column ``n_chars`` follows the text where it changes; all other columns stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             new = {"text": piece.column(piece.schema.get_field_index("text")).to_pylist()}
-            hits = [(row, base + added) for row, t in enumerate(new["text"]) if t for base, added in [all_spans(t)] if base or added]
+            hits = [(row, base + added) for row, t in enumerate(new["text"]) if t for base, added in [all_spans(t, vocabulary)] if base or added]
             if "n_chars" in piece.schema.names:
                 new["n_chars"] = piece.column(piece.schema.get_field_index("n_chars")).to_pylist()
             for row, spans in hits:
