@@ -178,11 +178,12 @@ def test_quantised_counts_are_read_back():
     keys, counts = np.unique(r.integers(0, 1 << 63, 20_000, dtype=np.uint64)), None
     counts = r.integers(1, 5000, len(keys))
     f = bloomlm.make_filter(keys, counts)
-    m = bloomlm.Model(1, 0, np.zeros(0, np.uint64), np.zeros(0, "<u4"), np.array([len(f), len(f)]), np.concatenate([f, f]))
-    got = m.probe(keys)
+    cells = 2 << bloomlm.CELL_BITS
+    m = bloomlm.Model(1, 0, np.zeros(0, np.uint64), np.zeros(0, "<u4"), np.full(cells, len(f)), np.tile(f, cells))
+    got = m.probe(keys, 1)
     want = bloomlm.level_counts(bloomlm.levels(counts))
     assert (got >= want - 1e-9).all() and np.mean(got == want) > 0.9
-    assert np.mean(m.probe(r.integers(0, 1 << 63, 20_000, dtype=np.uint64)) == 0) > 0.95
+    assert np.mean(m.probe(r.integers(0, 1 << 63, 20_000, dtype=np.uint64), 1) == 0) > 0.95
     assert (np.abs(np.log(want / counts)) <= math.log(1.5) + 1e-6).all()
 
 
@@ -227,9 +228,10 @@ def brute_components(rows, k=5, percent=75):
 
 @pytest.mark.parametrize("seed,hot", [(7, 4096), (11, 0)])
 def test_jaccard_join(spark, monkeypatch, seed, hot):
-    """hot 0: every list goes through salted buckets. PART 3: pairs of a node are verified in parts."""
+    """hot 0: every list goes through salted buckets. PART 3, LIST_PART 2: pairs of a node are verified, and lists joined, in parts."""
     monkeypatch.setattr(jaccard, "HOT", hot - (10**6 if not hot else 0))
     monkeypatch.setattr(jaccard, "PART", 3)
+    monkeypatch.setattr(jaccard, "LIST_PART", 2)
     rows = near_rows(seed)
     got = jaccard.near_duplicates(frame(spark, rows).repartition(3))
     assert Counter(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == brute_components(rows)
@@ -346,12 +348,14 @@ def test_chat(spark):
         assert (r["n_turns"], r["turns_sha256"]) == (len(own), hashlib.sha256(turns.encode()).hexdigest())
         assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert r["n_examples"] == sum(o[2] == "assistant" for o in own)
-    segments, examples = chat.format_chat(df)
-    full = {(r["conv_id"], r["example"]): r for r in chat.render(segments, examples).collect()}
+    full = {(r["conv_id"], r["example"]): r for r in chat.render(chat.format_chat(df)).collect()}
     first = full[1, 0]
     assert first["context"].count(chat.START) == 3 and first["context"].endswith(f"{chat.START}assistant\n")
     assert chat.unescape(first["target"]) == rows[2][3]
-    assert len(full) == sum(r[2] == "assistant" and r[0] is not None for r in rows)
+    assert len(full) == sum(r[2] == "assistant" for r in rows) and full[None, 0]["target"] == "orphan"
+    for conv, r in got.items():  # every example's context and target, as written out, against the running digest
+        chain = "".join(f"{len(x['context'])}:{hashlib.sha256((x['context'] + x['target']).encode()).hexdigest()};" for _, x in sorted((k[1], x) for k, x in full.items() if k[0] == conv))
+        assert r["examples_sha256"] == hashlib.sha256(chain.encode()).hexdigest()
     assert chat.chat_files(df.limit(0)).count() == 0
 
 
@@ -450,6 +454,9 @@ def test_secrets(spark, awkward):
     assert secrets.scan(empty(spark)).count() == 0
 
 
+RANKS = secrets.word_ranks()[0]
+
+
 def slow_cost(value):
     """The same minimum over every segmentation, with every segment tried."""
     n, low = len(value), value.lower()
@@ -462,8 +469,8 @@ def slow_cost(value):
         for i in range(j):
             s, options = value[i:j], [brute[j] - brute[i]]
             for w, extra in ((low[i:j], 0.0), (plain[i:j], 0.5)):
-                if w in secrets.WORD_RANK:
-                    options.append(math.log10(secrets.WORD_RANK[w]) + extra + (0.5 if s != low[i:j] else 0.0))
+                if w in RANKS:
+                    options.append(math.log10(RANKS[w]) + extra + (0.5 if s != low[i:j] else 0.0))
                     break
             best[j] = min(best[j], best[i] + min(options) + secrets.PER_SEGMENT)
     return best[n]
@@ -509,8 +516,8 @@ def slowest_cost(value):
         for i in range(j):
             s, options = value[i:j], [sum(map(secrets._brute, value[i:j]))]
             for w, extra in ((low[i:j], 0.0), (plain[i:j], 0.5)):
-                if len(w) > 1 and w in secrets.WORD_RANK:
-                    options.append(math.log10(secrets.WORD_RANK[w]) + extra + (0.5 if s != low[i:j] else 0.0))
+                if len(w) > 1 and w in RANKS:
+                    options.append(math.log10(RANKS[w]) + extra + (0.5 if s != low[i:j] else 0.0))
                     break
             if secrets.DATE.fullmatch(s):
                 options.append(math.log10(36500))
