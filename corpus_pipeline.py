@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rangeloom.llm import bpe, jaccard, mil, mixing, secrets
-from rangeloom.llm.common import table
+from rangeloom.llm.common import drop, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Every stage's table goes as soon as the next one stands; the last stage's input stays while its result can be read."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs, _ = table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, at = table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop(spark, *before)
+        before = [at]
     return STAGES[-1][1](spark, docs, sf_dir)
