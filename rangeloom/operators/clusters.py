@@ -67,6 +67,14 @@ def params_table(spark, sets: dict[str, list[ClusterParams]]) -> DataFrame:
     return spark.createDataFrame(rows, PARAMS)
 
 
+def params_array(sets: dict[str, list[ClusterParams]]) -> Column:
+    """The parameter sets as a literal array of structs: they are configuration, so a counted prefix looks through them where it is."""
+    one = lambda trie, k, s: F.struct(
+        F.lit(trie).alias("trie"), F.lit(k).alias("set_idx"), F.lit(s.min_size).cast("bigint").alias("min_size"), F.lit(s.min_depth).alias("min_depth"), F.lit(s.max_depth).alias("max_depth"), F.lit(s.threshold).cast("bigint").alias("t"),
+    )
+    return F.array(*(one(trie, k, s) for trie, ps in sets.items() for k, s in enumerate(ps)))
+
+
 def balanced(n: Column, left: Column, right: Column, t: Column, wrap: bool = False) -> Column:
     """The halves' test; ``wrap`` computes modulo 2**32, for results equal to 32-bit arithmetic on huge counts."""
     a, b = 2000 * F.abs(left - right), t * n
@@ -78,7 +86,7 @@ def balanced(n: Column, left: Column, right: Column, t: Column, wrap: bool = Fal
 def detect_clusters(counts: DataFrame, sets: dict[str, list[ClusterParams]], wrap: bool = False) -> DataFrame:
     """(trie, set_idx, start, end, len, cidr, requests) of all parameter sets of all tries; counts: (trie, ip, c).
 
-    The hierarchy is counted once a trie, whatever the number of sets; the parameter table is configuration and is broadcast. Two shuffles: by
+    The hierarchy is counted once a trie, whatever the number of sets; parameters are literals of the plan. Two shuffles: by
     address before, by prefix here; the window sees only candidates, and is partitioned by their prefix at the set's least depth.
     """
     spark = counts.sparkSession
@@ -91,15 +99,17 @@ def detect_clusters(counts: DataFrame, sets: dict[str, list[ClusterParams]], wra
         low = min(1, high)  # the root counts 0 and is no candidate then
     # a node that no set's least size admits is dropped before the join
     nodes = prefix_nodes(counts, min(low, high), high, ["trie"]).where(F.col("n") >= min(s.min_size for s in every))
-    params = params_table(spark, sets).withColumnRenamed("trie", "pt")
     d, n = F.col("d"), F.col("n")
-    at_end = d == F.col("max_depth")
-    inside = (d < F.col("max_depth")) & (d >= F.col("min_depth")) & (d < 32) & balanced(n, F.col("l"), F.col("r"), F.col("t"), wrap)
-    found = nodes.join(F.broadcast(params), (F.col("trie") == F.col("pt")) & (n >= F.col("min_size")) & (at_end | inside))
+
+    def admits(s: Column) -> Column:
+        inside = (d < s["max_depth"]) & (d >= s["min_depth"]) & (d < 32) & balanced(n, F.col("l"), F.col("r"), s["t"], wrap)
+        return (F.col("trie") == s["trie"]) & (n >= s["min_size"]) & ((d == s["max_depth"]) | inside)
+
+    found = nodes.withColumn("s", F.explode(F.filter(params_array(sets), admits))).select("trie", "d", "p", "n", "s.set_idx", "s.min_depth")
     start = F.call_function("shiftleft", F.col("p"), F.lit(32) - d)
     found = found.select("trie", "set_idx", start.alias("start"), d.alias("len"), n.alias("requests"), "min_depth").withColumn("end", last_ip(F.col("start"), F.col("len")))
     if any(s.min_size == 0 and s.min_depth == 0 for s in every):
-        found = found.unionByName(_empty_roots(counts, params))
+        found = found.unionByName(_empty_roots(counts, params_table(spark, sets).withColumnRenamed("trie", "pt")))
     home = F.call_function("shiftright", F.col("start"), F.lit(32) - F.col("min_depth"))
     before = Window.partitionBy("trie", "set_idx", home).orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1)
     outer = found.withColumn("covered", F.coalesce(F.max("end").over(before), F.lit(-1))).where(F.col("covered") < F.col("end"))
@@ -115,7 +125,6 @@ def _empty_roots(counts: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def with_percentage(ranges: DataFrame, counts: DataFrame) -> DataFrame:
-    """With ``percentage``: of the trie's requests (0 for none). One row a trie meets them."""
-    total = counts.groupBy(F.col("trie").alias("tt")).agg(F.sum("c").alias("total"))
-    joined = ranges.join(F.broadcast(total), F.col("trie") == F.col("tt"), "left")
-    return joined.withColumn("percentage", F.coalesce(100.0 * F.col("requests") / F.col("total"), F.lit(0.0))).drop("tt", "total")
+    """With ``percentage``: of the trie's requests (0 for none). The totals, one number a trie, are a map that every row looks into."""
+    total = counts.groupBy("trie").agg(F.sum("c").alias("total")).agg(F.map_from_entries(F.collect_list(F.struct("trie", "total")))).scalar()
+    return ranges.withColumn("percentage", F.coalesce(100.0 * F.col("requests") / F.try_element_at(total, F.col("trie")), F.lit(0.0)))

@@ -7,6 +7,9 @@ comparison of all ranges with all ranges.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from itertools import islice, takewhile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,84 +59,156 @@ def subtract(black: DataFrame, white: DataFrame, key: str = "ord") -> DataFrame:
     """What remains of each black range without all white ones: (key, start, len, cidr).
 
     Ranges inside a white one vanish; ranges that hold white ones give the cover of the gaps; the others stay. Rows of ``black`` are told apart by ``key``, so duplicates stay.
+
+    One join and one window: a black range looks for white ones at each of its prefixes (those hold it) and, under its own prefix, for
+    white ones that it holds; an end row behind its last address closes the last gap. A range without holes is one gap, whose cover is itself.
     """
-    base = black.select(key, "start", "len", last_ip(F.col("start"), F.col("len")).alias("end"))
-    free = contained(base, white, "left_anti")
-    inner = _ancestors(white.select("start", "len").distinct(), ("_l", "_p")).select("_l", "_p", F.col("start").alias("w"), last_ip(F.col("start"), F.col("len")).alias("wend"))
-    home = prefix_of(F.col("start"), F.col("len"))
-    holes = free.join(inner, (F.col("len") == F.col("_l")) & (home == F.col("_p")), "left")
-    ends = Window.partitionBy(key).orderBy("w", "wend").rowsBetween(Window.unboundedPreceding, -1)
-    cut = holes.where(F.col("w").isNotNull())
-    cut = cut.select(key, "start", "len", "end", "w", "wend").unionByName(cut.select(key, "start", "len", "end", (F.col("end") + 1).alias("w"), (F.col("end") + 1).alias("wend")).distinct())
-    gaps = cut.withColumn("gap", F.coalesce(F.max("wend").over(ends) + 1, F.col("start"))).where(F.col("gap") < F.col("w"))
-    rest = cover(gaps.select(key, F.col("gap").alias("s"), (F.col("w") - 1).alias("e")), "s", "e")
-    whole = holes.where(F.col("w").isNull()).select(key, "start", "len", cidr_text(F.col("start"), F.col("len")).alias("cidr"))
-    return whole.unionByName(rest.select(key, "start", "len", "cidr"))
+    end = last_ip(F.col("start"), F.col("len"))
+    base = black.select(key, "start", "len", end.alias("end"))
+    probe = lambda kind, length: F.struct(F.lit(kind).alias("kind"), length.alias("l"), prefix_of(F.col("start"), length).alias("p"))
+    up = F.transform(F.sequence(F.lit(0), F.col("len")), lambda n: probe(OUTER, n))
+    probes = base.withColumn("_q", F.explode(F.concat(up, F.array(probe(INNER, F.col("len")), probe(LAST, F.col("len"))))))
+    # a white range is found by its own prefix from inside, by its shorter ones from outside
+    shorter = F.when(F.col("len") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("len") - 1, F.lit(0))), lambda n: probe(INNER, n))).otherwise(F.expr("array()"))
+    keys = white.select("start", "len").distinct().withColumn("_k", F.explode(F.concat(F.array(probe(OUTER, F.col("len"))), shorter)))
+    keys = keys.select("_k.kind", "_k.l", "_k.p", F.col("start").alias("w"), end.alias("wend"))
+    same = (F.col("_q.kind") == F.col("kind")) & (F.col("_q.l") == F.col("l")) & (F.col("_q.p") == F.col("p"))
+    hits = probes.join(keys, same, "left").where(F.col("w").isNotNull() | (F.col("_q.kind") == LAST))
+    last, inner = F.col("_q.kind") == LAST, F.col("_q.kind") == INNER
+    hits = hits.select(
+        key, "start", (F.col("_q.kind") == OUTER).alias("gone"), F.when(last, F.col("end") + 1).when(inner, F.col("w")).alias("w"), F.when(inner, F.col("wend")).alias("wend"),
+    )
+    each = Window.partitionBy(key)
+    before = each.orderBy("w", "wend").rowsBetween(Window.unboundedPreceding, -1)
+    gaps = hits.withColumn("s", F.coalesce(F.max("wend").over(before) + 1, F.col("start"))).withColumn("gone", F.max("gone").over(each))
+    rest = cover(gaps.where(~F.col("gone") & (F.col("s") < F.col("w"))).select(key, "s", (F.col("w") - 1).alias("e")), "s", "e")
+    return rest.select(key, "start", "len", "cidr")
+
+
+#: What a probe of :func:`subtract` looks for: white ranges that hold the black one, those that it holds, or nothing.
+OUTER, INNER, LAST = 0, 1, 2
+#: Ranges are dealt by this many leading bits. Distinct ranges below such a block are bounded; shorter ranges are put into each block that they touch.
+BLOCK_BITS = 10
+
+
+def _blocks(ranges: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, start, len, end, _b): distinct ranges, in every block that they touch."""
+    rows = ranges.select(*by, "start", "len").distinct().withColumn("end", last_ip(F.col("start"), F.col("len")))
+    return rows.withColumn("_b", F.explode(F.sequence(prefix_of(F.col("start"), BLOCK_BITS), prefix_of(F.col("end"), BLOCK_BITS))))
 
 
 def remove_contained(ranges: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Ranges that no other range of their group holds; equal ranges become one."""
-    by = by or []
-    before = Window.partitionBy(*by).orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1)
-    marked = ranges.select(*by, "start", "len").withColumn("end", last_ip(F.col("start"), F.col("len")))
-    return marked.withColumn("_c", F.coalesce(F.max("end").over(before), F.lit(-1))).where(F.col("_c") < F.col("end")).drop("_c")
+    """Ranges that no other range of their group holds; equal ranges become one. A range is judged in its first block, where all that
+    hold it are too."""
+    return _outermost(ranges, by or []).drop("_b")
+
+
+def _outermost(ranges: DataFrame, by: list[str]) -> DataFrame:
+    before = Window.partitionBy(*by, "_b").orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1)
+    marked = _blocks(ranges, by).withColumn("_c", F.coalesce(F.max("end").over(before), F.lit(-1)))
+    return marked.where((F.col("_c") < F.col("end")) & (F.col("_b") == prefix_of(F.col("start"), BLOCK_BITS))).drop("_c")
+
+
+_ITEM = "struct<start:bigint,len:int,raw:boolean>"
 
 
 def _sibling_fold(ranges: Column) -> Column:
-    """One greedy pass from left to right: a range that is the current one's sibling merges into their parent."""
-    kind = "struct<out:array<struct<start:bigint,len:int>>,cur:struct<start:bigint,len:int>>"
-    start = F.expr(f"cast(struct(cast(array() as array<struct<start:bigint,len:int>>), cast(null as struct<start:bigint,len:int>)) as {kind})")
+    """One greedy pass from left to right: a range that is the current one's sibling merges into their parent. A range that is itself
+    merged (not ``raw``) can be the current one, but is not merged into the one before it: that is for the next pass."""
+    start = F.expr(f"cast(struct(cast(array() as array<{_ITEM}>), cast(null as {_ITEM})) as struct<out:array<{_ITEM}>,cur:{_ITEM}>)")
 
     def step(acc: Column, x: Column) -> Column:
         c = acc["cur"]
         size = block_size(c["len"])
-        sibling = (c["len"] == x["len"]) & (c["len"] > 0) & (c["start"] + size == x["start"]) & (F.pmod(c["start"], 2 * size) == 0)
-        parent = F.struct(c["start"].alias("start"), (c["len"] - 1).alias("len"))
+        sibling = x["raw"] & (c["len"] == x["len"]) & (c["len"] > 0) & (c["start"] + size == x["start"]) & (F.pmod(c["start"], 2 * size) == 0)
+        parent = F.struct(c["start"].alias("start"), (c["len"] - 1).alias("len"), F.lit(False).alias("raw"))
         new = F.struct(F.concat(acc["out"], F.array(c)).alias("out"), x.alias("cur"))
         return F.when(c.isNull(), F.struct(acc["out"].alias("out"), x.alias("cur"))).when(sibling, F.struct(acc["out"].alias("out"), parent.alias("cur"))).otherwise(new)
 
     return F.aggregate(ranges, start, step, lambda acc: F.concat(acc["out"], F.array(acc["cur"])))
 
 
+def _fold_groups(items: DataFrame, keys: list[str], group: Column) -> DataFrame:
+    """The items (*keys, start, len, raw), folded within each group."""
+    rows = items.groupBy(*keys, group.alias("_g")).agg(F.array_sort(F.collect_list(F.struct("start", "len", "raw"))).alias("_r"))
+    return rows.withColumn("_r", F.explode(_sibling_fold(F.col("_r")))).select(*keys, "_r.start", "_r.len", "_r.raw")
+
+
+#: A fold's array holds the ranges of a block of so many leading bits, longer than that and not longer than the number before: 4,096 at most.
+FOLD_BITS = (21, BLOCK_BITS)
+
+
+def _greedy_pass(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, _b, start, len) after one greedy pass over disjoint ranges (*by, _b, start, len) in order, the smallest blocks first.
+
+    Only ranges of at most n bits have siblings outside their block of n leading bits; in a round they are groups of one. The rounds inside
+    blocks ``_b`` need no further shuffle.
+    """
+    items = rows.select(*by, "_b", "start", "len", F.lit(True).alias("raw"))
+    alone = -1 - F.col("start")  # starts are distinct
+    for bits in FOLD_BITS:
+        items = _fold_groups(items, [*by, "_b"], F.when(F.col("len") > bits, prefix_of(F.col("start"), bits)).otherwise(alone))
+    items = _fold_groups(items, by, F.when(F.col("len") <= BLOCK_BITS, F.lit(0).cast("bigint")).otherwise(alone))
+    return items.select(*by, prefix_of(F.col("start"), BLOCK_BITS).alias("_b"), "start", "len")
+
+
 def merge(ranges: DataFrame, by: list[str] | None = None, canonical: bool = False) -> DataFrame:
     """(*by, start, len, cidr): without contained ranges, and with adjacent siblings merged in exactly two greedy passes,
     which is not a fixpoint. ``canonical`` gives the true least set instead.
 
-    Only ranges that touch can merge, so each run of touching ranges is folded by itself.
+    Siblings share all bits but their last, so a pass folds blocks of the address space by themselves; only ranges of at most
+    ``BLOCK_BITS`` bits, some 2,000, meet in one row.
     """
     by = by or []
-    alone = remove_contained(ranges, by)
     if canonical:
-        return cover(coalesce_spans(alone, by), "start", "end").select(*by, "start", "len", "cidr")
-    order = Window.partitionBy(*by).orderBy("start")
-    runs = alone.withColumn("_new", (F.coalesce(F.lag("end").over(order), F.lit(-2)) + 1 != F.col("start")).cast("int"))
-    runs = runs.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    folded = runs.groupBy(*by, "_run").agg(F.array_sort(F.collect_list(F.struct("start", "len"))).alias("_r"))
-    out = folded.select(*by, F.explode(_sibling_fold(_sibling_fold(F.col("_r")))).alias("r")).select(*by, "r.start", "r.len")
-    return out.withColumn("cidr", cidr_text(F.col("start"), F.col("len")))
+        return cover(coalesce_spans(ranges, by), "start", "end").select(*by, "start", "len", "cidr")
+    out = _greedy_pass(_greedy_pass(_outermost(ranges, by), by), by)
+    return out.select(*by, "start", "len", cidr_text(F.col("start"), F.col("len")).alias("cidr"))
 
 
 def coalesce_spans(ranges: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(*by, start, end): disjoint, non-touching spans of all addresses of the ranges."""
+    """(*by, start, end): disjoint, non-touching spans of all addresses of the ranges.
+
+    Spans are formed block by block; those that touch an edge of their block, two a block at most, are then joined in one row a group.
+    """
     by = by or []
-    spans = ranges.select(*by, "start", last_ip(F.col("start"), F.col("len")).alias("end"))
-    order = Window.partitionBy(*by).orderBy("start", "end")
+    low = F.call_function("shiftleft", F.col("_b"), F.lit(32 - BLOCK_BITS))
+    high = low + (1 << 32 - BLOCK_BITS) - 1
+    spans = _blocks(ranges, by).select(*by, "_b", F.greatest("start", low).alias("start"), F.least("end", high).alias("end"))
+    order = Window.partitionBy(*by, "_b").orderBy("start", "end")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     marked = spans.withColumn("_new", (F.coalesce(F.max("end").over(before), F.lit(-2)) + 1 < F.col("start")).cast("int"))
     marked = marked.withColumn("_i", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return marked.groupBy(*by, "_i").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_i")
+    own = marked.groupBy(*by, "_b", "_i").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    edge = (F.col("start") == low) | (F.col("end") == high)
+    group = F.when(edge, F.lit(-1).cast("bigint")).otherwise(F.col("start")).alias("_g")
+    joined = own.groupBy(*by, group).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_r"))
+    return joined.withColumn("_r", F.explode(_join_touching(F.col("_r")))).select(*by, "_r.start", "_r.end")
+
+
+def _join_touching(spans: Column) -> Column:
+    """Ascending disjoint spans, those that touch made one."""
+    kind = "struct<start:bigint,end:bigint>"
+    start = F.expr(f"cast(struct(cast(array() as array<{kind}>), cast(null as {kind})) as struct<out:array<{kind}>,cur:{kind}>)")
+
+    def step(acc: Column, x: Column) -> Column:
+        c = acc["cur"]
+        longer = F.struct(acc["out"].alias("out"), F.struct(c["start"].alias("start"), x["end"].alias("end")).alias("cur"))
+        new = F.struct(F.concat(acc["out"], F.array(c)).alias("out"), x.alias("cur"))
+        return F.when(c.isNull(), F.struct(acc["out"].alias("out"), x.alias("cur"))).when(c["end"] + 1 == x["start"], longer).otherwise(new)
+
+    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.array(acc["cur"])))
 
 
 def _lengths(ranges: DataFrame) -> Column:
-    """The distinct prefix lengths of a list, 33 at most, as a literal array."""
-    got = sorted(r[0] for r in ranges.select("len").distinct().collect())
-    return F.array(*(F.lit(n) for n in got)) if got else F.expr("cast(array() as array<int>)")
+    """The distinct prefix lengths of a list, 33 at most, as an array that the plan itself finds out when it runs."""
+    return F.coalesce(ranges.agg(F.collect_set("len")).scalar(), F.expr("cast(array() as array<int>)"))
 
 
 def ips_in(ips: DataFrame, ranges: DataFrame, how: str = "left_semi") -> DataFrame:
     """Rows of ``ips`` (column ip) that lie in a range, or with ``left_anti`` in none, by equi-joins on the list's own prefix lengths."""
     keyed = ranges.select(F.col("len").alias("_rl"), prefix_of(F.col("start"), F.col("len")).alias("_rp")).distinct()
-    addresses = ips.select("ip").distinct().withColumn("_l", F.explode(_lengths(ranges))).withColumn("_p", prefix_of(F.col("ip"), F.col("_l")))
+    addresses = ips.select("ip").distinct().withColumn("_ls", _lengths(ranges)).select("ip", F.explode("_ls").alias("_l")).withColumn("_p", prefix_of(F.col("ip"), F.col("_l")))
     hit = addresses.join(keyed, (F.col("_l") == F.col("_rl")) & (F.col("_p") == F.col("_rp")), "left_semi").select(F.col("ip").alias("_hit")).distinct()
     return ips.join(hit, F.col("ip") == F.col("_hit"), how)
 
@@ -141,8 +216,8 @@ def ips_in(ips: DataFrame, ranges: DataFrame, how: str = "left_semi") -> DataFra
 def range_counts(counts: DataFrame, ranges: DataFrame, by: list[str] | None = None) -> DataFrame:
     """With ``requests``: those in each range, 0 for none. counts: (*by, ip, c); ranges: (*by, start, len, ...)."""
     by = by or []
-    lengths = _lengths(ranges)
-    nodes = counts.select(*by, "c", F.explode(lengths).alias("_l"), "ip").groupBy(*(F.col(b).alias(f"_{b}") for b in by), "_l", prefix_of(F.col("ip"), F.col("_l")).alias("_p")).agg(F.sum("c").alias("_n"))
+    rows = counts.select(*by, "c", "ip", _lengths(ranges).alias("_ls")).select(*by, "c", "ip", F.explode("_ls").alias("_l"))
+    nodes = rows.groupBy(*(F.col(b).alias(f"_{b}") for b in by), "_l", prefix_of(F.col("ip"), F.col("_l")).alias("_p")).agg(F.sum("c").alias("_n"))
     same = (F.col("len") == F.col("_l")) & (prefix_of(F.col("start"), F.col("len")) == F.col("_p"))
     for b in by:
         same = same & (F.col(b) == F.col(f"_{b}"))
@@ -158,36 +233,41 @@ def compose_ban_lists(active: DataFrame, manual: DataFrame, white: DataFrame) ->
 
 
 def subtract_lists(black: list[str], white: list[str]) -> list[str]:
-    """:func:`subtract` of texts, in order, duplicates kept; a text that is no range stays as it is, a white one that is none is skipped."""
-    from ipaddress import summarize_address_range, IPv4Address
+    """:func:`subtract` of texts, in order, duplicates kept; a text that is no range stays as it is, a white one that is none is skipped.
+
+    White ranges are joined to disjoint spans first, and each black one looks up those that it meets by bisection.
+    """
+    from ipaddress import IPv4Address, summarize_address_range
 
     from ..functions.ip import parse_cidr
 
-    spans = []
-    for w in white:
+    def span(text: str) -> tuple[int, int] | None:
         try:
-            s, n = parse_cidr(w)
+            s, n = parse_cidr(text)
         except ValueError:
-            continue
-        spans.append((s, s + (1 << 32 - n) - 1))
-    spans.sort()
+            return None
+        return s, s + (1 << 32 - n) - 1
+
+    spans: list[tuple[int, int]] = []
+    for s, e in sorted(x for w in white if (x := span(w))):
+        if spans and s <= spans[-1][1] + 1:
+            spans[-1] = spans[-1][0], max(e, spans[-1][1])
+        else:
+            spans.append((s, e))
     out = []
     for b in black:
-        try:
-            s, n = parse_cidr(b)
-        except ValueError:
+        if not (own := span(b)):
             out.append(b)
             continue
-        end = s + (1 << 32 - n) - 1
-        over = [(max(x, s), min(y, end)) for x, y in spans if x <= end and y >= s]
-        if not over:
+        at, end = own
+        k = bisect_left(spans, at, key=lambda x: x[1])
+        if k == len(spans) or spans[k][0] > end:
             out.append(b)
             continue
-        at = s
-        for x, y in over + [(end + 1, end + 1)]:
-            if at < x:
-                out += [str(r) for r in summarize_address_range(IPv4Address(at), IPv4Address(x - 1))]
-            at = max(at, y + 1)
+        for s, e in [*takewhile(lambda x: x[0] <= end, islice(spans, k, None)), (end + 1, end + 1)]:
+            if at < s:
+                out += [str(r) for r in summarize_address_range(IPv4Address(at), IPv4Address(s - 1))]
+            at = max(at, e + 1)
     return out
 
 
