@@ -59,11 +59,16 @@ def agent_ips(classified: DataFrame, cls: int) -> DataFrame:
     return classified.where((F.col("ua_class") == cls) & (F.col("ip") != 0)).select("ip").distinct()
 
 
-def select_requests(requests: DataFrame, start=None, end=None, user_agent_regex: str | None = None, endpoint_regex: str | None = None) -> DataFrame:
-    """Rows that pass the time range and both gates, cheapest test first."""
-    out = requests
+def passes(start=None, end=None, user_agent_regex: str | None = None, endpoint_regex: str | None = None) -> Column:
+    """Whether a row passes the time range and both gates, cheapest test first; columns that no test needs may be missing."""
+    out = F.lit(True)
     if start is not None or end is not None:
-        out = out.where(in_time(start, end))
+        out = out & in_time(start, end)
     if user_agent_regex or endpoint_regex:
-        out = out.where(matches(user_agent_regex, endpoint_regex))
+        out = out & matches(user_agent_regex, endpoint_regex)
     return out
+
+
+def select_requests(requests: DataFrame, start=None, end=None, user_agent_regex: str | None = None, endpoint_regex: str | None = None) -> DataFrame:
+    """Rows that pass the time range and both gates."""
+    return requests.where(passes(start, end, user_agent_regex, endpoint_regex))

@@ -15,9 +15,10 @@ def octets(ip: str = "ip") -> tuple[Column, Column]:
     return F.shiftright(ip, 24).cast("int").alias("a"), F.shiftright(ip, 16).bitwiseAND(F.lit(255)).cast("int").alias("b")
 
 
-def matrix(requests: DataFrame) -> DataFrame:
-    """(a, b, cnt): requests by the first two octets, over all rows with a valid address."""
-    return requests.where(F.col("ip") != 0).groupBy(*octets()).agg(F.count(F.lit(1)).alias("cnt"))
+def matrix(requests: DataFrame, weight: Column | None = None) -> DataFrame:
+    """(a, b, cnt): requests by the first two octets, over all rows with a valid address; a row stands for ``weight`` requests."""
+    each = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    return requests.where(F.col("ip") != 0).groupBy(*octets()).agg(each.alias("cnt"))
 
 
 def clustered_matrix(requests: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -59,16 +60,36 @@ def top_talkers_by(counts: DataFrame, n: int, by: list[str]) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+#: Arrivals whose numbers agree but for so many low bits make a slice of an address's arrivals.
+SLICE_BITS = 16
+
+
+def arrival_gaps(rows: DataFrame, order: str = "seq") -> DataFrame:
+    """(ip, seq, ts, gap): a row an arrival, with the seconds since the address's one before it (null for its first).
+
+    An address's arrivals are cut into slices by their number, so one hot address is many groups; only the last time of each slice, a
+    row, meets those of the other slices.
+    """
+    part = F.call_function("shiftright", F.col(order), F.lit(SLICE_BITS))
+    sliced = rows.select("ip", F.col(order).alias("seq"), "ts", part.alias("_s"))
+    w = Window.partitionBy("ip", "_s").orderBy("seq")
+    inside = sliced.withColumn("_before", F.lag("ts").over(w)).withColumn("_first", F.row_number().over(w) == 1)
+    ends = sliced.groupBy("ip", "_s").agg(F.max_by("ts", "seq").alias("_last"))
+    carry = ends.select(F.col("ip").alias("_ip"), F.col("_s").alias("_t"), F.lag("_last").over(Window.partitionBy("ip").orderBy("_s")).alias("_carry"))
+    both = inside.join(carry, (F.col("ip") == F.col("_ip")) & (F.col("_s") == F.col("_t")))
+    before = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_before"))
+    return both.select("ip", "seq", "ts", (F.col("ts").cast("double") - before.cast("double")).alias("gap"))
+
+
 def inter_arrival(rows: DataFrame, order: str = "seq") -> DataFrame:
     """(ip, last, deltas, count): each address's last time, the seconds between its arrivals in order, and their number.
 
-    An address's arrivals are one array, as the result is; windows bound them by their size.
+    An address's arrivals are one array, as a window's snapshot shows them; windows bound them by their size. For
+    unbounded tables take :func:`arrival_gaps`, a row an arrival.
     """
-    w = Window.partitionBy("ip").orderBy(order)
-    gap = F.col("ts").cast("double") - F.lag(F.col("ts").cast("double")).over(w)
-    got = rows.withColumn("_gap", gap)
-    pairs = F.array_sort(F.collect_list(F.when(F.col("_gap").isNotNull(), F.struct(F.col(order).alias("o"), F.col("_gap").alias("g")))))
-    return got.groupBy("ip").agg(F.max_by("ts", order).alias("last"), F.transform(pairs, lambda p: p["g"]).alias("deltas"), F.count(F.lit(1)).alias("count"))
+    got = arrival_gaps(rows, order)
+    pairs = F.array_sort(F.collect_list(F.when(F.col("gap").isNotNull(), F.struct(F.col("seq").alias("o"), F.col("gap").alias("g")))))
+    return got.groupBy("ip").agg(F.max_by("ts", "seq").alias("last"), F.transform(pairs, lambda p: p["g"]).alias("deltas"), F.count(F.lit(1)).alias("count"))
 
 
 def unique_ips(requests: DataFrame) -> DataFrame:

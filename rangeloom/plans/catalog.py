@@ -308,10 +308,7 @@ def multi_trie_detect(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(" UNION ALL ".join(f"SELECT * FROM (WITH {REQUESTS_SQL} SELECT '{n}' AS trie, count(*) FILTER (ip <> 0) AS requests, count(DISTINCT CASE WHEN ip <> 0 THEN ip END) AS unique_ips, count(*) FILTER (ip = 0) AS invalid FROM base WHERE {_trie_where(n)})" for n in ("agents", "all", "posts", "week")))
 def multi_trie_stats(spark: SparkSession, sf: str) -> DataFrame:
-    a = static.plan(derived.requests(spark, sf), _specs())
-    stats = a.counts.groupBy("trie").agg(F.sum("c").alias("requests"), F.count(F.lit(1)).alias("unique_ips"))
-    bad = a.invalid.select(F.col("trie").alias("bt"), F.col("c").alias("invalid"))
-    return stats.join(bad, F.col("trie") == F.col("bt"), "left").select("trie", "requests", "unique_ips", F.coalesce("invalid", F.lit(0)).alias("invalid"))
+    return static.stats(static.tally(derived.requests(spark, sf), _specs())).select("trie", "requests", "unique_ips", "invalid")
 
 
 @query(f"WITH {REQUESTS_SQL}, o AS (SELECT ip, {_ip_sql('ip')} AS text FROM (SELECT DISTINCT ip FROM base)) SELECT ip, text, ip AS back FROM o")

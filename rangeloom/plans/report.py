@@ -10,7 +10,6 @@ from ..operators.clusters import ClusterParams
 from .config import TrieSpec
 
 VERSION = "1.0.0"
-WIDE, RULE = "═" * 79, "─" * 80
 
 
 def rfc3339(t: datetime) -> str:
@@ -58,43 +57,45 @@ def active_filters(parameters: dict) -> list[str]:
     return out
 
 
-def _row(indent: str, cidr: str, requests: int, percent: float, mark: str = "") -> str:
-    return f"{indent}{cidr:<20}  {format_number(requests):>10} requests  ({percent:6.2f}%){mark}"
+def _lines(title: str, pairs: list[tuple[str, object]]) -> list[str]:
+    """A section: its title, and names and values in two columns."""
+    wide = max((len(k) for k, _ in pairs), default=0)
+    return [f"[{title}]", *(f"  {k.ljust(wide)} : {format_number(v) if isinstance(v, int) else v}" for k, v in pairs), ""]
+
+
+def _table(title: str, rows: list[dict], sum_of: int | None = None) -> list[str]:
+    """Ranges with requests and shares; with ``sum_of``, their sum and its share of that."""
+    shown = [(r["cidr"], r["requests"], r["percentage"]) for r in rows]
+    if sum_of is not None:
+        n = sum(r["requests"] for r in rows)
+        shown.append(("sum", n, 100 * n / sum_of if sum_of else 0.0))
+    return [f"  {title}", *(f"    {c:<18} {format_number(n):>14} {p:>8.2f} %" for c, n, p in shown)]
+
+
+def _trie_text(t: dict) -> list[str]:
+    s = t["stats"]
+    n = s["total_requests_after_filtering"]
+    filters = ", ".join(active_filters(t["parameters"])) or "none"
+    out = _lines(f"analysis {t['name']}", [("filters", filters), ("requests that pass", n), ("addresses", s["unique_ips"]), ("counted in ms", s["insert_time_ms"])])
+    if s.get("cidr_analysis"):
+        out += [*_table("watched ranges", s["cidr_analysis"]), ""]
+    for k, c in enumerate(t["data"], 1):
+        p = c["parameters"]
+        head = f"set {k} (size >= {p['min_cluster_size']}, depth {p['min_depth']} to {p['max_depth']}, difference {p['mean_subnet_difference']:g}), detected in {c['execution_time_us']} us"
+        out += [*(_table(head, c["merged_ranges"], n) if c["merged_ranges"] else [f"  {head}", "    nothing found"]), ""]
+    return out
 
 
 def to_plain(doc: dict) -> str:
-    """The report as text."""
+    """The report as text: a section on the run, one for each analysis, and what was odd."""
     g, meta = doc["general"], doc["metadata"]
-    out = [WIDE, "Analysis Results".center(79).rstrip(), WIDE, "", "📊 ANALYSIS OVERVIEW", RULE]
-    out += [f"Log File:        {g.get('log_file', '')}", f"Analysis Type:   {meta['analysis_type']}", f"Generated:       {meta['generated_at']}", f"Duration:        {meta['duration_ms']} ms", ""]
-    out += ["⚡ PARSING PERFORMANCE", RULE, f"Total Requests:  {format_number(g['total_requests'])}", f"Parse Time:      {g['parsing']['duration_ms']} ms", f"Parse Rate:      {format_number(g['parsing']['rate_per_second'])} requests/sec", f"Log Format:      {g['parsing']['format']}", ""]
-    for k, t in enumerate(doc["tries"]):
-        s = t["stats"]
-        out += [f"🎯 TRIE: {t['name']}", RULE, f"Requests After Filtering: {format_number(s['total_requests_after_filtering'])}", f"Unique IPs:              {format_number(s['unique_ips'])}", f"Trie Build Time:         {s['insert_time_ms']} ms", f"Active Filters:          {', '.join(active_filters(t['parameters'])) or 'None'}", ""]
-        if s.get("cidr_analysis"):
-            out += ["📍 CIDR RANGE ANALYSIS", "." * 79, *(_row("  ", r["cidr"], r["requests"], r["percentage"]) for r in s["cidr_analysis"]), ""]
-        if t["data"]:
-            out += [f"🔍 CLUSTERING RESULTS ({len(t['data'])} sets)", "." * 79]
-            for j, c in enumerate(t["data"], 1):
-                p = c["parameters"]
-                out += [f"  Set {j}: min_size={p['min_cluster_size']}, depth={p['min_depth']}-{p['max_depth']}, threshold={p['mean_subnet_difference']:.2f}", f"  Execution Time: {c['execution_time_us']} μs"]
-                if c["merged_ranges"]:
-                    total = sum(r["requests"] for r in c["merged_ranges"])
-                    whole = s["total_requests_after_filtering"]
-                    out += ["  Detected Threat Ranges:", *(_row("    ", r["cidr"], r["requests"], r["percentage"]) for r in c["merged_ranges"]), _row("    ", "─" * 19, total, 100 * total / whole if whole else 0.0, " [TOTAL]")]
-                else:
-                    out.append("  No significant threat ranges detected")
-                out.append("")
-        if k < len(doc["tries"]) - 1:
-            out += ["=" * 79, ""]
-    if doc["warnings"] or doc["errors"]:
-        out += ["⚠️  DIAGNOSTICS", RULE]
-        if doc["warnings"]:
-            out += ["Warnings:", *(f"  • {w['message']}" for w in doc["warnings"] if w["type"] != "info")]
-        if doc["errors"]:
-            out += ["Errors:", *(f"  • {e['message']}" for e in doc["errors"])]
-        out.append("")
-    return "\n".join([*out, WIDE]) + "\n"
+    run = [("kind", meta["analysis_type"]), ("log", g.get("log_file", "")), ("format", g["parsing"]["format"]), ("at", meta["generated_at"]), ("took ms", meta["duration_ms"])]
+    run += [("requests", g["total_requests"]), ("read and counted in ms", g["parsing"]["duration_ms"]), ("requests a second", g["parsing"]["rate_per_second"])]
+    out = _lines("run", run)
+    for t in doc["tries"]:
+        out += _trie_text(t)
+    odd = [("warning", w["message"]) for w in doc["warnings"] if w["type"] != "info"] + [("error", e["message"]) for e in doc["errors"]]
+    return "\n".join(out + (_lines("notes", odd) if odd else [])).rstrip("\n") + "\n"
 
 
 def heatmap_html(cells: list[tuple[int, int, int]]) -> str:

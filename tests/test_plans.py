@@ -89,7 +89,8 @@ def test_static_run(spark, files):
     assert json.loads((files / "jail.json").read_text())["Cells"][0]["Prisoners"]
     assert "<canvas" in (files / "map.html").read_text()
     text = report.to_plain(doc)
-    assert "🎯 TRIE: login" in text and "[TOTAL]" in text and "Endpoint: ^/login, Time: 2025-02-05 00:00 → 2025-02-06 00:00" in text
+    assert "[analysis login]" in text and "    sum " in text and "Endpoint: ^/login, Time: 2025-02-05 00:00 → 2025-02-06 00:00" in text
+    assert doc["general"]["parsing"]["duration_ms"] > 0 and all(c["execution_time_us"] > 0 for t in doc["tries"] for c in t["data"]) and every["stats"]["insert_time_ms"] > 0
     assert json.loads(report.to_json(doc)) == json.loads(report.to_json(doc, compact=True)) == doc
 
 
@@ -99,6 +100,9 @@ def test_flags_and_toml_agree(spark, files, capsys):
     one = json.loads(capsys.readouterr().out)
     assert cli.main(["static", "--logfile", f"{files}/a.log", "--logFormat", FMT, "--useragentRegex", "scanner|evil", "--clusterArgSets", "50,20,30,0.3,10,24,32,0.1"]) == 0
     two = json.loads(capsys.readouterr().out)
+    for doc in (one, two):  # times are measured
+        assert doc["tries"][0]["stats"].pop("insert_time_ms") > 0
+        assert all(c.pop("execution_time_us") > 0 for c in doc["tries"][0]["data"])
     assert one["tries"] == two["tries"] and one["tries"][0]["data"][0]["merged_ranges"]
     assert cli.main(["static", "--logfile", f"{files}/a.log", "--logFormat", FMT, "--plain"]) == 0
     assert "No issues" not in capsys.readouterr().out
