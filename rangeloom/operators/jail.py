@@ -10,6 +10,7 @@ import ipaddress
 import json
 import os
 import tempfile
+from bisect import bisect_left, insort
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
 
@@ -39,15 +40,17 @@ class Cell:
     prisoners: list[Prisoner] = field(default_factory=list)
 
 
-def _span(cidr: str) -> tuple[int, int] | None:
-    """First and last address as the text writes them: host bits of the first stay."""
+def _span(cidr: str) -> tuple[int, int, int] | None:
+    """First and last address and prefix length as the text writes them: host bits of the first stay."""
+    if "/" not in cidr:
+        return None
     try:
         net, host = ipaddress.ip_network(cidr, strict=False), ipaddress.ip_address(cidr.split("/")[0])
     except ValueError:
         return None
-    if net.version != 4 or "/" not in cidr:
+    if net.version != 4:
         return None
-    return int(host), int(host) | int(net.hostmask)
+    return int(host), int(host) | int(net.hostmask), net.prefixlen
 
 
 def is_sub_range(inner: str, outer: str) -> bool:
@@ -55,11 +58,60 @@ def is_sub_range(inner: str, outer: str) -> bool:
     return bool(a and b and a[0] >= b[0] and a[1] <= b[1])
 
 
+class Places:
+    """Where each prisoner is: looked up by text, by the blocks that hold a range, and by first address, so that a fill does not look at
+    everyone. Order is that of cells, and of arrival within a cell."""
+
+    def __init__(self, cells: list[Cell]):
+        self.by_text: dict[str, list[tuple[int, int, Prisoner]]] = {}
+        self.by_block: dict[tuple[int, int], list[tuple[int, int, Prisoner]]] = {}
+        self.starts: list[tuple[int, int]] = []
+        self.at: dict[int, tuple[int, int, Prisoner]] = {}
+        self.next = 0
+        for k, cell in enumerate(cells):
+            for p in cell.prisoners:
+                self.add(k, p)
+
+    def add(self, cell: int, p: Prisoner) -> None:
+        entry = (cell, self.next, p)
+        self.at[id(p)] = entry
+        self.by_text.setdefault(p.cidr, []).append(entry)
+        if span := _span(p.cidr):
+            self.by_block.setdefault((span[2], span[1] >> 32 - span[2]), []).append(entry)
+            insort(self.starts, (span[0], self.next, span[1], entry))
+        self.next += 1
+
+    def drop(self, p: Prisoner) -> None:
+        entry = self.at.pop(id(p))
+        self.by_text[p.cidr].remove(entry)
+        if span := _span(p.cidr):
+            self.by_block[span[2], span[1] >> 32 - span[2]].remove(entry)
+            del self.starts[bisect_left(self.starts, (span[0], entry[1]))]
+
+    def same(self, cidr: str) -> tuple[int, int, Prisoner] | None:
+        return min(self.by_text.get(cidr, []), key=lambda e: e[:2], default=None)
+
+    def inside(self, cidr: str) -> list[tuple[int, int, Prisoner]]:
+        """Those that lie in a range."""
+        first, last, _ = _span(cidr)
+        found = [e for _, _, end, e in self.starts[bisect_left(self.starts, (first, -1)) : bisect_left(self.starts, (last + 1, -1))] if end <= last]
+        return sorted(found, key=lambda e: e[:2])
+
+    def around(self, cidr: str) -> tuple[int, int, Prisoner] | None:
+        """The first that holds a range."""
+        first, last, _ = _span(cidr)
+        found = [e for n in range(33) for e in self.by_block.get((n, first >> 32 - n), []) if (s := _span(e[2].cidr)) and s[0] <= first and last <= s[1]]
+        return min(found, key=lambda e: e[:2], default=None)
+
+
 @dataclass
 class Jail:
     cells: list[Cell]
     all_cidrs: list[str] = field(default_factory=list)
 
+    def __post_init__(self):
+        self._places: Places | None = None
+
     @classmethod
     def new(cls) -> Jail:
         return cls([Cell(k, f"Stage {k} Ban -> {name}", duration) for k, (name, duration) in enumerate(STAGES, 1)])
@@ -67,15 +119,14 @@ class Jail:
     def _everyone(self) -> list[tuple[int, Prisoner]]:
         return [(k, p) for k, cell in enumerate(self.cells) for p in cell.prisoners]
 
-    def _release(self, cell: int, prisoner: Prisoner) -> None:
+    def _remove(self, cell: int, prisoner: Prisoner) -> None:
         at = next(k for k, p in enumerate(self.cells[cell].prisoners) if p is prisoner)
         del self.cells[cell].prisoners[at]
-        if prisoner.cidr in self.all_cidrs:
-            self.all_cidrs.remove(prisoner.cidr)
+        self._places.drop(prisoner)
 
-    def _throw(self, cell: int, cidr: str, now: datetime) -> None:
-        if 0 <= cell < len(self.cells):
-            self.cells[cell].prisoners.append(Prisoner(cidr, now))
+    def _put(self, cell: int, prisoner: Prisoner) -> None:
+        self.cells[cell].prisoners.append(prisoner)
+        self._places.add(cell, prisoner)
 
     def _again(self, cell: int, prisoner: Prisoner, now: datetime) -> None:
         """A range comes back: nothing while it is banned, else a new ban, one stage on."""
@@ -83,8 +134,8 @@ class Jail:
             return
         prisoner.ban_start, prisoner.active = now, True
         if cell < len(self.cells) - 1:
-            self.cells[cell].prisoners = [p for p in self.cells[cell].prisoners if p is not prisoner]
-            self.cells[cell + 1].prisoners.append(prisoner)
+            self._remove(cell, prisoner)
+            self._put(cell + 1, prisoner)
 
     def fill(self, cidr: str, now: datetime) -> None:
         if not cidr:
@@ -92,21 +143,28 @@ class Jail:
         try:
             if "/" not in cidr:
                 raise ValueError("no prefix length")
-            ipaddress.ip_network(cidr, strict=False)
+            net = ipaddress.ip_network(cidr, strict=False)
         except ValueError as e:
             raise JailError(f"error parsing CIDR {cidr}: {e}") from e
-        everyone = self._everyone()
-        if same := next(((k, p) for k, p in everyone if p.cidr == cidr), None):
-            self._again(*same, now)
-        elif inner := [(k, p) for k, p in everyone if is_sub_range(p.cidr, cidr)]:
-            for k, p in inner:
-                self._release(k, p)
-            self._throw(max(k for k, _ in inner), cidr, now)
+        if self._places is None:
+            self._places = Places(self.cells)
+        inner, parent = [], None
+        if net.version == 4:
+            inner, parent = self._places.inside(cidr), self._places.around(cidr)
+        if same := self._places.same(cidr):
+            self._again(same[0], same[2], now)
+        elif inner:
+            for k, _, p in inner:
+                self._remove(k, p)
+                if p.cidr in self.all_cidrs:
+                    self.all_cidrs.remove(p.cidr)
+            self._put(max(k for k, _, _ in inner), Prisoner(cidr, now))
             self.all_cidrs.append(cidr)
-        elif parent := next(((k, p) for k, p in everyone if is_sub_range(cidr, p.cidr)), None):
-            self._again(*parent, now)
+        elif parent:
+            self._again(parent[0], parent[2], now)
         else:
-            self._throw(0, cidr, now)
+            if self.cells:
+                self._put(0, Prisoner(cidr, now))
             self.all_cidrs.append(cidr)
 
     def expire(self, now: datetime) -> None:
@@ -115,7 +173,7 @@ class Jail:
                 p.active = False
 
     def update(self, cidrs: list[str], now: datetime) -> list[str]:
-        """Expire once, then fill in order; messages of those that failed, which stop nothing."""
+        """A list of ranges comes in: expire once, then fill in order; messages of those that failed, which stop nothing."""
         self.expire(now)
         failed = []
         for c in cidrs:
@@ -195,11 +253,11 @@ def write_atomic(path: str, text: str, mode: int = 0o644) -> None:
 
 def ban_file(active: list[str], manual: list[str], now: datetime) -> str:
     """Text of the ban file; empty sections are left out."""
-    out = [f"# This file was generated automatically. Last modification {now:%Y-%m-%d %H:%M:%S} "]
+    out = [f"# Written by rangeloom at {now:%Y-%m-%d %H:%M:%S}; changes by hand are lost."]
     if active:
-        out += ["# Active jail bans:", *active]
+        out += ["# Ranges whose bans are in force", *active]
     if manual:
-        out += ["# Manual blacklist entries:", *manual, "# End of manual blacklist"]
+        out += ["# Ranges from the manual list", *manual, "# No more manual ranges"]
     return "\n".join(out) + "\n"
 
 

@@ -242,7 +242,7 @@ def test_jail_files(tmp_path):
     old = '{"Cells":[{"Id":1,"Description":"d","BanDuration":600000000000,"Prisoners":[{"Cidr":"1.2.3.0/24","BanStart":"2025-01-01T00:00:00.123456789Z","BanActive":true}]}],"AllCidrs":["1.2.3.0/24"]}'
     assert jail.Jail.from_json(old).cells[0].prisoners[0].ban_start == datetime(2025, 1, 1, 0, 0, 0, 123456, tzinfo=timezone.utc)
     text = jail.ban_file(["1.0.0.0/8"], ["2.0.0.0/8"], NOW)
-    assert text.splitlines()[1:] == ["# Active jail bans:", "1.0.0.0/8", "# Manual blacklist entries:", "2.0.0.0/8", "# End of manual blacklist"]
+    assert text.splitlines()[1:] == ["# Ranges whose bans are in force", "1.0.0.0/8", "# Ranges from the manual list", "2.0.0.0/8", "# No more manual ranges"]
     assert len(jail.ban_file([], [], NOW).splitlines()) == 1
     jail.write_atomic(path, "x")
     assert (tmp_path / "jail.json").read_text() == "x" and len(list(tmp_path.iterdir())) == 1
