@@ -103,7 +103,7 @@ def run_live(spec: Spec, a: argparse.Namespace) -> int:
     server = StatsServer(spec.live["statsListen"]) if spec.live.get("statsListen") else None
     port = spec.live["port"]
     receiver = lumberjack.Receiver(port if ":" in port else f":{port}", f"{state}/spool")
-    loop = LiveLoop(spark, spec, f"{state}/tables", server)
+    loop = LiveLoop(spark, spec, f"{state}/tables", server, spooled=receiver.spooled)
     try:
         loop.start(lumberjack.stream(spark, f"{state}/spool"), f"{state}/checkpoint").awaitTermination()
     finally:

@@ -1,7 +1,8 @@
 """Lumberjack v2 receiver: events of log shippers become JSON files that a file stream reads.
 
 The receiver acknowledges a window only when its events are on disk, in a file that appears in one step; so a crash loses nothing
-that was acknowledged, and Spark's file source replays what it had not committed.
+that was acknowledged, and Spark's file source replays what it had not committed. The spool folder must be one that the
+receiver's machine, the driver and all executors see under the same path (a shared mount); :func:`stream` checks that on a cluster.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import zlib
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 EVENT = "message string"
 
@@ -63,6 +65,7 @@ class Receiver:
     def __init__(self, listen: str, folder: str, timeout: float = 5.0):
         host, _, port = listen.rpartition(":")
         os.makedirs(folder, exist_ok=True)
+        self.folder = folder
         self.batches = self.events = 0
         self.last_batch: datetime | None = None
         self.closed = False
@@ -106,6 +109,11 @@ class Receiver:
         self.events += len(events)
         self.last_batch = datetime.now(timezone.utc)
 
+    def spooled(self) -> int:
+        """How many files were ever spooled to the folder: a loop that knows how many it has read knows the depth of the queue."""
+        with os.scandir(self.folder) as found:
+            return sum(f.name.endswith(".json") and not f.name.startswith(".") for f in found)
+
     def close(self) -> None:
         self.closed = True
         self._tcp.shutdown()
@@ -113,5 +121,23 @@ class Receiver:
 
 
 def stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The spooled events as a streaming table (message); events without a text message have a null there."""
-    return spark.readStream.schema(EVENT).json(folder)
+    """The spooled events as a streaming table (message, file); events without a text message have a null there."""
+    if not spark.sparkContext.master.startswith("local["):
+        check_shared(spark, folder)
+    return spark.readStream.schema(EVENT).json(folder).select("message", F.col("_metadata.file_path").alias("file"))
+
+
+def check_shared(spark: SparkSession, folder: str) -> None:
+    """An executor must read what the driver writes to the folder; OSError if not."""
+    probe = os.path.join(folder, f".probe-{uuid.uuid4().hex}")
+    with open(probe, "w", encoding="utf-8") as f:
+        f.write("seen")
+
+    def see(_: int) -> bool:
+        return os.path.exists(probe)
+
+    try:
+        if not all(spark.sparkContext.parallelize(range(64), 64).map(see).collect()):
+            raise OSError(f"executors don't see {folder}: the spool must be on a shared mount")
+    finally:
+        os.unlink(probe)

@@ -1,11 +1,14 @@
 """Live analysis: one step a micro-batch over all windows, with register, ban file and snapshot.
 
-State that grows (window queues, user-agent addresses) lives in Parquet tables of the state folder, a new version a batch, so a lost executor loses nothing and a
-replayed batch writes the same version again. On the driver are only lists, detected ranges and the register.
+State that grows (window queues, user-agent addresses) lives in Parquet tables of the state folder, published step by step
+(:mod:`.state`) with the counters. Step n starts from what the step before n published, so a lost executor loses nothing, a batch that Spark
+replays gives the same windows again, and a new process goes on where the last one ended. On the driver are only lists, detected
+ranges, the register, and addresses of listed agents, which go to the ban file line by line.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import time
 from collections.abc import Callable
 from datetime import datetime, timezone
@@ -24,14 +27,25 @@ from ..plans.config import Spec, logger
 from ..sources.access_log import parse_live
 from . import window
 from .snapshot import TALKERS_EVERY, Counters, StatsServer, build_snapshot
+from .state import StateStore
+
+#: Counters that a manifest keeps.
+KEPT = ("accepted", "rejected", "iterations", "batches", "requests", "parse_errors", "malformed", "files", "ua_white_hits", "ua_black_hits", "talkers")
+
+
+SEEN = "ip bigint, ua_class int, last_seen timestamp"
 
 
 class LiveLoop:
-    """The loop's state between batches. ``clock`` gives the processing time."""
+    """The loop's state between batches. ``clock`` gives the processing time, ``spooled`` how many files were ever spooled."""
 
-    def __init__(self, spark: SparkSession, spec: Spec, state_dir: str, server: StatsServer | None = None, clock: Callable[[], datetime] | None = None):
+    def __init__(
+        self, spark: SparkSession, spec: Spec, state_dir: str, server: StatsServer | None = None, clock: Callable[[], datetime] | None = None,
+        spooled: Callable[[], int] | None = None,
+    ):
         spec.validate_live()
-        self.spark, self.spec, self.dir, self.server = spark, spec, state_dir.rstrip("/"), server
+        self.spark, self.spec, self.server, self.spooled = spark, spec, server, spooled
+        self.store = StateStore(spark, state_dir)
         self.clock = clock or (lambda: datetime.now(timezone.utc))
         self.white, self.black = spec.cidrs("whitelist"), spec.cidrs("blacklist")
         self.agents = spec.agents("ua_whitelist"), spec.agents("ua_blacklist")
@@ -42,14 +56,32 @@ class LiveLoop:
         self.seen: DataFrame | None = None
         self.counters = Counters(started=self.clock(), accepted=dict.fromkeys(spec.windows, 0), rejected=dict.fromkeys(spec.windows, 0))
         self.log = logger(spec.log_level, spec.log_style)
-        self.number = 0
         self.snapshot: dict | None = None
+        self.tables: dict[str, str] = {}
+        self.number = 0
+        if known := self.store.numbers():
+            self._load(self.store.read(known[-1]))
+
+    def _load(self, doc: dict | None) -> None:
+        """Take over what a step published; nothing before the first."""
+        doc = doc or {"number": 0, "tables": {}, "counters": {}}
+        self.number = doc["number"]
+        fresh = Counters(started=self.counters.started, accepted=dict.fromkeys(self.spec.windows, 0), rejected=dict.fromkeys(self.spec.windows, 0))
+        old = {k: v for k, v in doc["counters"].items() if k in KEPT}
+        for k in ("accepted", "rejected"):
+            old[k] = getattr(fresh, k) | {w: n for w, n in old.get(k, {}).items() if w in self.spec.windows}
+        self.counters = dataclasses.replace(fresh, **old)
+        self.queues = {w: self._reread(doc["tables"].get(f"window-{w}"), window.STATE) for w in self.spec.windows}
+        self.seen = self._reread(doc["tables"].get("agents"), SEEN)
+        self.tables = {}
+
+    def _reread(self, at: str | None, schema: str) -> DataFrame | None:
+        return self.spark.read.schema(schema).parquet(at) if at else None
 
-    def _table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write a version of a state table, and read it back."""
-        at = f"{self.dir}/{name}/v{self.number}"
-        df.write.mode("overwrite").parquet(at)
-        return self.spark.read.schema(df.schema).parquet(at)
+    def _table(self, df: DataFrame, name: str, schema: str) -> DataFrame:
+        """Write this step's version of a state table, and read it back."""
+        self.tables[name] = self.store.write(df, name)
+        return self._reread(self.tables[name], schema)
 
     def _classify(self, rows: DataFrame, now: datetime) -> DataFrame:
         """Mark agents, remember their addresses as long as the longest window, drop whitelisted rows."""
@@ -62,7 +94,7 @@ class LiveLoop:
         new = rows.where((F.col("ua_class") != 0) & (F.col("ip") != 0)).select("ip", "ua_class", F.lit(now).alias("last_seen"))
         both = new if self.seen is None else self.seen.unionByName(new)
         latest = both.groupBy("ip", "ua_class").agg(F.max("last_seen").alias("last_seen"))
-        self.seen = self._table(window.purge_expired(latest, now - self.longest), "agents")
+        self.seen = self._table(window.purge_expired(latest, now - self.longest), "agents", SEEN)
         return rows.where("ua_class <> 1").drop("ua_class")
 
     def _agent_ips(self, cls: int) -> list[str]:
@@ -74,11 +106,18 @@ class LiveLoop:
     def step(self, events: DataFrame, batch_id: int | None = None) -> dict | None:
         """One micro-batch of (message) events. An empty batch changes nothing, so without traffic no ban is renewed."""
         began, now = time.time(), self.clock()
-        self.number = self.number + 1 if batch_id is None else batch_id + 1
+        number = self.number + 1 if batch_id is None else batch_id + 1
+        if number <= self.number:  # Spark gives a batch again
+            self._load(self.store.before(number))
+        self.number, self.tables = number, {}
         parsed = parse_live(events).persist()
         try:
             c = self.counters
-            total = parsed.agg(F.count(F.lit(1)).alias("n"), F.count_if("parse_error").alias("bad"), F.coalesce(F.sum(F.when(~F.col("parse_error"), F.col("malformed"))), F.lit(0)).alias("mal")).first()
+            files = F.count_distinct("file") if "file" in events.columns else F.lit(0)
+            malformed = F.coalesce(F.sum(F.when(~F.col("parse_error"), F.col("malformed"))), F.lit(0))
+            total = parsed.agg(F.count(F.lit(1)).alias("n"), F.count_if("parse_error").alias("bad"), malformed.alias("mal"), files.alias("files")).first()
+            c.files += total["files"]
+            c.queue_depth = max(0, self.spooled() - c.files) if self.spooled else 0
             if total["n"] == total["bad"]:
                 c.parse_errors += total["bad"]
                 return None
@@ -92,7 +131,7 @@ class LiveLoop:
                 c.accepted[name] += tally["yes"]
                 c.rejected[name] += tally["no"]
                 queue = window.append(self.queues[name], usable.where(passes), self.number)
-                self.queues[name] = self._table(window.evict(queue, now, w.max_time, w.max_size), f"window-{name}")
+                self.queues[name] = self._table(window.evict(queue, now, w.max_time, w.max_size), f"window-{name}", window.STATE)
                 own = self.queues[name].groupBy("ip").agg(F.count(F.lit(1)).alias("c"))
                 one = own.select(F.lit(name).alias("trie"), "ip", "c")
                 counts = one if counts is None else counts.unionByName(one)
@@ -115,7 +154,7 @@ class LiveLoop:
         every = self.white + [f"{ip}/32" for ip in white_ips]
         jailed = subtract_lists(merged, every) + [f"{ip}/32" for ip in black_ips]
         if failed := self.jail.update(jailed, now):
-            self.log.warning("some CIDRs failed during jail update: %s", "; ".join(failed))
+            self.log.warning("the register refused: %s", "; ".join(failed))
         self.jail.save(spec.jail_path)
         bans, manual = subtract_lists(self.jail.active_bans(), every), subtract_lists(self.black, every)
         content = ban_file(bans, manual, now)
@@ -127,6 +166,7 @@ class LiveLoop:
         self.snapshot = build_snapshot(spec, c, windows, found, self.jail, self.white, self.black, now, took, self.pause)
         if self.server:
             self.server.publish(self.snapshot, content)
+        self.store.publish(self.number, {"number": self.number, "tables": self.tables, "counters": {k: getattr(c, k) for k in KEPT}})
         self.log.info("iteration windows=%d detected=%d merged=%d jailed=%d active_bans=%d loop_ms=%d", len(windows), len(found), len(merged), len(jailed), len(bans), round(took * 1000))
         return self.snapshot
 

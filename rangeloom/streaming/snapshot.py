@@ -28,6 +28,7 @@ class Counters:
     requests: int = 0
     parse_errors: int = 0
     malformed: int = 0
+    files: int = 0
     last_batch: datetime | None = None
     ua_white_hits: int = 0
     ua_black_hits: int = 0

@@ -73,14 +73,47 @@ def test_stream(spark, loop, tmp_path):
     spool = tmp_path / "spool"
     spool.mkdir()
     (spool / "a.json").write_text("\n".join(json.dumps({"message": line(f"10.5.5.{k % 8}", T0)}) for k in range(40)) + "\n{}\n")
+    loop.spooled = lambda: len(list(spool.glob("*.json"))) + 3
     q = loop.start(lumberjack.stream(spark, str(spool)), str(tmp_path / "cp"))
     q.processAllAvailable()
+    assert loop.snapshot["ingest"]["queue_depth"] == 3
     (spool / "b.json").write_text(json.dumps({"message": line("10.5.5.1", T0)}) + "\n")
     q.processAllAvailable()
     q.stop()
     assert loop.snapshot["windows"][0]["requests"] == 41 and loop.snapshot["ingest"]["parse_errors_total"] == 1
 
 
+def windows_of(loop):
+    """What the windows hold, as (name, ip, time)."""
+    return sorted((n, r["ip"], r["ts"]) for n, q in loop.queues.items() if q is not None for r in q.collect())
+
+
+def test_replayed_batches_give_the_same_windows(spark, loop):
+    batches = [[line(f"10.5.{b}.{k % 8}", T0, uri="/api/x") for k in range(6 + b)] for b in range(4)]
+    for n, lines in enumerate(batches[:3]):
+        loop.step(batch(spark, lines), n)
+    once, counted = windows_of(loop), dict(loop.counters.accepted)
+    loop.step(batch(spark, batches[2]), 2)  # the last one again
+    assert windows_of(loop) == once and loop.counters.accepted == counted and loop.counters.batches == 3
+    loop.step(batch(spark, batches[3]), 3)
+    assert loop.counters.accepted["main"] == sum(map(len, batches)) and len(windows_of(loop)) == 30 + 10
+
+
+def test_a_new_loop_goes_on(spark, loop, tmp_path):
+    for n in range(3):
+        loop.step(batch(spark, [line(f"10.7.0.{k}", T0) for k in range(8)] + [line("2.2.2.2", T0, "enemy")]), n)
+    again = LiveLoop(spark, loop.spec, str(tmp_path / "state"), clock=lambda: T0)
+    assert again.number == 3 and windows_of(again) == windows_of(loop) and again.counters.accepted == loop.counters.accepted
+    s = again.step(batch(spark, [line("10.7.0.1", T0)]), 3)
+    assert s["windows"][0]["requests"] == 28 and s["windows"][0]["accepted_total"] == 28 and s["lists"]["user_agent_lists"]["active_blacklist_ips"] == 1
+    replayed = LiveLoop(spark, loop.spec, str(tmp_path / "state"), clock=lambda: T0)
+    s = replayed.step(batch(spark, [line("10.7.0.1", T0)]), 3)  # published, but the stream had not committed it
+    assert s["windows"][0]["requests"] == 28 and s["windows"][0]["accepted_total"] == 28
+    state = tmp_path / "state"
+    assert sorted(p.name for p in state.glob("manifest-*.json")) == ["manifest-3.json", "manifest-4.json"]
+    assert all(len(list((state / t).iterdir())) == 2 for t in ("window-main", "window-api", "agents"))
+
+
 def test_server(spark, loop):
     server = StatsServer("127.0.0.1:0")
     url = f"http://127.0.0.1:{server.address[1]}"
@@ -91,7 +124,7 @@ def test_server(spark, loop):
         loop.server = server
         loop.step(batch(spark, [line("9.9.9.9", T0)]))
         assert json.load(urllib.request.urlopen(url + "/stats"))["schema_version"] == 1
-        assert urllib.request.urlopen(url + "/bans").read().startswith(b"# This file")
+        assert urllib.request.urlopen(url + "/bans").read().startswith(b"# Written by")
         assert b"rangeloom_uptime_seconds" in urllib.request.urlopen(url + "/metrics").read()
         with pytest.raises(urllib.error.HTTPError):
             urllib.request.urlopen(url + "/none")
