@@ -346,11 +346,11 @@ def largest_block(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _black_white(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    r = derived.ranges(spark, sf)
-    return r.where("len <= 23"), r.where("len >= 22 and ord % 3 = 0")
+    """Ranges of all customers, and of all suppliers."""
+    return derived.ranges(spark, sf), derived.supplier_ranges(spark, sf, 22, 7)
 
 
-_BW = f"{RANGES_SQL}, bl AS (SELECT * FROM rg WHERE len <= 23), wh AS (SELECT * FROM rg WHERE len >= 22 AND ord % 3 = 0)"
+_BW = f"{RANGES_SQL}, bl AS (SELECT * FROM rg), {derived.supplier_ranges_sql('wh', 22, 7)}"
 _GAPS = """
     hits AS (SELECT b.ord, b.start, b."end", greatest(w.start, b.start) AS ws, least(w."end", b."end") AS we FROM bl b JOIN wh w ON w."end" >= b.start AND w.start <= b."end"),
     ends AS (SELECT ord, start, "end", ws, we FROM hits UNION ALL SELECT DISTINCT ord, start, "end", "end" + 1, "end" + 1 FROM hits),
@@ -372,11 +372,11 @@ def remove_whitelisted(spark: SparkSession, sf: str) -> DataFrame:
     return active.groupBy("cidr").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {_BW} SELECT ord, {_ip_sql('start')} || '/' || len AS cidr FROM bl b WHERE EXISTS (SELECT 1 FROM rg w WHERE w.len <= 20 AND w.ord % 2 = 1 AND w.start <= b.start AND w."end" >= b."end")""")
+@query(f"""WITH {RANGES_SQL}, {derived.supplier_ranges_sql('outside', 17, 7)}
+    SELECT ord, {_ip_sql('start')} || '/' || len AS cidr FROM rg b WHERE EXISTS (SELECT 1 FROM outside w WHERE w.start <= b.start AND w."end" >= b."end")""")
 def range_containment(spark: SparkSession, sf: str) -> DataFrame:
-    black, _ = _black_white(spark, sf)
-    outer = derived.ranges(spark, sf).where("len <= 20 and ord % 2 = 1")
-    return ranges.contained(black, outer).select("ord", ipf.cidr_text(F.col("start"), F.col("len")).alias("cidr"))
+    outer = derived.supplier_ranges(spark, sf, 17, 7)
+    return ranges.contained(derived.ranges(spark, sf), outer).select("ord", ipf.cidr_text(F.col("start"), F.col("len")).alias("cidr"))
 
 
 @query(f"""WITH {RANGES_SQL}, u AS (SELECT DISTINCT start, len, "end" FROM rg)

@@ -75,3 +75,18 @@ RANGES_SQL = """
         FROM (
             SELECT c_custkey AS ord, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 22 <> 0 THEN 184549376 + (c_custkey // 2) * 64 ELSE 167772160 + (c_custkey * 7919) % 4194304 END AS raw,
                 CAST(CASE WHEN c_custkey % 2 = 0 AND c_custkey % 22 <> 0 THEN 26 ELSE 18 + c_custkey % 13 END AS INTEGER) AS len FROM customer))"""
+
+
+def supplier_ranges(spark: SparkSession, sf_dir: str, low: int, lengths: int) -> DataFrame:
+    """(ord, start, len): ranges of the lengths low .. low + lengths - 1 from supplier keys, in the same network as those of :func:`ranges`."""
+    k = F.col("s_suppkey")
+    length = (low + k % lengths).cast("int")
+    raw, size = F.lit(167772160) + (k * 104729) % 4194304, F.call_function("shiftleft", F.lit(1).cast("bigint"), 32 - length)
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k.alias("ord"), (raw - raw % size).cast("bigint").alias("start"), length.alias("len"))
+
+
+def supplier_ranges_sql(name: str, low: int, lengths: int) -> str:
+    """The same for DuckDB, as a common table expression."""
+    size = f"CAST(1 AS BIGINT) << (32 - CAST({low} + s_suppkey % {lengths} AS INTEGER))"
+    return f"""{name} AS (SELECT ord, raw - raw % size AS start, len, raw - raw % size + size - 1 AS "end" FROM (
+        SELECT s_suppkey AS ord, 167772160 + (s_suppkey * 104729) % 4194304 AS raw, CAST({low} + s_suppkey % {lengths} AS INTEGER) AS len, {size} AS size FROM supplier))"""
