@@ -77,6 +77,12 @@ def covers(a_start: Column, a_len: Column, b_start: Column, b_len: Column) -> Co
     return (a_len <= b_len) & (mask(b_start, a_len) == a_start)
 
 
+def within_unmasked(a_host: Column, a_len: Column, b_host: Column, b_len: Column) -> Column:
+    """Whether range a lies in range b, both from the address as written (host bits stay) to the end of its block."""
+    end = lambda host, n: last_ip(mask(host, n), n)
+    return (a_host >= b_host) & (end(a_host, a_len) <= end(b_host, b_len))
+
+
 def largest_block(start: Column, size: Column) -> Column:
     """Prefix length of the largest aligned block that begins at ``start`` and has at most ``size`` addresses."""
     aligned = F.when(start == 0, F.lit(32)).otherwise(F.bit_count(start.bitwiseAND(-start) - 1))
@@ -125,7 +131,8 @@ def random_ips(spark: SparkSession, cidr: str, n: int, seed: int = 0):
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions: ip_to_long, long_to_ip, cidr_start, cidr_end. They are expressions, not Python code."""
+    """SQL functions: ip_to_long, long_to_ip, cidr_start, cidr_end, and cidr_cover(first, last), the array of the fewest ranges that make
+    up a span. They are expressions, not Python code."""
     quad = "transform(split(x, '[.]'), o -> coalesce(try_cast(o AS BIGINT), 0L))"
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION ip_to_long(x STRING) RETURNS BIGINT RETURN
         CASE WHEN x RLIKE '^[0-9]*([.][0-9]*){{3}}$' AND length(x) BETWEEN 7 AND 15 AND forall({quad}, o -> o <= 255)
@@ -133,3 +140,12 @@ def register(spark: SparkSession) -> None:
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION long_to_ip(x BIGINT) RETURNS STRING RETURN concat_ws('.', shiftright(x, 24) & 255, shiftright(x, 16) & 255, shiftright(x, 8) & 255, x & 255)")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION cidr_start(x STRING) RETURNS BIGINT RETURN shiftleft(shiftright(ip_to_long(split(x, '/')[0]), 32 - int(split(x, '/')[1])), 32 - int(split(x, '/')[1]))")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION cidr_end(x STRING) RETURNS BIGINT RETURN cidr_start(x) + shiftleft(1L, 32 - int(split(x, '/')[1])) - 1")
+    # at each level, blocks of 2**k addresses at either end of the span, kept if they lie in it and their parent doesn't
+    block = "shiftleft(shiftright({0}, k), k)"
+    ends = f"array_distinct(array({block.format('a + shiftleft(1L, k) - 1')}, {block.format('z + 1')} - shiftleft(1L, k)))"
+    parent = "shiftleft(shiftright(b, k + 1), k + 1)"
+    fits = f"b >= a AND b + shiftleft(1L, k) - 1 <= z AND NOT (k < 32 AND {parent} >= a AND {parent} + shiftleft(2L, k) - 1 <= z)"
+    level = f"transform(filter({ends}, b -> {fits}), b -> struct(b AS s, 32 - k AS n))"
+    text = "concat(concat_ws('.', shiftright(x.s, 24) & 255, shiftright(x.s, 16) & 255, shiftright(x.s, 8) & 255, x.s & 255), '/', x.n)"
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION cidr_cover(a BIGINT, z BIGINT) RETURNS ARRAY<STRING> RETURN
+        CASE WHEN a <= z THEN transform(array_sort(flatten(transform(sequence(0, 32), k -> {level}))), x -> {text}) ELSE array() END""")

@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import json
 import os
+import socket
 import socketserver
 import struct
 import threading
 import uuid
 import zlib
+from collections.abc import Iterable
 from datetime import datetime, timezone
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,6 +123,18 @@ class Receiver:
         self._tcp.server_close()
 
 
+def ship(address: tuple[str, int], events: Iterable[dict], window: int = 1000) -> None:
+    """Send events to a receiver, window by window, each acknowledged before the next: a shipper."""
+    with socket.create_connection(address, timeout=60) as s, s.makefile("rb") as replies:
+        rest = iter(events)
+        while some := list(islice(rest, window)):
+            raw = [json.dumps(e).encode() for e in some]
+            frames = b"".join(b"2J" + struct.pack(">II", k, len(x)) + x for k, x in enumerate(raw, 1))
+            s.sendall(b"2W" + struct.pack(">I", len(raw)) + frames)
+            if replies.read(6) != b"2A" + struct.pack(">I", len(raw)):
+                raise ProtocolError("the window was not acknowledged")
+
+
 def stream(spark: SparkSession, folder: str) -> DataFrame:
     """The spooled events as a streaming table (message, file); events without a text message have a null there."""
     if not spark.sparkContext.master.startswith("local["):

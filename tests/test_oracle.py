@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from rangeloom.plans import catalog
+from rangeloom.plans import queries as catalog
 
 SF = "/root/testdata/sf0.001"
 
