@@ -2,60 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import drop, new_folder  # noqa: F401
+
 #: Text bytes handled by one vectorised step; longer texts make a step of their own.
 PIECE_BYTES = 1 << 20
 PIECE_ROWS = 1024
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where that is unset, a local master gets a temporary folder of its own; on a cluster it is an error, as executors
-    would not see the driver's disk.
-    """
-    here = spark.conf.get("spark.checkpoint.dir", None)
-    if here:
-        return here
-    got = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if got.isDefined():
-        return got.get()
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    here = tempfile.mkdtemp(prefix="rangeloom-")
-    spark.sparkContext.setCheckpointDir(here)
-    atexit.register(shutil.rmtree, here, True)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-_swept: set[str] = set()
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh place in the application's part of the shared folder, which goes when the application ends."""
-    top = f"{shared_dir(spark).rstrip('/')}/rangeloom-{spark.sparkContext.applicationId}"
-    if top not in _swept:
-        _swept.add(top)
-        atexit.register(_sweep, spark, top)
-    return f"{top}/{name}-{uuid.uuid4().hex}"
-
-
-def _sweep(spark: SparkSession, top: str) -> None:
-    if spark.sparkContext._jsc is not None:
-        drop(spark, top)
-
-
 #: With this, the files of a plan's shuffles go when the plan has ended, not when the driver collects its garbage.
 TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -98,15 +58,6 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def drop(spark: SparkSession, *paths: str) -> None:
-    """Delete folders written by :func:`table` that no plan needs any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def text_array(col: pa.Array) -> pa.Array:
     """Nulls as empty texts; large offsets never needed, as one batch stays under 2 GB."""
     return pc.fill_null(col, "") if col.null_count else col
