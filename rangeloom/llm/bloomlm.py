@@ -1,15 +1,19 @@
 """Operator 4. Language-model scoring from a log-frequency Bloom filter.
 
 A filter holds quantised n-gram counts: an n-gram of count c is entered together with
-every level 1 .. 1 + floor(log_b c); its count is read back by probing level after level
-until one is absent. The model is a bigram with Dirichlet smoothing,
+every level 1 .. 1 + floor(log_b(c / MIN_COUNT)); its count is read back by probing level after level
+until one is absent. With h the ``ORDER`` - 1 words before w (a text begins behind marks of its start), the model is
 
-    P(w | u) = (c(u w) + mu * P1(w)) / (c(u) + mu),   P1(w) = (c(w) + 1) / (N + V + 1),
+    P(w | h) = (c(h w) + mu * P1(w)) / (c(h) + mu),   P1(w) = (c(w) + 1) / (N + V + 1),
 
-whose log is a sum of terms that each depend on entries keyed by one word: c(u w) and c(w)
-by w, c(u) by u. So the vocabulary is dealt to regions by a word's hash; a region holds its words,
-the bigrams that end in them, their filter and their exact counts (for the unigram base
-score). Within a region, entries are dealt over cells, bigrams by a hash of both words, so that the many predecessors of one frequent
+that is the n-gram where it is known and the word's own frequency where it is not. Everything is counted, over all training texts;
+as is usual for long n-grams, one that occurs once in the whole corpus says no more than its words do and is not entered, which
+leaves a tenth of them. So a passage that the corpus repeats stands out from one that it holds once.
+
+The log of the score is a sum of terms that each depend on entries keyed by one word: c(h w) and c(w)
+by w, c(h) by its last word. So the vocabulary is dealt to regions by a word's hash; a region holds its words,
+the n-grams that end in them, their filter and their exact counts (which also give the unigram base
+score). Within a region, entries are dealt over cells, n-grams by a hash of all their words, so that the many n-grams that end in one frequent
 word make no cell larger than others. Groups of regions of bounded size are broadcast, one a pass. Filters grow with the corpus and
 need more passes, never a larger broadcast: then the texts are read and hashed once, their probes are dealt to the passes, each pass reads
 its own, and a row's score is the sum of its parts.
@@ -30,46 +34,63 @@ from pyspark.sql import functions as F
 from .common import drop, new_folder, pieces, table, text_array
 from .vectext import U, Words, buffers, mix, sums
 
-#: Step of the quantised counts, filter bits for each entry and level, bits set for each, smoothing mass.
-LOG_BASE, BITS, PROBES, MU = 1.5, 11, 5, 2.0
+#: Words of an n-gram; step of the quantised counts; filter bits for each entry and level; bits set for each; smoothing mass; occurrences from
+#: which an n-gram is entered.
+ORDER, LOG_BASE, BITS, PROBES, MU, MIN_COUNT = 4, 1.5, 16, 6, 2.0, 2
 #: Bytes broadcast at once; binary digits of the number of regions at most, and of cells in a region.
 PASS_BYTES, REGION_BITS, CELL_BITS = 192 << 20, 13, 4
 END = mix(np.array([0xE0D], U))[0]
 BOS = mix(np.array([0xB05], U))[0]
-TOP = U(0xFFFF << 48)
-KINDS = (0, 1)  # words, bigrams
-#: Bigram occurrences that a task holds before it passes counts on.
-HELD = 2_000_000
-
-
-def bigram_keys(prev: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Keys whose upper 16 bits are those of the last word, so both lie in one region."""
-    return (word & TOP) | (mix(prev * U(0x9FB21C651E98DF25) ^ word) & ~TOP)
+WORDS, HISTORIES, GRAMS = KINDS = (0, 1, 2)
+#: Bits of an n-gram's hash; its region is that of its last word.
+GRAM_BITS = 48
+#: Distinct n-grams that a task holds before it passes counts on.
+HELD = 2_500_000
 
 
-def cells(keys: np.ndarray, kind: int, bits: int) -> np.ndarray:
-    """The cell of each word or bigram key: its region, then for words the next bits (so cells ascend with words), for bigrams the
-    lowest, which depend on both words."""
-    if kind == 0:
-        return (keys >> U(64 - bits - CELL_BITS)).astype(np.int64)
-    return (keys >> U(64 - bits)).astype(np.int64) << CELL_BITS | (keys & U((1 << CELL_BITS) - 1)).astype(np.int64)
-
-
-def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word hash, previous hash, offsets) of each text's words and its end token."""
+def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word, history, n-gram, offsets) of each text's words and its end token, as hashes: ``history`` is of the ORDER - 1 words that
+    end here, ``n-gram`` of the ORDER words that end here, both below 2**GRAM_BITS."""
     words = Words(col)
-    n = len(col)
-    off = words.off + np.arange(n + 1)
+    off = words.off + np.arange(len(col) + 1)
     seq = np.empty(off[-1], U)
     ends = off[1:] - 1
     seq[ends] = END
     inner = np.ones(off[-1], bool)
     inner[ends] = False
     seq[inner] = words.hashes(lower=True)
-    prev = np.empty_like(seq)
-    prev[1:] = seq[:-1]
-    prev[off[:-1]] = BOS
-    return seq, prev, off
+    got, acc = {}, seq
+    shifted = seq
+    for n in range(2, ORDER + 1):
+        shifted = np.concatenate([shifted[:1], shifted[:-1]])
+        shifted[off[:-1]] = BOS
+        acc = mix(acc * U(0x9FB21C651E98DF25) + shifted)
+        got[n] = acc >> U(64 - GRAM_BITS)
+    return seq, got[ORDER - 1], got[ORDER], off
+
+
+def keys_of(word: np.ndarray, gram: np.ndarray, bits: int) -> np.ndarray:
+    """Filter keys of histories or n-grams: the region of the last word, then the hash."""
+    return (word >> U(64 - bits)) << U(GRAM_BITS) | gram
+
+
+def cells(keys: np.ndarray, kind: int, bits: int) -> np.ndarray:
+    """The cell of each word or n-gram key: its region, then for words the next bits (so cells ascend with words), for n-grams the
+    lowest, which depend on all their words."""
+    if kind == WORDS:
+        return (keys >> U(64 - bits - CELL_BITS)).astype(np.int64)
+    return (keys >> U(GRAM_BITS)).astype(np.int64) << CELL_BITS | (keys & U((1 << CELL_BITS) - 1)).astype(np.int64)
+
+
+def pack(keys: np.ndarray, counts: np.ndarray, zip_: zstandard.ZstdCompressor) -> tuple[bytes, bytes]:
+    """Ascending keys as byte planes of their differences, and counts, both compressed."""
+    steps = np.diff(keys, prepend=U(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return zip_.compress(np.ascontiguousarray(steps).tobytes()), zip_.compress(counts.astype("<u4").tobytes())
+
+
+def unpack(keys: bytes, counts: bytes, unzip: zstandard.ZstdDecompressor) -> tuple[np.ndarray, np.ndarray]:
+    steps = np.ascontiguousarray(np.frombuffer(unzip.decompress(keys), np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    return np.cumsum(steps, dtype=U), np.frombuffer(unzip.decompress(counts), "<u4").astype(np.int64)
 
 
 def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -84,14 +105,16 @@ def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     return keys[first], np.diff(total[np.append(first, len(keys))])
 
 
-def levels(counts: np.ndarray) -> np.ndarray:
-    return 1 + np.floor(np.log(counts) / np.log(LOG_BASE) + 1e-9).astype(np.int64)
+def levels(counts: np.ndarray, least: int = MIN_COUNT) -> np.ndarray:
+    """The level of counts from ``least`` on."""
+    return 1 + np.floor(np.log(counts / least) / np.log(LOG_BASE) + 1e-9).astype(np.int64)
 
 
-def level_counts(level: np.ndarray) -> np.ndarray:
-    """The count that a level stands for: 0 for none, else the middle of its step."""
-    low = np.power(LOG_BASE, np.maximum(level, 1) - 1.0)
-    return np.where(level == 0, 0.0, np.where(low < 1 / (LOG_BASE - 1), np.ceil(low - 1e-9), low * (1 + LOG_BASE) / 2))
+def level_counts(level: np.ndarray, least: int = MIN_COUNT) -> np.ndarray:
+    """The count that a level stands for: 0 for none, else the middle of the whole numbers that it holds."""
+    low = least * np.power(LOG_BASE, np.maximum(level, 1) - 1.0)
+    first, last = np.ceil(low - 1e-9), np.ceil(low * LOG_BASE - 1e-9) - 1
+    return np.where(level == 0, 0.0, (first + np.maximum(first, last)) / 2)
 
 
 def slots(keys: np.ndarray, level: np.ndarray | int, blocks: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,9 +178,9 @@ class Model:
             active = active[~hit & (at[active] < end[active])]
         return out
 
-    def probe(self, keys: np.ndarray, kind: int) -> np.ndarray:
-        """Quantised counts of words or bigrams of these regions."""
-        cell = cells(keys, kind, self.bits) - (self.low << CELL_BITS)
+    def probe(self, keys: np.ndarray) -> np.ndarray:
+        """Quantised counts of histories or n-grams of these regions."""
+        cell = cells(keys, GRAMS, self.bits) - (self.low << CELL_BITS)
         blocks, first = self.blocks[cell], self.first[cell]
         level = np.zeros(len(keys), np.int64)
         active = np.arange(len(keys))
@@ -175,14 +198,14 @@ def train(docs: DataFrame) -> tuple[DataFrame, str, int]:
     """The cells of a table with a column ``text``: (table, its path, bits of a region's number).
 
     Null texts are empty; repeated rows count as often as they occur; other columns are ignored; an empty table gives no cells.
-    Words and bigrams are counted in each task first, so a frequent one costs a row a task; what is
+    Words and n-grams are counted in each task first, so a frequent one costs a row a task; what is
     shuffled are packets of sorted keys, one a cell and task.
     """
     parts = docs.rdd.getNumPartitions()
     bits = min(REGION_BITS, max(3, (parts * 4 - 1).bit_length() - CELL_BITS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in KINDS]
         size = 0
         zip_ = zstandard.ZstdCompressor(level=1)
 
@@ -190,25 +213,25 @@ def train(docs: DataFrame) -> tuple[DataFrame, str, int]:
             rows = []
             for kind in KINDS:
                 keys, counts = counted(*(np.concatenate(x) for x in zip(*held[kind], strict=True)))
+                held[kind].clear()
                 cell = cells(keys, kind, bits)
                 by = np.argsort(cell, kind="stable")
                 keys, counts = keys[by], counts[by]
                 cut = np.searchsorted(cell[by], np.arange((1 << bits + CELL_BITS) + 1))
                 for r in np.flatnonzero(np.diff(cut)):
-                    a, b = cut[r], cut[r + 1]
-                    rows.append((int(r), kind, keys[a:b].tobytes(), zip_.compress(counts[a:b].astype("<u4").tobytes())))
+                    rows.append((int(r), kind, *pack(keys[cut[r] : cut[r + 1]], counts[cut[r] : cut[r + 1]], zip_)))
             types = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["cell", "kind", "keys", "counts"])
 
         for piece in pieces(batches):
-            seq, prev, _ = tokens(text_array(piece.column(0)))
-            for kind, keys in ((0, seq), (1, bigram_keys(prev, seq))):
+            word, history, gram, _ = tokens(text_array(piece.column(0)))
+            for kind, keys in ((WORDS, word), (HISTORIES, keys_of(word, history, bits)), (GRAMS, keys_of(word, gram, bits))):
                 distinct, counts = counted(keys)
                 held[kind].append((distinct, counts.astype(np.uint32)))
-            size += len(held[1][-1][0])
+                size += len(distinct)
             if size > HELD:
                 yield flush()
-                held, size = [[], []], 0
+                size = 0
         if held[0]:
             yield flush()
 
@@ -217,11 +240,12 @@ def train(docs: DataFrame) -> tuple[DataFrame, str, int]:
         got = []
         for kind in KINDS:
             some = packets[packets["kind"] == kind]
-            keys = [np.frombuffer(x, U) for x in some["keys"]]
-            counts = [np.frombuffer(unzip.decompress(x), "<u4") for x in some["counts"]]
-            got.append(counted(np.concatenate([np.zeros(0, U), *keys]), np.concatenate([np.zeros(0, np.int64), *counts]).astype(np.int64)))
-        (words, counts), (pairs, pair_counts) = got
-        made = make_filter(np.concatenate([words, pairs]), np.concatenate([counts, pair_counts]))
+            parts = [unpack(k, c, unzip) for k, c in zip(some["keys"], some["counts"], strict=True)] or [(np.zeros(0, U), np.zeros(0, np.int64))]
+            got.append(counted(*(np.concatenate(x) for x in zip(*parts, strict=True))))
+        words, counts = got[WORDS]
+        # a history and an n-gram of one cell have hashes of their own
+        entered = [(k[c >= MIN_COUNT], c[c >= MIN_COUNT]) for k, c in got[HISTORIES:]]
+        made = make_filter(*(np.concatenate(x) for x in zip(*entered, strict=True)))
         shown = np.minimum(counts, 0xFFFFFFFF).astype("<u4")
         row = (int(key[0]), len(words), int(counts.sum()), words.tobytes(), shown.tobytes(), made.tobytes())
         return pd.DataFrame([row], columns=["cell", "n_words", "n_tokens", "words", "counts", "filter"])
@@ -255,15 +279,14 @@ class Sizes:
         return [*out, (low, len(self.bytes))]
 
 
-def parts(m: Model, word: np.ndarray, pair: np.ndarray, n: int, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def parts(m: Model, word: np.ndarray, history: np.ndarray, gram: np.ndarray, n: int, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(known, base, score) of tokens whose words are of the model's regions: each token's own terms."""
     c = m.exact(word)
-    # an n-gram is no more frequent than its word, and a word that was never seen has none: this undoes false positives
-    one = np.where(c > 0, m.probe(word, 0), 0.0)
-    two = np.minimum(m.probe(pair, 1), one)
-    cost = np.log10(two + MU * (one + 1) / (n + v + 1))
+    # an n-gram is no more frequent than its last word: this undoes false positives
+    here, next_ = (np.minimum(m.probe(keys_of(word, x, m.bits)), c) for x in (gram, history))
+    cost = np.log10(here + MU * (c + 1) / (n + v + 1))
     # as history of the next token; the end token is none
-    cost -= np.where(word == END, 0.0, np.log10(one + MU))
+    cost -= np.where(word == END, 0.0, np.log10(next_ + MU))
     return (c > 0).astype(np.int64), np.log10(c + 1.0) - np.log10(n + v + 1), cost
 
 
@@ -286,8 +309,8 @@ def score(docs: DataFrame, model: tuple[DataFrame, str, int], train_docs: int, p
         def run(batches: Iterator[pa.RecordBatch], token=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
             m = _model(token, shipped, bits, 0)
             for piece in pieces(batches):
-                word, prev, off = tokens(text_array(piece.column(1)))
-                known, base, cost = (sums(x, off) for x in parts(m, word, bigram_keys(prev, word), n, v))
+                word, history, gram, off = tokens(text_array(piece.column(1)))
+                known, base, cost = (sums(x, off) for x in parts(m, word, history, gram, n, v))
                 yield pa.RecordBatch.from_arrays([piece.column(0), *map(pa.array, (np.diff(off), known, base, cost - start))], names)
 
         out = docs.select("doc_id", "text").mapInArrow(run, schema)
@@ -297,7 +320,7 @@ def score(docs: DataFrame, model: tuple[DataFrame, str, int], train_docs: int, p
 
 
 def _score_in_passes(docs: DataFrame, cells_: DataFrame, bits: int, sizes: Sizes, groups: list[tuple[int, int]], start: float) -> DataFrame:
-    """The texts are hashed once; each row's probes go to the pass that has their regions (a shuffle of 14 bytes a token, dealt by
+    """The texts are hashed once; each row's probes go to the pass that has their regions (a shuffle of 20 bytes a token, dealt by
     pass and split where a pass has much). One pass after another reads its own probes, and its broadcast goes when it is done.
     Every row has an end token, so every row comes back."""
     n, v = sizes.n, sizes.v
@@ -305,21 +328,20 @@ def _score_in_passes(docs: DataFrame, cells_: DataFrame, bits: int, sizes: Sizes
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
-            word, prev, off = tokens(text_array(piece.column(1)))
-            pair = bigram_keys(prev, word)
+            word, *grams, off = tokens(text_array(piece.column(1)))
             owner, to = np.repeat(np.arange(len(off) - 1), np.diff(off)), pass_of[(word >> U(64 - bits)).astype(np.int64)]
             by = np.lexsort((to, owner))
             cut = np.flatnonzero(np.concatenate([[True], (np.diff(owner[by]) != 0) | (np.diff(to[by]) != 0), [True]]))
             first = by[cut[:-1]]
-            word, pair = word[by], np.ascontiguousarray(pair[by]).view(np.uint8).reshape(-1, 8)[:, :6]
-            words = [word[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
-            pairs = [pair[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
+            ids = [np.ascontiguousarray(x[by]).view(np.uint8).reshape(-1, 8) for x in (word, *grams)]
+            packed = np.concatenate([ids[0], ids[1][:, :6], ids[2][:, :6]], axis=1)
+            probes = [packed[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
             rows = pa.array(owner[first])
-            cols = [piece.column(0).take(rows), piece.column(2).take(rows), pa.array(np.diff(off)[owner[first]]), pa.array(to[first].astype(np.int32)), pa.array(words, pa.binary()), pa.array(pairs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "lm_row", "n_tokens", "lm_pass", "words", "pairs"])
+            cols = [piece.column(0).take(rows), piece.column(2).take(rows), pa.array(np.diff(off)[owner[first]]), pa.array(to[first].astype(np.int32)), pa.array(probes, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "lm_row", "n_tokens", "lm_pass", "probes"])
 
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("lm_row"))
-    probes = rows.mapInArrow(deal, "doc_id long, lm_row long, n_tokens long, lm_pass int, words binary, pairs binary")
+    probes = rows.mapInArrow(deal, "doc_id long, lm_row long, n_tokens long, lm_pass int, probes binary")
     probes, probes_at = table(probes.hint("rebalance", "lm_pass"), "lm-probes", codec="none", partition_by="lm_pass")
     names = ["doc_id", "lm_row", "n_tokens", "n_known", "base_score", "score"]
     schema = "doc_id long, lm_row long, n_tokens long, n_known long, base_score double, score double"
@@ -329,17 +351,18 @@ def _score_in_passes(docs: DataFrame, cells_: DataFrame, bits: int, sizes: Sizes
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped, low=low, token=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
             m = _model(token, shipped, bits, low)
-            for piece in pieces(batches, "words"):
-                word, off = buffers(piece.column(3))
-                word, off = word.copy().view(U), off // 8
-                pair = np.zeros((len(word), 8), np.uint8)
-                pair[:, :6] = buffers(piece.column(4))[0].reshape(-1, 6)
-                known, base, cost = parts(m, word, pair.view(U).ravel() | (word & TOP), n, v)
+            for piece in pieces(batches, "probes"):
+                raw, off = buffers(piece.column(3))
+                packed, off = raw.reshape(-1, 20), off // 20
+                word = np.ascontiguousarray(packed[:, :8]).view(U).ravel()
+                grams = np.zeros((2, len(packed), 8), np.uint8)
+                grams[0, :, :6], grams[1, :, :6] = packed[:, 8:14], packed[:, 14:]
+                known, base, cost = parts(m, word, *grams.view(U)[:, :, 0], n, v)
                 ends = sums((word == END).astype(np.int64), off)
                 cols = [*piece.columns[:3], *map(pa.array, (sums(known, off), sums(base, off), sums(cost, off) - start * ends))]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-        mine = probes.where(F.col("lm_pass") == k).select("doc_id", "lm_row", "n_tokens", "words", "pairs")
+        mine = probes.where(F.col("lm_pass") == k).select("doc_id", "lm_row", "n_tokens", "probes")
         mine.mapInArrow(run, schema).write.mode("append").parquet(done)
         shipped.destroy()
     drop(docs.sparkSession, probes_at)
@@ -387,7 +410,7 @@ def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, pass_bytes:
 
     Null texts are empty: only an end token. Letters A-Z are lower-cased. Other columns are ignored. Repeated rows count
     as often as they occur in training and are scored row by row, however many passes the model needs. An empty table gives no
-    rows. Words are told apart by the 64-bit hashes of :mod:`vectext`. Shuffles: packets of counts; with several passes, also the probes (14 bytes
+    rows. Words are told apart by the 64-bit hashes of :mod:`vectext`. Shuffles: packets of counts; with several passes, also the probes (20 bytes
     a token) and a row of sums a text and pass. Broadcast: at most ``pass_bytes`` or one region. Memory of a worker: the broadcast, and some
     80 bytes a word of the longest text.
     """

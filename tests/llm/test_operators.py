@@ -145,18 +145,20 @@ def test_bloom_lm(spark, awkward):
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
     train = [lm_tokens(t) for i, t in rows if not held[i]]
     c = Counter(w for d in train for w in d)
-    two = Counter((u, w) for d in train for u, w in zip(["<s>", *d], d))
+    grams = lambda d, n: [tuple((["<s>"] * n + d)[k + 1 : k + 1 + n]) for k in range(len(d))]
+    four = Counter(g for d in train for g in grams(d, 4))
+    three = Counter(g for d in train for g in grams(d, 3))
     n, v = sum(c.values()), len(c)
-    quant = lambda k: float(bloomlm.level_counts(bloomlm.levels(np.array([k])))[0]) if k else 0.0
+    quant = lambda k: float(bloomlm.level_counts(bloomlm.levels(np.array([k])))[0]) if k >= 2 else 0.0
     mu, off = bloomlm.MU, 0.0
     for i, t in rows:
         d, r = lm_tokens(t), got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(d), sum(c[w] > 0 for w in d), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in d))
         exact = 0.0
-        for u, w in zip(["<s>", *d], d):
-            before = len(train) if u == "<s>" else quant(c[u])
-            exact += math.log10((quant(two[u, w]) + mu * (quant(c[w]) + 1) / (n + v + 1)) / (before + mu))
+        for k, (g, w) in enumerate(zip(grams(d, 4), d)):
+            before = min(quant(three[g[:3]]), c[d[k - 1]]) if k else len(train)
+            exact += math.log10((min(quant(four[g]), c[w]) + mu * (c[w] + 1) / (n + v + 1)) / (before + mu))
         assert r["score"] == pytest.approx(exact, abs=0.2 * len(d) + 4)  # false positives of the filter
         off += abs(r["score"] - exact)
     assert off / sum(len(lm_tokens(t)) for _, t in rows) < 0.05
@@ -173,17 +175,41 @@ def test_bloom_lm_passes_keep_every_row(spark, awkward):
     assert len(one) == len(rows) and many == one
 
 
+def test_bloom_lm_tells_repeated_documents_apart(spark):
+    """A text of the same words that the corpus has twice scores above one that it has once, and both above one that is held out."""
+    r = random.Random(17)
+    words = vocabulary(5, 300)
+    texts = [" ".join(r.choice(words) for _ in range(80)) for _ in range(120)]
+    rows = list(enumerate(texts + texts[:40]))
+    got = {x["doc_id"]: x for x in bloomlm.score_documents(frame(spark, rows)).collect()}
+    twice = [got[k]["score"] for k in range(40) if not got[k]["held_out"] and not got[120 + k]["held_out"]]
+    once = [got[k]["score"] for k in range(40, 120) if not got[k]["held_out"]]
+    assert min(twice) > max(once) and len(twice) > 20
+
+
+def test_packed_keys():
+    import zstandard
+
+    r = np.random.default_rng(2)
+    keys, counts = np.unique(r.integers(0, 1 << 64, 5000, dtype=np.uint64)), None
+    counts = r.integers(1, 1 << 32, len(keys))
+    for n in (0, 1, len(keys)):
+        k, c = bloomlm.unpack(*bloomlm.pack(keys[:n], counts[:n], zstandard.ZstdCompressor()), zstandard.ZstdDecompressor())
+        assert (k == keys[:n]).all() and (c == counts[:n]).all()
+
+
 def test_quantised_counts_are_read_back():
     r = np.random.default_rng(4)
     keys, counts = np.unique(r.integers(0, 1 << 63, 20_000, dtype=np.uint64)), None
-    counts = r.integers(1, 5000, len(keys))
-    f = bloomlm.make_filter(keys, counts)
+    counts = r.integers(2, 5000, len(keys))
+    f = bloomlm.make_filter(keys & np.uint64((1 << 49) - 1), counts)  # regions 0 and 1
+    keys &= np.uint64((1 << 49) - 1)
     cells = 2 << bloomlm.CELL_BITS
     m = bloomlm.Model(1, 0, np.zeros(0, np.uint64), np.zeros(0, "<u4"), np.full(cells, len(f)), np.tile(f, cells))
-    got = m.probe(keys, 1)
+    got = m.probe(keys)
     want = bloomlm.level_counts(bloomlm.levels(counts))
     assert (got >= want - 1e-9).all() and np.mean(got == want) > 0.9
-    assert np.mean(m.probe(r.integers(0, 1 << 63, 20_000, dtype=np.uint64), 1) == 0) > 0.95
+    assert np.mean(m.probe(r.integers(0, 1 << 49, 20_000, dtype=np.uint64)) == 0) > 0.95
     assert (np.abs(np.log(want / counts)) <= math.log(1.5) + 1e-6).all()
 
 
