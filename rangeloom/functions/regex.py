@@ -1,18 +1,25 @@
 """Filter patterns: RE2 dialect to Java, compile errors on the driver, and required-literal prefilters.
 
 Patterns are searched unanchored. Look-around and back-references do not exist in the dialect and are refused.
+
+The JVM's engine backtracks, where the dialect's own takes time in proportion to the value: a pattern with repeats inside repeats, such as
+``(a+)+$``, can take very long on a long value that almost matches. Required literals in front keep most rows from the pattern.
 """
 
 from __future__ import annotations
 
 import re
-import re._constants as C
-import re._parser as parser
 from itertools import product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+try:  # Python's own parse tree, which is no public interface: without it there are no literals, and patterns alone decide
+    import re._constants as C
+    import re._parser as parser
+except ImportError:
+    C = parser = None
+
 # POSIX classes and what Java calls them.
 POSIX = {"alpha": "Alpha", "digit": "Digit", "alnum": "Alnum", "upper": "Upper", "lower": "Lower", "space": "Space", "punct": "Punct", "print": "Print", "graph": "Graph", "cntrl": "Cntrl", "xdigit": "XDigit", "blank": "Blank", "ascii": "ASCII", "word": "Alnum}_\\p{M"}
 #: Alternatives that a literal set may have, and the fewest characters of a literal.
@@ -71,7 +78,7 @@ def check(pattern: str) -> str:
     """The Java pattern, or PatternError if the pattern does not compile."""
     java = to_java(pattern)
     try:
-        parser.parse(_python(pattern))
+        re.compile(_python(pattern))
     except (re.error, OverflowError) as e:
         raise PatternError(f"error parsing regexp {pattern!r}: {e}") from e
     return java
@@ -90,6 +97,8 @@ def required_literals(pattern: str) -> tuple[list[str], bool] | None:
 
     None where nothing useful is required; then the pattern alone decides. Case-insensitive patterns give none.
     """
+    if parser is None:
+        return None
     try:
         tree = parser.parse(_python(pattern))
     except (re.error, OverflowError):
