@@ -50,7 +50,10 @@ def spec_of(a: argparse.Namespace) -> Spec:
         if extra:
             raise ConfigError(f"--config can't be used together with --{extra[0]}")
         return load_spec(a.config)
-    files = {"jail_file": a.jailFile or "", "ban_file": a.banFile or "", "whitelist": a.whitelist or "", "blacklist": a.blacklist or "", "ua_whitelist": a.userAgentWhitelist or "", "ua_blacklist": a.userAgentBlacklist or "", "has_global": True}
+    files = {
+        "jail_file": a.jailFile or "", "ban_file": a.banFile or "", "whitelist": a.whitelist or "", "blacklist": a.blacklist or "",
+        "ua_whitelist": a.userAgentWhitelist or "", "ua_blacklist": a.userAgentBlacklist or "", "has_global": True,
+    }
     try:
         if a.command == "static":
             if not a.logfile:
@@ -64,7 +67,9 @@ def spec_of(a: argparse.Namespace) -> Spec:
         if not a.port:
             raise ConfigError("--port or --config is required")
         sets = flag_sets(_numbers(a.clusterArgSet) or list(LIVE_SET))
-        window = WindowSpec(a.useragentRegex, a.endpointRegex, sets=sets, max_time=parse_duration(a.slidingWindowMaxTime) if a.slidingWindowMaxTime else WINDOW_TIME, max_size=a.slidingWindowMaxSize or WINDOW_SIZE, pause=PAUSE if a.sleepBetweenIterations is None else a.sleepBetweenIterations)
+        longest = parse_duration(a.slidingWindowMaxTime) if a.slidingWindowMaxTime else WINDOW_TIME
+        pause = PAUSE if a.sleepBetweenIterations is None else a.sleepBetweenIterations
+        window = WindowSpec(a.useragentRegex, a.endpointRegex, sets=sets, max_time=longest, max_size=a.slidingWindowMaxSize or WINDOW_SIZE, pause=pause)
         spec = Spec(windows={"cli_window": window}, live={"port": a.port, "statsListen": "", "topTalkers": 0}, **files)
         return replace(spec, jail_file=spec.jail_path, ban_file=spec.ban_path, log_level=a.logLevel or "info")
     except (PatternError, ValueError) as e:

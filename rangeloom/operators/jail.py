@@ -195,7 +195,9 @@ class Jail:
     # ---- persistence
 
     def to_json(self) -> str:
-        cells = [{"Id": c.id, "Description": c.description, "BanDuration": c.duration // timedelta(microseconds=1) * 1000, "Prisoners": [{"Cidr": p.cidr, "BanStart": p.ban_start.isoformat().replace("+00:00", "Z"), "BanActive": p.active} for p in c.prisoners]} for c in self.cells]
+        one = lambda p: {"Cidr": p.cidr, "BanStart": p.ban_start.isoformat().replace("+00:00", "Z"), "BanActive": p.active}
+        nanos = lambda d: d // timedelta(microseconds=1) * 1000
+        cells = [{"Id": c.id, "Description": c.description, "BanDuration": nanos(c.duration), "Prisoners": [one(p) for p in c.prisoners]} for c in self.cells]
         return json.dumps({"Cells": cells, "AllCidrs": self.all_cidrs})
 
     @classmethod

@@ -214,7 +214,8 @@ def lumberjack_events(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {REQUESTS_SQL} SELECT 'events' AS name, count(*) AS n FROM base UNION ALL SELECT 'parse errors', count(*) FROM base WHERE ip = 0 UNION ALL SELECT 'requests', count(*) FROM base WHERE ip <> 0 UNION ALL VALUES ('waiting', 0), ('closed', 1)")
+@query(f"""WITH {REQUESTS_SQL} SELECT 'events' AS name, count(*) AS n FROM base UNION ALL SELECT 'parse errors', count(*) FROM base WHERE ip = 0
+    UNION ALL SELECT 'requests', count(*) FROM base WHERE ip <> 0 UNION ALL VALUES ('waiting', 0), ('closed', 1)""")
 def ingest_counters(spark: SparkSession, sf: str) -> DataFrame:
     rows, counters = _received(spark, sf)
     told = spark.createDataFrame(list(counters.items()), "name string, n long")
@@ -334,7 +335,8 @@ def _published(source: str) -> str:
         SELECT {_ip_sql('low')} || '/' || CAST(32 - log2(size) AS INTEGER) AS cidr FROM cov UNION ALL SELECT {_ip_sql('start')} || '/' || len FROM bl WHERE ord NOT IN (SELECT ord FROM hits))"""
 
 
-@query(f"""WITH {RANGES_SQL}, {derived.supplier_ranges_sql("sr", 16, 13)}, gd AS (SELECT ord, start + ("end" - start + 1) // 4 * 2 AS start, 32 - CAST(log2(("end" - start + 1) // 4) AS INTEGER) AS len, start + ("end" - start + 1) // 4 * 3 - 1 AS "end" FROM sr)
+@query(f"""WITH {RANGES_SQL}, {derived.supplier_ranges_sql("sr", 16, 13)}, quarter AS (SELECT *, ("end" - start + 1) // 4 AS size FROM sr),
+    gd AS (SELECT ord, start + 2 * size AS start, 32 - CAST(log2(size) AS INTEGER) AS len, start + 3 * size - 1 AS "end" FROM quarter)
     SELECT 'active' AS section, cidr, count(*) AS n FROM ({_published('rg')}) GROUP BY cidr UNION ALL SELECT 'manual', cidr, count(*) FROM ({_published('sr')}) GROUP BY cidr""")
 def publish_composition(spark: SparkSession, sf: str) -> DataFrame:
     """Active bans and manual entries, both without the whitelist: the third quarter of every manual range."""
@@ -357,12 +359,13 @@ def random_addresses(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "k int, n int, inside boolean")
 
 
-@query(f"WITH {REQUESTS_SQL}, u AS (SELECT DISTINCT ip >> 24 AS a, ip FROM base WHERE ip <> 0) SELECT CAST(a AS INTEGER) AS a, string_agg(CAST(ip AS VARCHAR), ',' ORDER BY ip) AS ips FROM u WHERE a >= 100 GROUP BY a UNION ALL SELECT CAST(a AS INTEGER), CAST(count(*) AS VARCHAR) FROM u WHERE a < 100 GROUP BY a")
+@query(f"""WITH {REQUESTS_SQL}, u AS (SELECT DISTINCT ip >> 24 AS a, ip FROM base WHERE ip <> 0)
+    SELECT CAST(a AS INTEGER) AS a, string_agg(CAST(ip AS VARCHAR), ',' ORDER BY ip) AS ips FROM u GROUP BY a""")
 def sorted_addresses(spark: SparkSession, sf: str) -> DataFrame:
-    """Addresses in order, written out for networks from 100.0.0.0 on, counted below."""
+    """The distinct addresses of each /8 network, in order."""
     ips = derived.requests(spark, sf).where("ip <> 0").select("ip").distinct().groupBy(F.shiftright("ip", 24).cast("int").alias("a"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list("ip")), lambda x: x.cast("string")), ",")
-    return ips.agg(F.when(F.first(F.shiftright("ip", 24)) >= 100, text).otherwise(F.count(F.lit(1)).cast("string")).alias("ips"))
+    return ips.agg(text.alias("ips"))
 
 
 @query(f"WITH RECURSIVE {_SPANS}, {_cover_sql('sp')} SELECT ord, {_ip_sql('low')} || '/' || CAST(32 - log2(size) AS INTEGER) AS cidr, low AS first, low + size - 1 AS last, {_ip_sql('low')} AS text FROM cov")

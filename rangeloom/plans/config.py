@@ -207,7 +207,8 @@ def parse_spec(text: str) -> Spec:
         spec.tries = {name: TrieSpec(**_trie(t)) for name, t in s.items() if isinstance(t, dict)}
     if isinstance(v := doc.get("live"), dict):
         top = v.get("topTalkers")
-        spec.live = {"port": _text(v, "port"), "statsListen": _text(v, "statsListen"), "topTalkers": top if isinstance(top, int) else 0, "readTimeout": parse_duration(v["readTimeout"]) if isinstance(v.get("readTimeout"), str) else READ_TIMEOUT}
+        timeout = parse_duration(v["readTimeout"]) if isinstance(v.get("readTimeout"), str) else READ_TIMEOUT
+        spec.live = {"port": _text(v, "port"), "statsListen": _text(v, "statsListen"), "topTalkers": top if isinstance(top, int) else 0, "readTimeout": timeout}
         for name, t in v.items():
             if isinstance(t, dict):
                 size, pause = t.get("slidingWindowMaxSize"), t.get("sleepBetweenIterations")

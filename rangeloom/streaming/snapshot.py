@@ -62,7 +62,8 @@ def build_snapshot(spec: Spec, c: Counters, windows: dict, found: list[dict], ja
         sets = []
         for k, s in enumerate(w.sets):
             now_found = [{"cidr": r["cidr"], "count": r["requests"]} for r in sorted(found, key=lambda r: (r["start"], r["len"])) if (r["trie"], r["set_idx"]) == (name, k)]
-            sets.append({"params": {"min_size": s.min_size, "depth": f"{s.min_depth}-{s.max_depth}", "threshold": s.mean_diff}, "use_for_jail": s.use_for_jail, "last_duration_us": round(took * 1e6), "detected_now": now_found})
+            params = {"min_size": s.min_size, "depth": f"{s.min_depth}-{s.max_depth}", "threshold": s.mean_diff}
+            sets.append({"params": params, "use_for_jail": s.use_for_jail, "last_duration_us": round(took * 1e6), "detected_now": now_found})
         row = {"name": name} | windows[name] | {"accepted_total": c.accepted[name], "rejected_by_filter_total": c.rejected[name], "cluster_sets": sets}
         if c.talkers.get(name):
             row["top_talkers"] = c.talkers[name]
@@ -73,7 +74,10 @@ def build_snapshot(spec: Spec, c: Counters, windows: dict, found: list[dict], ja
     listing = lambda path, cidrs: {"path": path, "entries": len(cidrs), "cidrs": cidrs[:MOST_CIDRS]}
     return {
         "schema_version": SCHEMA, "generated_at": _when(now), "uptime_s": int((now - c.started).total_seconds()),
-        "ingest": {"connected": c.connected, "queue_depth": c.queue_depth, "last_batch_at": _when(c.last_batch), "batches_total": c.batches, "requests_total": c.requests, "parse_errors_total": c.parse_errors, "malformed_fields_total": c.malformed},
+        "ingest": {
+            "connected": c.connected, "queue_depth": c.queue_depth, "last_batch_at": _when(c.last_batch), "batches_total": c.batches, "requests_total": c.requests,
+            "parse_errors_total": c.parse_errors, "malformed_fields_total": c.malformed,
+        },
         "windows": shown, "jail": {"total_active": len(bans), "stages": stages, "active_bans": listed, "active_bans_truncated": len(bans) > MOST_BANS},
         "lists": {
             "whitelist": listing(spec.whitelist, white), "blacklist": listing(spec.blacklist, black),
@@ -142,7 +146,10 @@ class StatsServer:
             timeout = 10
 
             def do_GET(self) -> None:
-                pages = {"/stats": ("application/json", lambda s, b: json.dumps(s, indent=2)), "/bans": ("text/plain; charset=utf-8", lambda s, b: b), "/metrics": ("text/plain; version=0.0.4; charset=utf-8", lambda s, b: render_metrics(s))}
+                pages = {
+                    "/stats": ("application/json", lambda s, b: json.dumps(s, indent=2)), "/bans": ("text/plain; charset=utf-8", lambda s, b: b),
+                    "/metrics": ("text/plain; version=0.0.4; charset=utf-8", lambda s, b: render_metrics(s)),
+                }
                 page = pages.get(self.path.split("?")[0])
                 latest = outer._latest
                 if page is None:
