@@ -22,7 +22,7 @@ from ..operators import filters
 from ..operators.clusters import detect_clusters
 from ..operators.jail import Jail, ban_file, write_atomic
 from ..operators.ranges import merge_lists, subtract_lists
-from ..operators.traffic import top_talkers
+from ..operators.traffic import top_talkers_by
 from ..plans.config import Spec, logger
 from ..sources.access_log import parse_live
 from . import window
@@ -124,22 +124,24 @@ class LiveLoop:
             c.batches, c.requests, c.parse_errors, c.malformed, c.last_batch = c.batches + 1, c.requests + total["n"] - total["bad"], c.parse_errors + total["bad"], c.malformed + total["mal"], now
             kept = self._classify(parsed.where(~F.col("parse_error")).drop("message"), now)
             usable = kept.where(F.col("ip") != 0)
-            counts, windows = None, {}
+            passes = {n: filters.matches(w.user_agent_regex, w.endpoint_regex) for n, w in self.spec.windows.items()}
+            tally = usable.agg(*(F.count_if(p).alias(f"yes_{n}") for n, p in passes.items()), F.count(F.lit(1)).alias("n")).first()
+            counts = None
             for name, w in self.spec.windows.items():
-                passes = filters.matches(w.user_agent_regex, w.endpoint_regex)
-                tally = usable.agg(F.count_if(passes).alias("yes"), F.count_if(~passes).alias("no")).first()
-                c.accepted[name] += tally["yes"]
-                c.rejected[name] += tally["no"]
-                queue = window.append(self.queues[name], usable.where(passes), self.number)
+                c.accepted[name] += tally[f"yes_{name}"]
+                c.rejected[name] += tally["n"] - tally[f"yes_{name}"]
+                queue = window.append(self.queues[name], usable.where(passes[name]), self.number)
                 self.queues[name] = self._table(window.evict(queue, now, w.max_time, w.max_size), f"window-{name}", window.STATE)
-                own = self.queues[name].groupBy("ip").agg(F.count(F.lit(1)).alias("c"))
-                one = own.select(F.lit(name).alias("trie"), "ip", "c")
+                one = self.queues[name].groupBy("ip").agg(F.count(F.lit(1)).alias("c")).select(F.lit(name).alias("trie"), "ip", "c")
                 counts = one if counts is None else counts.unionByName(one)
-                size = own.agg(F.count(F.lit(1)).alias("ips"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
-                windows[name] = {"size_ips": size["ips"], "requests": size["n"]}
-                top = self.spec.live["topTalkers"]
-                if top > 0 and c.iterations % TALKERS_EVERY == 0:
-                    c.talkers[name] = [{"ip": format_ip(r["ip"]), "count": r["c"]} for r in top_talkers(own, top).collect()]
+            windows = {name: {"size_ips": 0, "requests": 0} for name in passes}
+            for r in counts.groupBy("trie").agg(F.count(F.lit(1)).alias("ips"), F.sum("c").alias("n")).collect():
+                windows[r["trie"]] = {"size_ips": r["ips"], "requests": r["n"]}
+            top = self.spec.live["topTalkers"]
+            if top > 0 and c.iterations % TALKERS_EVERY == 0:
+                c.talkers = {name: [] for name in passes}
+                for r in top_talkers_by(counts, top, ["trie"]).orderBy("trie", "rank").collect():
+                    c.talkers[r["trie"]].append({"ip": format_ip(r["ip"]), "count": r["c"]})
             found = [r.asDict() for r in detect_clusters(counts, {n: w.sets for n, w in self.spec.windows.items()}).collect()]
         finally:
             parsed.unpersist()
