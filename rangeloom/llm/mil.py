@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .bloomlm import held_out
 from .common import pieces, text_array
 from .rules import SYMBOLS, duplicate_mask, labelled_sample, sigmoid
-from .vectext import BLOCK, U, Words, mix, span_counts
+from .vectext import BLOCK, Words, mix, span_counts
 
 #: Words of a passage, hashed n-gram buckets of its features, size of an encoding and of the attention.
 PASSAGE, BUCKETS, HIDDEN, ATTENTION = 64, 96, 24, 12
