@@ -296,7 +296,16 @@ def sub_range_unmasked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _STATIC_SET = [clusters.ClusterParams(20, 16, 24, 0.2, True)]
-_GUARD = "wh AS (SELECT DISTINCT ip - ip % 64 AS start, 26 AS len, ip - ip % 64 + 63 AS \"end\" FROM base WHERE ip <> 0 AND event_id % 11 = 3 AND kind IN ('error', 'click'))"
+_GUARD = """wh AS (SELECT DISTINCT ip - ip % 64 AS start, 26 AS len, ip - ip % 64 + 63 AS "end" FROM (
+    SELECT 169082880 + s_suppkey * 61 % 5000 AS ip FROM supplier UNION ALL SELECT 3232235520 + s_suppkey * 37 % 2000 FROM supplier))"""
+
+
+def _guarded(spark: SparkSession, sf: str) -> list[str]:
+    """Whitelisted ranges in two busy networks, two from each supplier."""
+    k = F.col("s_suppkey")
+    ips = F.explode(F.array(169082880 + k * 61 % 5000, 3232235520 + k * 37 % 2000))
+    rows = spark.read.parquet(f"{sf}/supplier.parquet").select(ips.alias("ip")).select((F.col("ip") - F.col("ip") % 64).alias("start")).distinct()
+    return [ipf.format_cidr(r["start"], 26) for r in rows.collect()]
 
 
 @query(f"""WITH RECURSIVE {REQUESTS_SQL}, {_walk_sql(_STATIC_SET)},
@@ -311,9 +320,7 @@ def static_jail(spark: SparkSession, sf: str) -> DataFrame:
     """A static run with lists: the register holds merged ranges without whitelisted addresses and listed agents' addresses; the ban
     file never holds a whitelisted one."""
     r = derived.requests(spark, sf)
-    kind = F.split("uri", "/")[1]
-    guard = r.where((F.col("ip") != 0) & (F.col("event_id") % 11 == 3) & kind.isin("error", "click")).select((F.col("ip") - F.col("ip") % 64).alias("start")).distinct()
-    white = [f"{ipf.format_ip(x['start'])}/26" for x in guard.collect()]
+    white = _guarded(spark, sf)
     with tempfile.TemporaryDirectory() as d:
         at = {n: os.path.join(d, n) for n in ("white", "agents", "jail", "bans")}
         for name, lines in (("white", white), ("agents", ['badbot/1.0 \\"scan\\"'])):
