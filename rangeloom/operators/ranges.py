@@ -112,44 +112,47 @@ def _outermost(ranges: DataFrame, by: list[str]) -> DataFrame:
 _ITEM = "struct<start:bigint,len:int,raw:boolean>"
 
 
-def _sibling_fold(ranges: Column) -> Column:
-    """One greedy pass from left to right: a range that is the current one's sibling merges into their parent. A range that is itself
-    merged (not ``raw``) can be the current one, but is not merged into the one before it: that is for the next pass."""
-    start = F.expr(f"cast(struct(cast(array() as array<{_ITEM}>), cast(null as {_ITEM})) as struct<out:array<{_ITEM}>,cur:{_ITEM}>)")
-
-    def step(acc: Column, x: Column) -> Column:
-        c = acc["cur"]
-        size = block_size(c["len"])
-        sibling = x["raw"] & (c["len"] == x["len"]) & (c["len"] > 0) & (c["start"] + size == x["start"]) & (F.pmod(c["start"], 2 * size) == 0)
-        parent = F.struct(c["start"].alias("start"), (c["len"] - 1).alias("len"), F.lit(False).alias("raw"))
-        new = F.struct(F.concat(acc["out"], F.array(c)).alias("out"), x.alias("cur"))
-        return F.when(c.isNull(), F.struct(acc["out"].alias("out"), x.alias("cur"))).when(sibling, F.struct(acc["out"].alias("out"), parent.alias("cur"))).otherwise(new)
-
-    return F.aggregate(ranges, start, step, lambda acc: F.concat(acc["out"], F.array(acc["cur"])))
+def _sibling_fold(ranges: str) -> str:
+    """SQL of one greedy pass from left to right over an array: a range that is the current one's sibling merges into their parent. A range that
+    is itself merged (not ``raw``) can be the current one, but is not merged into the one before it: that is for the next pass."""
+    sibling = "x.raw AND acc.cur.len = x.len AND x.len > 0 AND acc.cur.start + shiftleft(1L, 32 - x.len) = x.start AND pmod(acc.cur.start, shiftleft(2L, 32 - x.len)) = 0"
+    parent = "named_struct('start', acc.cur.start, 'len', acc.cur.len - 1, 'raw', false)"
+    return f"""aggregate({ranges}, named_struct('out', cast(array() AS array<{_ITEM}>), 'cur', cast(null AS {_ITEM})),
+        (acc, x) -> CASE WHEN acc.cur IS NULL THEN named_struct('out', acc.out, 'cur', x) WHEN {sibling} THEN named_struct('out', acc.out, 'cur', {parent})
+            ELSE named_struct('out', concat(acc.out, array(acc.cur)), 'cur', x) END,
+        acc -> concat(acc.out, array(acc.cur)))"""
 
 
 def _fold_groups(items: DataFrame, keys: list[str], group: Column) -> DataFrame:
     """The items (*keys, start, len, raw), folded within each group."""
     rows = items.groupBy(*keys, group.alias("_g")).agg(F.array_sort(F.collect_list(F.struct("start", "len", "raw"))).alias("_r"))
-    return rows.withColumn("_r", F.explode(_sibling_fold(F.col("_r")))).select(*keys, "_r.start", "_r.len", "_r.raw")
+    return rows.select(*keys, F.explode(F.expr(_sibling_fold("_r"))).alias("_r")).select(*keys, "_r.start", "_r.len", "_r.raw")
 
 
 #: A fold's array holds the ranges of a block of so many leading bits, longer than that and not longer than the number before: 4,096 at most.
 FOLD_BITS = (21, BLOCK_BITS)
 
 
-def _greedy_pass(rows: DataFrame, by: list[str]) -> DataFrame:
-    """(*by, _b, start, len) after one greedy pass over disjoint ranges (*by, _b, start, len) in order, the smallest blocks first.
+def _two_passes(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, start, len) after two greedy passes over disjoint ranges (*by, _b, start, len) in order, the smallest blocks first.
 
-    Only ranges of at most n bits have siblings outside their block of n leading bits; in a round they are groups of one. The rounds inside
-    blocks ``_b`` need no further shuffle.
+    Only ranges of at most n bits have siblings outside their block of n leading bits; in a round they are groups of one. So both passes run
+    inside blocks ``_b``, with no further shuffle, until ranges are as large as a block. Those that a block had after the first pass
+    (``early``) then go through its end and the second pass, those that the second pass made through its end, in one row a group.
     """
     items = rows.select(*by, "_b", "start", "len", F.lit(True).alias("raw"))
-    alone = -1 - F.col("start")  # starts are distinct
+    alone, large = -1 - F.col("start"), F.col("len") <= BLOCK_BITS  # starts are distinct
     for bits in FOLD_BITS:
         items = _fold_groups(items, [*by, "_b"], F.when(F.col("len") > bits, prefix_of(F.col("start"), bits)).otherwise(alone))
-    items = _fold_groups(items, by, F.when(F.col("len") <= BLOCK_BITS, F.lit(0).cast("bigint")).otherwise(alone))
-    return items.select(*by, prefix_of(F.col("start"), BLOCK_BITS).alias("_b"), "start", "len")
+    items = items.withColumn("early", large).withColumn("raw", ~large | F.col("raw"))
+    for bits in FOLD_BITS:
+        items = _fold_groups(items, [*by, "_b", "early"], F.when(F.col("len") > bits, prefix_of(F.col("start"), bits)).otherwise(alone))
+    group = F.when(large, F.lit(0).cast("bigint")).otherwise(alone).alias("_g")
+    last = items.groupBy(*by, group).agg(F.array_sort(F.collect_list(F.struct("start", "len", "raw", "early"))).alias("_r"))
+    item = "x -> named_struct('start', x.start, 'len', x.len, 'raw', {})"
+    first = _sibling_fold(f"transform(filter(_r, x -> x.early), {item.format('x.raw')})")
+    every = f"concat(transform(array_compact({first}), {item.format('true')}), transform(filter(_r, x -> NOT x.early), {item.format('x.raw')}))"
+    return last.select(*by, F.explode(F.expr(_sibling_fold(f"array_sort({every})"))).alias("_r")).select(*by, "_r.start", "_r.len")
 
 
 def merge(ranges: DataFrame, by: list[str] | None = None, canonical: bool = False) -> DataFrame:
@@ -162,7 +165,7 @@ def merge(ranges: DataFrame, by: list[str] | None = None, canonical: bool = Fals
     by = by or []
     if canonical:
         return cover(coalesce_spans(ranges, by), "start", "end").select(*by, "start", "len", "cidr")
-    out = _greedy_pass(_greedy_pass(_outermost(ranges, by), by), by)
+    out = _two_passes(_outermost(ranges, by), by)
     return out.select(*by, "start", "len", cidr_text(F.col("start"), F.col("len")).alias("cidr"))
 
 

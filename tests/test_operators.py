@@ -120,6 +120,17 @@ def test_merge(spark):
     got = Counter((x["g"], x["start"], x["len"]) for x in ranges.merge(df, ["g"]).collect())
     want = Counter((g, *x) for g in {row[0] for row in rows} for x in ranges.merge_lists([row[1:] for row in rows if row[0] == g]))
     assert got == want
+    large = []  # around the sizes of the blocks that are folded by themselves
+    for g in range(60):
+        top = r.randint(6, 22)
+        base = r.randrange(1 << top) << 32 - top
+        for _ in range(r.randint(1, 30)):
+            length = min(32, top + r.randint(0, 6))
+            x = base + (r.randrange(1 << min(6, 32 - top)) << max(0, 26 - top))
+            large.append((g, x >> 32 - length << 32 - length, length))
+        large += [(g, k << 32 - n, n) for n in (9, 10, 11, 12) for k in range(r.randint(0, 5))]
+    got = Counter((x["g"], x["start"], x["len"]) for x in ranges.merge(spark.createDataFrame(large, "g long, start long, len int"), ["g"]).collect())
+    assert got == Counter((g, *x) for g in range(60) for x in ranges.merge_lists([row[1:] for row in large if row[0] == g]))
     eight = spark.createDataFrame([((11 << 24) + k * 32, 27) for k in range(8)], "start long, len int")
     assert sorted(x["cidr"] for x in ranges.merge(eight).collect()) == ["11.0.0.0/25", "11.0.0.128/25"]
     assert [x["cidr"] for x in ranges.merge(eight, canonical=True).collect()] == ["11.0.0.0/24"]
