@@ -9,8 +9,10 @@ from __future__ import annotations
 import ipaddress
 import json
 import os
+import re
 import tempfile
 from bisect import bisect_left, insort
+from collections import Counter
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
 
@@ -20,6 +22,11 @@ from pyspark.sql import functions as F
 # The stages of a new register.
 STAGES = [("10min", timedelta(minutes=10)), ("4h", timedelta(hours=4)), ("7d", timedelta(days=7)), ("30d", timedelta(days=30)), ("180d", timedelta(days=180))]
 
+#: Lines of the register's file: the first, and the one between the cells and the list of all ranges.
+FILE_MARKS = '{"Cells": [', '], "AllCidrs": ['
+#: Lines of the ban file.
+BAN_MARKS = "# Written by rangeloom at {now:%Y-%m-%d %H:%M:%S}; changes by hand are lost.", "# Ranges whose bans are in force", "# Ranges from the manual list", "# No more manual ranges"
+
 
 class JailError(ValueError):
     pass
@@ -40,10 +47,19 @@ class Cell:
     prisoners: list[Prisoner] = field(default_factory=list)
 
 
+#: Ranges as most are written; others go the long way.
+_PLAIN = re.compile(r"(0|[1-9][0-9]{0,2})\.(0|[1-9][0-9]{0,2})\.(0|[1-9][0-9]{0,2})\.(0|[1-9][0-9]{0,2})/(0|[1-9][0-9]?)")
+
+
 def _span(cidr: str) -> tuple[int, int, int] | None:
     """First and last address and prefix length as the text writes them: host bits of the first stay."""
     if "/" not in cidr:
         return None
+    if m := _PLAIN.fullmatch(cidr):
+        *octets, n = map(int, m.groups())
+        if max(octets) < 256 and n < 33:
+            host = int.from_bytes(bytes(octets), "big")
+            return host, host | (1 << 32 - n) - 1, n
     try:
         net, host = ipaddress.ip_network(cidr, strict=False), ipaddress.ip_address(cidr.split("/")[0])
     except ValueError:
@@ -111,6 +127,10 @@ class Jail:
 
     def __post_init__(self):
         self._places: Places | None = None
+        # what a fill took out goes from the lists at the end of the update, in one pass
+        self._left: list[set[int]] = [set() for _ in self.cells]
+        self._forgotten: Counter[str] = Counter()
+        self._known: Counter[str] = Counter()
 
     @classmethod
     def new(cls) -> Jail:
@@ -120,10 +140,33 @@ class Jail:
         return [(k, p) for k, cell in enumerate(self.cells) for p in cell.prisoners]
 
     def _remove(self, cell: int, prisoner: Prisoner) -> None:
-        at = next(k for k, p in enumerate(self.cells[cell].prisoners) if p is prisoner)
-        del self.cells[cell].prisoners[at]
+        self._left[cell].add(id(prisoner))
         self._places.drop(prisoner)
 
+    def _forget(self, cidr: str) -> None:
+        if self._known[cidr]:
+            self._known[cidr] -= 1
+            self._forgotten[cidr] += 1
+
+    def _know(self, cidr: str) -> None:
+        self._known[cidr] += 1
+        self.all_cidrs.append(cidr)
+
+    def _settle(self) -> None:
+        """Lists without what has left them: prisoners by identity, ranges by their first places."""
+        for cell, left in zip(self.cells, self._left, strict=True):
+            if left:
+                cell.prisoners[:] = [p for p in cell.prisoners if id(p) not in left]
+                left.clear()
+        if gone := self._forgotten:
+            kept = []
+            for c in self.all_cidrs:
+                if gone[c]:
+                    gone[c] -= 1
+                else:
+                    kept.append(c)
+            self.all_cidrs[:], self._forgotten = kept, Counter()
+
     def _put(self, cell: int, prisoner: Prisoner) -> None:
         self.cells[cell].prisoners.append(prisoner)
         self._places.add(cell, prisoner)
@@ -138,34 +181,41 @@ class Jail:
             self._put(cell + 1, prisoner)
 
     def fill(self, cidr: str, now: datetime) -> None:
+        try:
+            self._fill(cidr, now)
+        finally:
+            self._settle()
+
+    def _fill(self, cidr: str, now: datetime) -> None:
         if not cidr:
             raise JailError("empty CIDR")
+        span = _span(cidr)
         try:
             if "/" not in cidr:
                 raise ValueError("no prefix length")
-            net = ipaddress.ip_network(cidr, strict=False)
+            if not span:
+                ipaddress.ip_network(cidr, strict=False)
         except ValueError as e:
             raise JailError(f"error parsing CIDR {cidr}: {e}") from e
         if self._places is None:
-            self._places = Places(self.cells)
+            self._places, self._known = Places(self.cells), Counter(self.all_cidrs)
         inner, parent = [], None
-        if net.version == 4:
+        if span:
             inner, parent = self._places.inside(cidr), self._places.around(cidr)
         if same := self._places.same(cidr):
             self._again(same[0], same[2], now)
         elif inner:
             for k, _, p in inner:
                 self._remove(k, p)
-                if p.cidr in self.all_cidrs:
-                    self.all_cidrs.remove(p.cidr)
+                self._forget(p.cidr)
             self._put(max(k for k, _, _ in inner), Prisoner(cidr, now))
-            self.all_cidrs.append(cidr)
+            self._know(cidr)
         elif parent:
             self._again(parent[0], parent[2], now)
         else:
             if self.cells:
                 self._put(0, Prisoner(cidr, now))
-            self.all_cidrs.append(cidr)
+            self._know(cidr)
 
     def expire(self, now: datetime) -> None:
         for k, p in self._everyone():
@@ -178,9 +228,10 @@ class Jail:
         failed = []
         for c in cidrs:
             try:
-                self.fill(c, now)
+                self._fill(c, now)
             except JailError as e:
                 failed.append(str(e))
+        self._settle()
         return failed
 
     def active_bans(self) -> list[str]:
@@ -189,6 +240,9 @@ class Jail:
     def active_bans_with_meta(self) -> list[dict]:
         return [{"cidr": p.cidr, "stage": self.cells[k].id, "ban_start": p.ban_start, "expires_at": p.ban_start + self.cells[k].duration} for k, p in self._everyone() if p.active]
 
+    def first_active(self, n: int) -> list[dict]:
+        return self.active_bans_with_meta()[:n]
+
     def stage_counts(self) -> list[tuple[int, int]]:
         return [(c.id, sum(p.active for p in c.prisoners)) for c in self.cells]
 
@@ -196,9 +250,9 @@ class Jail:
 
     def to_json(self) -> str:
         one = lambda p: {"Cidr": p.cidr, "BanStart": p.ban_start.isoformat().replace("+00:00", "Z"), "BanActive": p.active}
-        nanos = lambda d: d // timedelta(microseconds=1) * 1000
-        cells = [{"Id": c.id, "Description": c.description, "BanDuration": nanos(c.duration), "Prisoners": [one(p) for p in c.prisoners]} for c in self.cells]
-        return json.dumps({"Cells": cells, "AllCidrs": self.all_cidrs})
+        rows = lambda texts: "".join("," * (k > 0) + t + "\n" for k, t in enumerate(texts))
+        cells = rows(cell_head(c) + "\n" + rows(json.dumps(one(p)) for p in c.prisoners) + "]}" for c in self.cells)
+        return f"{FILE_MARKS[0]}\n{cells}{FILE_MARKS[1]}\n{rows(map(json.dumps, self.all_cidrs))}]}}\n"
 
     @classmethod
     def from_json(cls, text: str) -> Jail:
@@ -229,9 +283,12 @@ class Jail:
         return spark.createDataFrame(rows, "cell_id int, pos int, cidr string, ban_start timestamp, ban_active boolean, expires_at timestamp")
 
 
-def _time(text: str) -> datetime:
-    import re
+def cell_head(cell: Cell) -> str:
+    """The line above a cell's prisoners, one a line, in the register's file."""
+    return json.dumps({"Id": cell.id, "Description": cell.description, "BanDuration": cell.duration // timedelta(microseconds=1) * 1000, "Prisoners": []})[:-2]
+
 
+def _time(text: str) -> datetime:
     t = datetime.fromisoformat(re.sub(r"(\.\d{6})\d+", r"\1", text).replace("Z", "+00:00"))
     return t if t.tzinfo else t.replace(tzinfo=timezone.utc)
 
@@ -255,11 +312,11 @@ def write_atomic(path: str, text: str, mode: int = 0o644) -> None:
 
 def ban_file(active: list[str], manual: list[str], now: datetime) -> str:
     """Text of the ban file; empty sections are left out."""
-    out = [f"# Written by rangeloom at {now:%Y-%m-%d %H:%M:%S}; changes by hand are lost."]
+    out = [BAN_MARKS[0].format(now=now)]
     if active:
-        out += ["# Ranges whose bans are in force", *active]
+        out += [BAN_MARKS[1], *active]
     if manual:
-        out += ["# Ranges from the manual list", *manual, "# No more manual ranges"]
+        out += [BAN_MARKS[2], *manual, BAN_MARKS[3]]
     return "\n".join(out) + "\n"
 
 
@@ -273,3 +330,50 @@ def active_bans(prisoners: DataFrame, now, durations: DataFrame) -> DataFrame:
     both = prisoners.join(F.broadcast(durations.select(F.col("cell_id").alias("_c"), "seconds")), F.col("cell_id") == F.col("_c"))
     ends = F.timestamp_seconds(F.col("ban_start").cast("double") + F.col("seconds"))
     return both.where(F.col("ban_active") & (F.lit(now) <= ends)).select("cidr", F.col("cell_id").alias("stage"), "ban_start", ends.alias("expires_at"))
+
+
+#: Rounds are replayed by this many leading bits of an address; a shorter range joins all parts that it touches.
+PART_BITS = 16
+
+
+def _with_block(batches):
+    for df in batches:
+        spans = [_span(c) if c else None for c in df["cidr"]]
+        yield df.assign(start=[s[1] >> 32 - s[2] << 32 - s[2] if s else -1 for s in spans], len=[s[2] if s else -1 for s in spans])
+
+
+def replay(offences: DataFrame, times: list[datetime]) -> DataFrame:
+    """The register, from a new one, after a list of ranges at each of ``times``: (cell_id, cidr, ban_start, ban_active, failed).
+
+    offences: (round, ord, cidr); a round's list is in the order of ``ord``. ``failed`` is the message of one that was refused; such a row has no
+    cell. Ranges that do not meet never change each other, so each part of the address space is replayed by itself, by a :class:`Jail` of its own;
+    ranges under one shorter than a part are replayed together, and texts that are no IPv4 range with those that have the same text.
+    """
+    spark = offences.sparkSession
+    rows = offences.select(F.col("round").cast("int").alias("round"), F.col("ord").cast("long").alias("ord"), "cidr").mapInPandas(_with_block, "round int, ord long, cidr string, start long, len int")
+    # at most as many as there are prefixes shorter than a part
+    short = sorted((r["len"], r["start"]) for r in rows.where((F.col("len") >= 0) & (F.col("len") < PART_BITS)).select("len", "start").distinct().collect())
+    head = {}
+    for n, start in short:
+        for part in range(start >> 32 - PART_BITS, (start >> 32 - PART_BITS) + (1 << PART_BITS - n)):
+            head.setdefault(part, start >> 32 - PART_BITS)
+    part = F.shiftright("start", 32 - PART_BITS)
+    rows = rows.withColumn("part", F.when(F.col("start") < 0, -1 - F.abs(F.hash("cidr").cast("long"))).otherwise(part))
+    if head:
+        heads = spark.createDataFrame([(a, b) for a, b in head.items() if a != b] or [(-1 << 40, 0)], "part long, head long")
+        rows = rows.join(F.broadcast(heads), "part", "left").withColumn("part", F.coalesce("head", "part")).drop("head")
+
+    def run(df):
+        import pandas as pd
+
+        j, failed = Jail.new(), []
+        lists = {r: g.sort_values("ord")["cidr"].tolist() for r, g in df.groupby("round")}
+        for r, now in enumerate(times):
+            failed += j.update(lists.get(r, []), now)
+        held = [(c.id, p.cidr, p.ban_start, p.active, None) for c in j.cells for p in c.prisoners]
+        if sorted(j.all_cidrs) != sorted(h[1] for h in held):
+            raise JailError("a register's cells and its list of all ranges differ")
+        out = pd.DataFrame(held + [(None, None, None, None, f) for f in failed], columns=["cell_id", "cidr", "ban_start", "ban_active", "failed"], dtype=object)
+        return out.assign(cell_id=out["cell_id"].astype("Int32"), ban_start=pd.to_datetime(out["ban_start"], utc=True), ban_active=out["ban_active"].astype("boolean"))
+
+    return rows.groupBy("part").applyInPandas(run, "cell_id int, cidr string, ban_start timestamp, ban_active boolean, failed string")

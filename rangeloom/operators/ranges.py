@@ -13,7 +13,7 @@ from itertools import islice, takewhile
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ip import block_size, cidr_len, cidr_start, cidr_text, is_cidr, last_ip, prefix_of
+from ..functions.ip import block_size, cidr_len, cidr_start, cidr_text, is_cidr, last_ip, mask, prefix_of
 
 
 def parse(ranges: DataFrame, column: str = "cidr") -> DataFrame:
@@ -232,6 +232,26 @@ def compose_ban_lists(active: DataFrame, manual: DataFrame, white: DataFrame) ->
     return subtract(active, white), subtract(manual, white)
 
 
+def without(texts: DataFrame, white: DataFrame) -> DataFrame:
+    """(cidr, ord, start): :func:`subtract_lists` of tables: what is left of each text, duplicates kept; ``ord`` and ``start`` have its order.
+
+    texts: (cidr, ord). A range as long as the longest white one holds none: it stays or goes by a look at its first address.
+    """
+    text = F.col("cidr")
+    # one split a row; ip_to_long and its kin look at the text's pattern again for each octet
+    part = lambda k: F.get(F.split(F.translate(text, "/", "."), r"\."), F.lit(k)).try_cast("bigint")
+    rows = texts.where(is_cidr(text)).select("cidr", "ord", mask(((part(0) * 256 + part(1)) * 256 + part(2)) * 256 + part(3), part(4).cast("int")).alias("ip"), part(4).cast("int").alias("len"))
+    longest = F.coalesce(white.agg(F.max("len")).scalar(), F.lit(0))
+    alone = F.col("len") >= longest
+    other = texts.where(~is_cidr(text)).select("cidr", "ord", F.lit(0).cast("bigint").alias("start"))
+    kept = ips_in(rows.where(alone), white, "left_anti")
+    keyed = rows.where(~alone).select(F.struct("ord", "cidr", "ip", "len", F.monotonically_increasing_id().alias("row")).alias("_was"), F.col("ip").alias("start"), "len")
+    left = subtract(keyed, white, "_was")
+    whole = (F.col("start") == F.col("_was.ip")) & (F.col("len") == F.col("_was.len"))
+    left = left.select(F.when(whole, F.col("_was.cidr")).otherwise(F.col("cidr")).alias("cidr"), F.col("_was.ord").alias("ord"), "start")
+    return kept.select("cidr", "ord", F.col("ip").alias("start")).unionByName(left).unionByName(other)
+
+
 # ---- the same on lists of the driver, for what is configuration or the small result of a job
 
 

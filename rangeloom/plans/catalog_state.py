@@ -5,6 +5,7 @@ Batches, times and offences are derived from the tables; the SQL replays them ro
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 from datetime import datetime, timedelta, timezone
@@ -250,12 +251,12 @@ def jail_defaults(spark: SparkSession, sf: str) -> DataFrame:
     SELECT {_ip_sql('(1073741824 + 2 * k)')} || '/32' AS cidr, stage AS cell, start AS ban_start, active FROM st WHERE r = {len(_HOURS) - 1} AND stage > 0""")
 def jail_replay(spark: SparkSession, sf: str) -> DataFrame:
     """Rounds of offences by single addresses: new, banned still, back after the ban ran out, renewed in the last cell."""
-    keys = [r[0] for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").orderBy("c_custkey").collect()]
-    j = jail.Jail.new()
-    for r, h in enumerate(_HOURS):
-        again = [f"{ipf.format_ip((1 << 30) + 2 * k)}/32" for k in keys if (k + r) % (1 + k % 3) == 0]
-        assert len(j.update([*again, "nonsense"], _ROUND + timedelta(hours=h))) == 1  # an entry that fails stops nothing
-    return j.table(spark).select("cidr", F.col("cell_id").alias("cell"), F.unix_timestamp("ban_start").alias("ban_start"), F.col("ban_active").alias("active"))
+    k, r = F.col("c_custkey"), F.col("round")
+    again = spark.read.parquet(f"{sf}/customer.parquet").select(k, F.explode(F.array(*map(F.lit, range(len(_HOURS))))).alias("round")).where((k + r) % (1 + k % 3) == 0)
+    offences = again.select("round", k.alias("ord"), F.concat(ipf.long_to_ip((F.lit(1 << 30) + 2 * k).cast("bigint")), F.lit("/32")).alias("cidr"))
+    nonsense = spark.range(len(_HOURS)).select(F.col("id").cast("int").alias("round"), F.lit(1 << 62).alias("ord"), F.lit("nonsense").alias("cidr"))
+    got = jail.replay(offences.unionByName(nonsense), [_ROUND + timedelta(hours=h) for h in _HOURS]).where("failed IS NULL")  # an entry that fails stops nothing
+    return got.select("cidr", F.col("cell_id").alias("cell"), F.unix_timestamp("ban_start").alias("ban_start"), F.col("ban_active").alias("active"))
 
 
 @query(f"""WITH k AS (SELECT c_custkey AS k, c_custkey // 16 AS g FROM customer),
@@ -266,17 +267,15 @@ def jail_replay(spark: SparkSession, sf: str) -> DataFrame:
     UNION ALL SELECT {_ip_sql('(1073741824 + 16 * g)')} || '/28', CASE WHEN g % 4 = 0 THEN cell + 1 ELSE cell END, CASE WHEN g % 4 = 0 THEN 3 ELSE 2 END FROM held""")
 def jail_absorb(spark: SparkSession, sf: str) -> DataFrame:
     """A range takes the place of the jailed ones it holds, in their highest cell; one inside a jailed range is that range coming back."""
-    keys = [r[0] for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").orderBy("c_custkey").collect()]
-    single = lambda k: f"{ipf.format_ip((1 << 30) + k)}/32"
-    block = lambda g: f"{ipf.format_ip((1 << 30) + 16 * g)}/28"
-    groups = sorted({k // 16 for k in keys})
-    rounds = [[single(k) for k in keys], [single(k) for k in keys if k % 2 == 0], [block(g) for g in groups if g % 2 == 0], [single(16 * g) for g in groups if g % 4 == 0]]
-    j, times = jail.Jail.new(), [timedelta(0), timedelta(hours=1), timedelta(hours=2), timedelta(hours=300)]
-    for cidrs, t in zip(rounds, times, strict=True):
-        assert not j.update(cidrs, _ROUND + t)
-    assert sorted(j.all_cidrs) == sorted(p.cidr for c in j.cells for p in c.prisoners)
-    place = {_ROUND + t: r for r, t in enumerate(times)}
-    return spark.createDataFrame([(p.cidr, c.id, place[p.ban_start]) for c in j.cells for p in c.prisoners], "cidr string, cell int, last_round int")
+    keys = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("k"))
+    groups = keys.select(F.floor(F.col("k") / 16).cast("long").alias("k")).distinct()
+    at = lambda step, n: F.concat(ipf.long_to_ip((F.lit(1 << 30) + step * F.col("k")).cast("bigint")), F.lit(f"/{n}"))
+    rounds = [keys.select("k", at(1, 32).alias("cidr")), keys.where("k % 2 = 0").select("k", at(1, 32).alias("cidr")), groups.where("k % 2 = 0").select("k", at(16, 28).alias("cidr")), groups.where("k % 4 = 0").select("k", at(16, 32).alias("cidr"))]
+    offences = functools.reduce(DataFrame.unionByName, (x.select(F.lit(r).alias("round"), F.col("k").alias("ord"), "cidr") for r, x in enumerate(rounds)))
+    times = [_ROUND + timedelta(hours=h) for h in (0, 1, 2, 300)]
+    place = F.create_map(*(x for r, t in enumerate(times) for x in (F.lit(int(t.timestamp())), F.lit(r))))
+    refused = F.raise_error(F.col("failed")).cast("string")
+    return jail.replay(offences, times).select(F.when(F.col("failed").isNull(), F.col("cidr")).otherwise(refused).alias("cidr"), F.col("cell_id").alias("cell"), place[F.unix_timestamp("ban_start")].alias("last_round"))
 
 
 _PAIR = "1073741824 + c_custkey * 31 AS ah, 24 + c_custkey % 9 AS al, 1073741824 + c_custkey * 31 + c_custkey % 7 - 3 AS bh, 22 + c_custkey % 4 AS bl"

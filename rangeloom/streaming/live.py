@@ -26,7 +26,7 @@ from ..operators.traffic import top_talkers_by
 from ..plans.config import Spec, logger
 from ..sources.access_log import parse_live
 from . import window
-from .snapshot import TALKERS_EVERY, Counters, StatsServer, build_snapshot
+from .snapshot import TALKERS_EVERY, Counters, Listed, StatsServer, build_snapshot
 from .state import StateStore
 
 #: Counters that a manifest keeps.
@@ -165,7 +165,7 @@ class LiveLoop:
         c.ua_white_ips, c.ua_black_ips = len(white_ips), len(black_ips)
         took = time.time() - began
         c.iterations += 1
-        self.snapshot = build_snapshot(spec, c, windows, found, self.jail, self.white, self.black, now, took, self.pause)
+        self.snapshot = build_snapshot(spec, c, windows, found, self.jail, Listed.of(self.white), Listed.of(self.black), now, took, self.pause)
         if self.server:
             self.server.publish(self.snapshot, content)
         self.store.publish(self.number, {"number": self.number, "tables": self.tables, "counters": {k: getattr(c, k) for k in KEPT}})

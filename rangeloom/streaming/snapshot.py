@@ -9,6 +9,7 @@ from datetime import datetime, timedelta
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from ..operators.jail import Jail
+from ..operators.register import Register
 from ..plans.config import Spec
 from ..plans.report import rfc3339
 
@@ -42,6 +43,18 @@ class Counters:
     talkers: dict[str, list[dict]] = field(default_factory=dict)
 
 
+@dataclass
+class Listed:
+    """A list as a snapshot shows it: its number of entries and the first of them."""
+
+    entries: int
+    first: list[str]
+
+    @classmethod
+    def of(cls, cidrs: list[str]) -> Listed:
+        return cls(len(cidrs), cidrs[:MOST_CIDRS])
+
+
 def _when(t: datetime | None) -> str:
     return rfc3339(t) if t else "0001-01-01T00:00:00Z"
 
@@ -55,7 +68,7 @@ def duration_text(d: timedelta) -> str:
     return f"{h:.0f}h{m:.0f}m{last}" if h else f"{m:.0f}m{last}" if m else last
 
 
-def build_snapshot(spec: Spec, c: Counters, windows: dict, found: list[dict], jail: Jail, white: list[str], black: list[str], now: datetime, took: float, pause: int) -> dict:
+def build_snapshot(spec: Spec, c: Counters, windows: dict, found: list[dict], jail: Jail | Register, white: Listed, black: Listed, now: datetime, took: float, pause: int) -> dict:
     """The document of one iteration. jail: bans before the whitelist; the ban file's entries are those after it."""
     shown = []
     for name, w in spec.windows.items():
@@ -68,17 +81,18 @@ def build_snapshot(spec: Spec, c: Counters, windows: dict, found: list[dict], ja
         if c.talkers.get(name):
             row["top_talkers"] = c.talkers[name]
         shown.append(row)
-    bans = jail.active_bans_with_meta()
-    listed = [{"cidr": b["cidr"], "stage": b["stage"], "ban_start": _when(b["ban_start"]), "expires_at": _when(b["expires_at"])} for b in bans[:MOST_BANS]]
-    stages = [{"stage": cell.id, "ban_duration": duration_text(cell.duration), "active": n} for cell, (_, n) in zip(jail.cells, jail.stage_counts(), strict=True)]
-    listing = lambda path, cidrs: {"path": path, "entries": len(cidrs), "cidrs": cidrs[:MOST_CIDRS]}
+    counts, bans = jail.stage_counts(), jail.first_active(MOST_BANS)
+    total = sum(n for _, n in counts)
+    listed = [{"cidr": b["cidr"], "stage": b["stage"], "ban_start": _when(b["ban_start"]), "expires_at": _when(b["expires_at"])} for b in bans]
+    stages = [{"stage": cell.id, "ban_duration": duration_text(cell.duration), "active": n} for cell, (_, n) in zip(jail.cells, counts, strict=True)]
+    listing = lambda path, x: {"path": path, "entries": x.entries, "cidrs": x.first[:MOST_CIDRS]}
     return {
         "schema_version": SCHEMA, "generated_at": _when(now), "uptime_s": int((now - c.started).total_seconds()),
         "ingest": {
             "connected": c.connected, "queue_depth": c.queue_depth, "last_batch_at": _when(c.last_batch), "batches_total": c.batches, "requests_total": c.requests,
             "parse_errors_total": c.parse_errors, "malformed_fields_total": c.malformed,
         },
-        "windows": shown, "jail": {"total_active": len(bans), "stages": stages, "active_bans": listed, "active_bans_truncated": len(bans) > MOST_BANS},
+        "windows": shown, "jail": {"total_active": total, "stages": stages, "active_bans": listed, "active_bans_truncated": total > MOST_BANS},
         "lists": {
             "whitelist": listing(spec.whitelist, white), "blacklist": listing(spec.blacklist, black),
             "user_agent_lists": {"whitelist_hits_total": c.ua_white_hits, "blacklist_hits_total": c.ua_black_hits, "active_whitelist_ips": c.ua_white_ips, "active_blacklist_ips": c.ua_black_ips},
