@@ -6,6 +6,7 @@ takes their place in the highest of their cells; one inside a jailed range count
 
 from __future__ import annotations
 
+import functools
 import ipaddress
 import json
 import os
@@ -51,6 +52,7 @@ class Cell:
 _PLAIN = re.compile(r"(0|[1-9][0-9]{0,2})\.(0|[1-9][0-9]{0,2})\.(0|[1-9][0-9]{0,2})\.(0|[1-9][0-9]{0,2})/(0|[1-9][0-9]?)")
 
 
+@functools.lru_cache(1 << 16)
 def _span(cidr: str) -> tuple[int, int, int] | None:
     """First and last address and prefix length as the text writes them: host bits of the first stay."""
     if "/" not in cidr:
@@ -82,6 +84,7 @@ class Places:
         self.by_text: dict[str, list[tuple[int, int, Prisoner]]] = {}
         self.by_block: dict[tuple[int, int], list[tuple[int, int, Prisoner]]] = {}
         self.starts: list[tuple[int, int]] = []
+        self.lengths: Counter[int] = Counter()
         self.at: dict[int, tuple[int, int, Prisoner]] = {}
         self.next = 0
         for k, cell in enumerate(cells):
@@ -93,6 +96,7 @@ class Places:
         self.at[id(p)] = entry
         self.by_text.setdefault(p.cidr, []).append(entry)
         if span := _span(p.cidr):
+            self.lengths[span[2]] += 1
             self.by_block.setdefault((span[2], span[1] >> 32 - span[2]), []).append(entry)
             insort(self.starts, (span[0], self.next, span[1], entry))
         self.next += 1
@@ -102,6 +106,7 @@ class Places:
         self.by_text[p.cidr].remove(entry)
         if span := _span(p.cidr):
             self.by_block[span[2], span[1] >> 32 - span[2]].remove(entry)
+            self.lengths[span[2]] -= 1
             del self.starts[bisect_left(self.starts, (span[0], entry[1]))]
 
     def same(self, cidr: str) -> tuple[int, int, Prisoner] | None:
@@ -116,7 +121,7 @@ class Places:
     def around(self, cidr: str) -> tuple[int, int, Prisoner] | None:
         """The first that holds a range."""
         first, last, _ = _span(cidr)
-        found = [e for n in range(33) for e in self.by_block.get((n, first >> 32 - n), []) if (s := _span(e[2].cidr)) and s[0] <= first and last <= s[1]]
+        found = [e for n, held in self.lengths.items() if held for e in self.by_block.get((n, first >> 32 - n), []) if (s := _span(e[2].cidr)) and s[0] <= first and last <= s[1]]
         return min(found, key=lambda e: e[:2], default=None)
 
 
@@ -350,9 +355,12 @@ def replay(offences: DataFrame, times: list[datetime]) -> DataFrame:
     ranges under one shorter than a part are replayed together, and texts that are no IPv4 range with those that have the same text.
     """
     spark = offences.sparkSession
-    rows = offences.select(F.col("round").cast("int").alias("round"), F.col("ord").cast("long").alias("ord"), "cidr").mapInPandas(_with_block, "round int, ord long, cidr string, start long, len int")
+    plain = offences.select(F.col("round").cast("int").alias("round"), F.col("ord").cast("long").alias("ord"), "cidr")
+    placed = lambda df: df.mapInPandas(_with_block, "round int, ord long, cidr string, start long, len int")
+    rows = placed(plain.repartition(2 * spark.sparkContext.defaultParallelism))
     # at most as many as there are prefixes shorter than a part
-    short = sorted((r["len"], r["start"]) for r in rows.where((F.col("len") >= 0) & (F.col("len") < PART_BITS)).select("len", "start").distinct().collect())
+    maybe = placed(plain.where(~F.col("cidr").rlike("/(1[6-9]|2[0-9]|3[0-2])$")))
+    short = sorted((r["len"], r["start"]) for r in maybe.where((F.col("len") >= 0) & (F.col("len") < PART_BITS)).select("len", "start").distinct().collect())
     head = {}
     for n, start in short:
         for part in range(start >> 32 - PART_BITS, (start >> 32 - PART_BITS) + (1 << PART_BITS - n)):
@@ -376,4 +384,4 @@ def replay(offences: DataFrame, times: list[datetime]) -> DataFrame:
         out = pd.DataFrame(held + [(None, None, None, None, f) for f in failed], columns=["cell_id", "cidr", "ban_start", "ban_active", "failed"], dtype=object)
         return out.assign(cell_id=out["cell_id"].astype("Int32"), ban_start=pd.to_datetime(out["ban_start"], utc=True), ban_active=out["ban_active"].astype("boolean"))
 
-    return rows.groupBy("part").applyInPandas(run, "cell_id int, cidr string, ban_start timestamp, ban_active boolean, failed string")
+    return rows.repartition(4 * spark.sparkContext.defaultParallelism, "part").groupBy("part").applyInPandas(run, "cell_id int, cidr string, ban_start timestamp, ban_active boolean, failed string")
