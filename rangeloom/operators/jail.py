@@ -17,9 +17,11 @@ from collections import Counter
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import ip as ipf
+
 # The stages of a new register.
 STAGES = [("10min", timedelta(minutes=10)), ("4h", timedelta(hours=4)), ("7d", timedelta(days=7)), ("30d", timedelta(days=30)), ("180d", timedelta(days=180))]
 
@@ -204,10 +206,10 @@ class Jail:
             raise JailError(f"error parsing CIDR {cidr}: {e}") from e
         if self._places is None:
             self._places, self._known = Places(self.cells), Counter(self.all_cidrs)
-        inner, parent = [], None
-        if span:
-            inner, parent = self._places.inside(cidr), self._places.around(cidr)
-        if same := self._places.same(cidr):
+        same = self._places.same(cidr)
+        inner = self._places.inside(cidr) if span and not same else []
+        parent = self._places.around(cidr) if span and not same and not inner else None
+        if same:
             self._again(same[0], same[2], now)
         elif inner:
             for k, _, p in inner:
@@ -223,9 +225,10 @@ class Jail:
             self._know(cidr)
 
     def expire(self, now: datetime) -> None:
-        for k, p in self._everyone():
-            if now - p.ban_start > self.cells[k].duration:
-                p.active = False
+        for cell in self.cells:
+            for p in cell.prisoners:
+                if now - p.ban_start > cell.duration:
+                    p.active = False
 
     def update(self, cidrs: list[str], now: datetime) -> list[str]:
         """A list of ranges comes in: expire once, then fill in order; messages of those that failed, which stop nothing."""
@@ -337,39 +340,74 @@ def active_bans(prisoners: DataFrame, now, durations: DataFrame) -> DataFrame:
     return both.where(F.col("ban_active") & (F.lit(now) <= ends)).select("cidr", F.col("cell_id").alias("stage"), "ban_start", ends.alias("expires_at"))
 
 
-#: Rounds are replayed by this many leading bits of an address; a shorter range joins all parts that it touches.
-PART_BITS = 16
+#: Rounds are replayed by this many leading bits of an address, and a part that has more offences than this in groups of about so many; a shorter
+#: range joins all parts that it touches.
+PART_BITS, GROUP = 16, 8192
 
 
-def _with_block(batches):
-    for df in batches:
-        spans = [_span(c) if c else None for c in df["cidr"]]
-        yield df.assign(start=[s[1] >> 32 - s[2] << 32 - s[2] if s else -1 for s in spans], len=[s[2] if s else -1 for s in spans])
+def _odd_block(cidr: str | None) -> int | None:
+    """64 * start + len of a range that is not written in the usual way."""
+    span = _span(cidr) if cidr else None
+    return (span[1] >> 32 - span[2] << 32 - span[2]) * 64 + span[2] if span else None
 
 
-def replay(offences: DataFrame, times: list[datetime]) -> DataFrame:
-    """The register, from a new one, after a list of ranges at each of ``times``: (cell_id, cidr, ban_start, ban_active, failed).
+def _with_block(df: DataFrame, odd: bool) -> DataFrame:
+    """With the block that a text's range fills, (start, len); (-1, -1) for what is no IPv4 range. odd: whether there are texts that only Python reads."""
+    p = F.split(F.translate("cidr", "/", "."), r"\.")
+    usual = df.withColumn("_p", F.when(ipf.is_cidr(F.col("cidr")), p))
+    rest = F.udf(_odd_block, "long", useArrow=True)(F.when(_is_odd(), F.col("cidr"))) if odd else F.lit(None).cast("long")
+    octets = [F.col("_p")[k].cast("bigint") for k in range(4)]
+    host = functools.reduce(lambda x, octet: x * 256 + octet, octets)
+    placed = usual.select(*df.columns, host.alias("_host"), F.col("_p")[4].cast("int").alias("_len"), rest.alias("_rest"))
+    start = F.coalesce(ipf.mask(F.col("_host"), F.col("_len")), F.shiftright("_rest", 6), F.lit(-1))
+    length = F.coalesce("_len", F.col("_rest").bitwiseAND(F.lit(63)).cast("int"), F.lit(-1))
+    return placed.select(*df.columns, start.alias("start"), length.alias("len"))
 
-    offences: (round, ord, cidr); a round's list is in the order of ``ord``. ``failed`` is the message of one that was refused; such a row has no
-    cell. Ranges that do not meet never change each other, so each part of the address space is replayed by itself, by a :class:`Jail` of its own;
-    ranges under one shorter than a part are replayed together, and texts that are no IPv4 range with those that have the same text.
+
+def _is_odd() -> Column:
+    """Whether a text may be a range that is not written in the usual way, as with the mask in place of a length."""
+    return F.col("cidr").rlike(r"\A[0-9.]+/[0-9.]+\z") & ~ipf.is_cidr(F.col("cidr"))
+
+
+def parted(offences: DataFrame) -> DataFrame:
+    """(round, ord, cidr, part, group): what meets, whatever its round, has the same part and group.
+
+    A group holds the outermost ranges that begin within ``GROUP`` offences of a part, in order, with all that lies in them; so only one large outermost
+    range makes a group much larger.
     """
-    spark = offences.sparkSession
     plain = offences.select(F.col("round").cast("int").alias("round"), F.col("ord").cast("long").alias("ord"), "cidr")
-    placed = lambda df: df.mapInPandas(_with_block, "round int, ord long, cidr string, start long, len int")
-    rows = placed(plain.repartition(2 * spark.sparkContext.defaultParallelism))
-    # at most as many as there are prefixes shorter than a part
-    maybe = placed(plain.where(~F.col("cidr").rlike("/(1[6-9]|2[0-9]|3[0-2])$")))
-    short = sorted((r["len"], r["start"]) for r in maybe.where((F.col("len") >= 0) & (F.col("len") < PART_BITS)).select("len", "start").distinct().collect())
+    # at most as many as there are prefixes shorter than a part, and one row for all odd texts
+    is_short = (F.col("len") >= 0) & (F.col("len") < PART_BITS)
+    maybe = plain.where(~F.col("cidr").rlike("/(1[6-9]|2[0-9]|3[0-2])$") | _is_odd())
+    seen = _with_block(maybe, False).where(is_short | _is_odd()).select("len", "start").distinct().collect()
+    odd = any(r["len"] < 0 for r in seen)
+    if odd:
+        seen += _with_block(plain.where(_is_odd()), True).where(is_short).select("len", "start").distinct().collect()
+    short = sorted({(r["len"], r["start"]) for r in seen if r["len"] >= 0})
     head = {}
     for n, start in short:
         for part in range(start >> 32 - PART_BITS, (start >> 32 - PART_BITS) + (1 << PART_BITS - n)):
             head.setdefault(part, start >> 32 - PART_BITS)
     part = F.shiftright("start", 32 - PART_BITS)
-    rows = rows.withColumn("part", F.when(F.col("start") < 0, -1 - F.abs(F.hash("cidr").cast("long"))).otherwise(part))
+    rows = _with_block(plain, odd).withColumn("part", F.when(F.col("start") < 0, -1 - F.abs(F.hash("cidr").cast("long"))).otherwise(part))
     if head:
-        heads = spark.createDataFrame([(a, b) for a, b in head.items() if a != b] or [(-1 << 40, 0)], "part long, head long")
+        heads = offences.sparkSession.createDataFrame([(a, b) for a, b in head.items() if a != b] or [(-1 << 40, 0)], "part long, head long")
         rows = rows.join(F.broadcast(heads), "part", "left").withColumn("part", F.coalesce("head", "part")).drop("head")
+    order = Window.partitionBy("part").orderBy("start", "len")
+    last = F.when(F.col("len") < 0, F.col("start")).otherwise(ipf.last_ip(F.col("start"), F.col("len")))
+    rows = rows.withColumns({"_reached": F.max(last).over(order.rowsBetween(Window.unboundedPreceding, -1)), "_place": F.row_number().over(order)})
+    outermost = F.col("_reached").isNull() | (F.col("start") > F.col("_reached"))
+    place = F.max(F.when(outermost, F.col("_place"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.select("round", "ord", "cidr", "part", F.floor((place - 1) / GROUP).alias("group"))
+
+
+def replay(offences: DataFrame, times: list[datetime]) -> DataFrame:
+    """The register, from a new one, after a list of ranges at each of ``times``: (cell_id, cidr, ban_start, ban_active, failed).
+
+    offences: (round, ord, cidr); a round's list is in the order of ``ord``. ``failed`` is the message of one that was refused; such a row has no
+    cell. Ranges that do not meet never change each other, so each group of outermost ranges is replayed by itself, by a :class:`Jail` of its own, and
+    texts that are no IPv4 range with those that have the same text.
+    """
 
     def run(df):
         import pandas as pd
@@ -384,4 +422,5 @@ def replay(offences: DataFrame, times: list[datetime]) -> DataFrame:
         out = pd.DataFrame(held + [(None, None, None, None, f) for f in failed], columns=["cell_id", "cidr", "ban_start", "ban_active", "failed"], dtype=object)
         return out.assign(cell_id=out["cell_id"].astype("Int32"), ban_start=pd.to_datetime(out["ban_start"], utc=True), ban_active=out["ban_active"].astype("boolean"))
 
-    return rows.repartition(4 * spark.sparkContext.defaultParallelism, "part").groupBy("part").applyInPandas(run, "cell_id int, cidr string, ban_start timestamp, ban_active boolean, failed string")
+    rows = parted(offences).repartition(4 * offences.sparkSession.sparkContext.defaultParallelism, "part", "group")
+    return rows.groupBy("part", "group").applyInPandas(run, "cell_id int, cidr string, ban_start timestamp, ban_active boolean, failed string")

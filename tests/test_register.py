@@ -120,3 +120,56 @@ def test_replays_hold_no_keys(spark, monkeypatch):
     monkeypatch.setattr(jail.Jail, "update", lambda *_: 1 / 0)
     for name in ("jail_replay", "jail_absorb"):
         assert getattr(catalog_state, name)(spark, SF).columns
+
+
+def test_groups_hold_what_meets(spark, monkeypatch):
+    """One busy /16 network is many groups, and each range is in one group with all that it meets."""
+    monkeypatch.setattr(jail, "GROUP", 100)
+    texts = [f"10.0.{k >> 8}.{k & 255}/32" for k in range(5000)] + [f"10.0.{k}.{17 * k}/28" for k in range(15)] + ["10.0.3.9/24", "10.0.3.0/255.255.255.0", "10.0.4.0/026"]
+    texts += ["11.7.0.0/12", "11.9.0.0/255.255.0.0", "11.15.1.1/32", "11.16.0.0/32", "::/64", "nonsense", "", None]
+    rows = spark.createDataFrame([(r, k, c) for k, c in enumerate(texts) for r in (0, 1)], "round int, ord int, cidr string")
+    got = jail.parted(rows).collect()
+    assert sorted((r["round"], r["ord"], r["cidr"] or "") for r in got) == sorted((r, k, c or "") for k, c in enumerate(texts) for r in (0, 1))
+    groups, of = {}, {}
+    for r in got:
+        groups.setdefault((r["part"], r["group"]), []).append(r["cidr"])
+        of.setdefault(r["cidr"], set()).add((r["part"], r["group"]))
+    assert all(len(g) == 1 for g in of.values())
+    assert len(groups) > 50 and max(map(len, groups.values())) <= 100 + 2 * 260
+    spans = [(c, s) for c in texts if c and (s := jail._span(c))]
+    for wide, (_, last, n) in spans:
+        if n < 32:
+            first = last >> 32 - n << 32 - n
+            assert {g for c, s in spans if first <= s[0] <= last for g in of[c]} == of[wide]
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_replay_by_single_ranges_matches_one_register(spark, monkeypatch, odd):
+    """Groups of one outermost range each; with texts that only Python reads and without."""
+    monkeypatch.setattr(jail, "GROUP", 1)
+    rng = random.Random(6)
+    texts = [f"10.0.{rng.randrange(2)}.{rng.randrange(64)}/{rng.choice((24, 26, 27, 28, 30, 31, 32, 32, 32))}" for _ in range(60)]
+    texts += ["172.16.0.0/255.255.0.0", "172.16.9.9/32", "10.0.0.0/255.255.255.192", "12.0.0.0/07", "13.1.1.1/32"] if odd else ["::/64", "nonsense", "1.2.3.4", "1.2.3.4/33", "1.2.3.256/8", "12.0.0.0/7", "13.1.1.1/32", "13.1.1.1/32\n"]
+    rounds = [[rng.choice(texts) for _ in range(25)] for _ in range(8)]
+    times = [NOW + timedelta(hours=h) for h in (0, 1, 6, 7, 200, 201, 2000, 9000)]
+    j, failed = jail.Jail.new(), []
+    for cidrs, t in zip(rounds, times, strict=True):
+        failed += j.update(cidrs, t)
+    rows = spark.createDataFrame([(r, k, c) for r, cidrs in enumerate(rounds) for k, c in enumerate(cidrs)], "round int, ord int, cidr string")
+    got = jail.replay(rows, times).collect()
+    assert sorted(r["failed"] for r in got if r["failed"]) == sorted(failed) and bool(failed) != odd
+    held = [(r["cell_id"], r["cidr"], r["ban_start"].timestamp(), r["ban_active"]) for r in got if not r["failed"]]
+    assert sorted(held) == sorted((c.id, p.cidr, p.ban_start.timestamp(), p.active) for c in j.cells for p in c.prisoners)
+
+
+def test_blocks_match_python(spark):
+    """Whatever the spelling: the plan's blocks are those that the register sees."""
+    rng = random.Random(7)
+    texts = ["0.0.0.0/0", "255.255.255.255/32", "1.2.3.4/00", "1.2.3.4/255.0.0.0", "1.2.3.4/0.0.0.255", "01.2.3.4/8", "1.2.3.4/8\n", " 1.2.3.4/8", "1.2.3.4/8/9", "1.2.3/8", "::1.2.3.4/96", "1.2.3.4/+8", "1.2.3.4/٨"]
+    for _ in range(3000):
+        text = list(f"{rng.randrange(260)}.{rng.randrange(260)}.{rng.randrange(260)}.{rng.randrange(260)}/{rng.choice((rng.randrange(36), '255.255.0.0', '08'))}")
+        if rng.random() < 0.5:
+            text[rng.randrange(len(text))] = rng.choice("0123456789./ :a")
+        texts.append("".join(text))
+    got = jail._with_block(spark.createDataFrame([(t,) for t in texts], "cidr string"), True).collect()
+    assert [(r["start"], r["len"]) for r in got] == [((s[1] >> 32 - s[2] << 32 - s[2], s[2]) if (s := jail._span(t)) else (-1, -1)) for t in texts]
