@@ -9,6 +9,7 @@ import pytest
 from rangeloom.operators import jail, ranges, register
 from rangeloom.plans import catalog_io, catalog_state
 from rangeloom.sources.scratch import new_folder
+from rangeloom.streaming import snapshot
 
 NOW = datetime(2025, 3, 1, tzinfo=timezone.utc)
 SF = "/root/testdata/sf0.001"
@@ -90,6 +91,21 @@ def test_pages_hold_what_they_show(spark, monkeypatch, page):
     assert getattr(catalog_io, page)(spark, SF).count()
 
 
+@pytest.mark.parametrize("page", ["stats_page_lists", "metrics_page"])
+def test_pages_collect_what_they_show(spark, monkeypatch, page):
+    """No more rows reach the driver than the page shows, however many there are of bans (1,500 here) and entries (150)."""
+    monkeypatch.setattr(snapshot, "MOST_BANS", 9)
+    monkeypatch.setattr(snapshot, "MOST_CIDRS", 7)
+    kind, sizes = type(spark.range(1)), []
+    for name in ("collect", "toPandas", "toLocalIterator"):
+        real = getattr(kind, name)
+        monkeypatch.setattr(kind, name, lambda self, *a, _real=real, **k: (lambda got: (sizes.append(len(got)), got)[1])(_real(self, *a, **k)))
+    got = getattr(catalog_io, page)(spark, SF)
+    assert max(sizes) <= 9
+    monkeypatch.undo()
+    assert got.count() == (7 if page == "stats_page_lists" else 9 + 11)
+
+
 def test_replay_matches_one_register(spark):
     rng = random.Random(4)
     texts = [f"10.{rng.randrange(3)}.{rng.randrange(2)}.{rng.randrange(256)}/{rng.choice((14, 15, 16, 20, 24, 28, 32, 32, 32))}" for _ in range(60)]
